@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_mix_sources": "op1_mixing",
+    "op2_pii_surrogates": "op2_pii",
     "op3_interleaved_media": "op3_media",
     "op4_line_dedup": "op4_line_dedup",
     "op5_shard_balance": "op5_sharding",
+    "op6_quality_score": "op6_quality",
+    "op7_language_id": "op7_language",
+    "op8_bpe_tokens": "op8_bpe",
 }
 
 
