@@ -159,7 +159,8 @@ def mix_spans(slots: DataFrame, packed: DataFrame, block: int) -> DataFrame:
     size = F.lit(block).cast("long")
     pieces = packed.filter("size > 0").select("src", "doc_id", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     pieces = pieces.select("src", "block", "doc_id", "start", F.greatest(F.col("start") - F.col("block") * size, F.lit(0)).alias("at"), F.greatest(F.col("block") * size - F.col("start"), F.lit(0)).alias("first"), F.least(F.col("start") + F.col("size") - F.col("block") * size, size).alias("to"))
-    both = slots.join(pieces, ["src", "block"]).withColumn("n", F.least("to", "used") - F.col("at"))
+    # Neither side is bounded, and Spark's estimate of what Python makes is low: so a merge join.
+    both = slots.hint("merge").join(pieces, ["src", "block"]).withColumn("n", F.least("to", "used") - F.col("at"))
     return both.filter("n > 0").select("shard", "slot", "src", "at", "doc_id", "start", "first", "n")
 
 
