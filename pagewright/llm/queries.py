@@ -21,7 +21,10 @@ _WHERE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
+    import corpus_pipeline  # at the repository's top, beside the entry points
+
+    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
