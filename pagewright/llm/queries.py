@@ -17,6 +17,7 @@ _WHERE = {
     "op6_quality_score": "op6_quality",
     "op7_language_id": "op7_language",
     "op8_bpe_tokens": "op8_bpe",
+    "op9_topk_search": "op9_search",
 }
 
 
@@ -28,4 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .op9_search import SQL
+
+    return {"op9_topk_search": SQL}
