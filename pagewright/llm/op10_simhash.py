@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import join_by_key, keep, ship, table
 
 RADIUS = 3
+#: Candidates of a search that verifies texts may differ in as many bits.
+CANDIDATE_RADIUS = 8
 #: Rows of one key that a task compares at once; longer runs are cut by further bits.
 MOST_RUN = 2048
 #: Up to this many rows of a key are compared pair by pair without a matrix.
@@ -125,8 +127,8 @@ def near_words(v: np.ndarray, width: int) -> np.ndarray:
     return np.where(around == 1 << 20, -1, around)
 
 
-def golay_keys(fingerprints: np.ndarray, space: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of some fingerprints; keys of different spaces never meet."""
+def golay_keys(fingerprints: np.ndarray, space: int = 0, triples: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of some fingerprints; keys of different spaces never meet. Without `triples` only pairs with an equal segment meet."""
     raw = [(fingerprints >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in CUTS]
     near = [near_words(v, w) for v, (_, w) in zip(raw, CUTS, strict=True)]
     own = [decode(v) for v in raw]
@@ -139,28 +141,28 @@ def golay_keys(fingerprints: np.ndarray, space: int = 0) -> tuple[np.ndarray, np
 
     for kind, (equal, other) in enumerate(permutations(range(3), 2)):
         add(kind, raw[equal][:, None] << 12 | near[other], near[other] >= 0)
+    if not triples:
+        return np.concatenate(rows), np.concatenate(keys)
     first, third = near[0][:, :, None], near[2][:, None, :]
     add(6, first << 24 | own[1][:, None, None] << 12 | third, (first >= 0) & (third >= 0))
     add(6, own[0][:, None] << 24 | near[1] << 12 | own[2][:, None], near[1] >= 0)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(nodes: DataFrame, fps: list[str]) -> DataFrame:
-    """(key, fp, node) of nodes(node, fps..): the keys of each fingerprint in a space of its own."""
+def keyed(nodes: DataFrame, space: int = 0, triples: bool = True) -> DataFrame:
+    """(key, fp, node) of nodes(node, fp): all keys of each fingerprint."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), 2000):
-                part = pdf.iloc[k : k + 2000]
-                for space, name in enumerate(fps):
-                    fp = part[name].to_numpy()
-                    some = ~np.isnan(fp.astype(float)) if fp.dtype != np.int64 else np.ones(len(fp), bool)
-                    fp, node = fp[some].astype(np.int64), part["node"].to_numpy()[some]
-                    row, key = golay_keys(fp.view(np.uint64), space)
-                    both = np.unique(np.stack([key, row], axis=1), axis=0)
-                    yield pd.DataFrame({"key": both[:, 0], "fp": fp[both[:, 1]], "node": node[both[:, 1]]})
+                fp, node = (pdf[c].to_numpy()[k : k + 2000] for c in ("fp", "node"))
+                row, key = golay_keys(fp.view(np.uint64), space, triples)
+                order = np.lexsort((row, key))
+                row, key = row[order], key[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+                yield pd.DataFrame({"key": key[new], "fp": fp[row[new]], "node": node[row[new]]})
 
-    return nodes.mapInPandas(make, "key long, fp long, node long")
+    return nodes.select("node", "fp").mapInPandas(make, "key long, fp long, node long")
 
 
 # ---- runs of rows that share a key ----
@@ -175,7 +177,7 @@ def _frame(kind: int, a: np.ndarray, b: np.ndarray, mask: np.ndarray | int) -> p
 def _long_run(fp: np.ndarray, node: np.ndarray, cover: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links that hold a run together, at most one a row: a spanning forest, or with `cover` a star around each densest row."""
     u = fp.view(np.uint64)
-    close = np.bitwise_count(u[:, None] ^ u[None, :]) <= RADIUS
+    close = np.bitwise_count(u[:, None] ^ u[None, :]) <= (CANDIDATE_RADIUS if cover else RADIUS)
     left, a, b = np.ones(len(fp), bool), [], []
     degree = close.sum(axis=1)
     while left.any():
@@ -202,6 +204,8 @@ def link_runs(rows: DataFrame, cover: bool) -> DataFrame:
     (kind 1: fp, node and mask) for refine(). A task holds MOST_RUN rows and a batch at once.
     """
 
+    radius = CANDIDATE_RADIUS if cover else RADIUS
+
     def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pd.DataFrame]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(edge)
@@ -210,7 +214,7 @@ def link_runs(rows: DataFrame, cover: bool) -> DataFrame:
         a, b = [], []
         for s in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
             at = np.flatnonzero((key[:-s] == key[s:]) & inside[:-s])
-            at = at[(np.bitwise_count(u[at] ^ u[at + s]) <= RADIUS) & (node[at] != node[at + s])]
+            at = at[(np.bitwise_count(u[at] ^ u[at + s]) <= radius) & (node[at] != node[at + s])]
             a.append(node[at])
             b.append(node[at + s])
         for start, n in zip(edge[:-1][size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
@@ -341,16 +345,16 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     rows = keep(fingerprints(docs, width, id_col, text_col), "simhash-fingerprints")
     named = rows.filter(F.col("doc_id").isNotNull())
     nodes = keep(named.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("copies")), "simhash-nodes")
-    roots = components(links_of(keyed(nodes.select("node", "fp"), ["fp"])))
+    roots = components(links_of(keyed(nodes)))
     placed = nodes.join(roots, "node", "left").select("fp", "copies", F.coalesce("root", "node").alias("component_id"))
     return join_by_key(named, placed, "fp", "copies", named.count()).drop("copies").select("doc_id", "fp", "component_id").unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): texts whose shingles of `width` words have a Jaccard similarity of `similarity` or more are linked.
 
-    Candidates are texts with a word fingerprint within 3 bits in one of `tables` tables; each is
-    verified on the two texts' whole shingle sets. Equal texts are one node. In a key's run of more
+    Candidates are texts whose word fingerprints, in one of `tables` tables, have an equal segment
+    and near code words in another; each is verified on the two texts' whole shingle sets. Equal texts are one node. In a key's run of more
     than SHORT_RUN texts each is a candidate with the densest text near it instead of with all.
     Rows with a null id get a null component; rows with the same id stay or go together.
     """
@@ -370,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     keys, equal = None, None
     for i, name in enumerate(fps):
         first = nodes.groupBy(name).agg(F.min("node").alias("hub"), F.count("*").alias("texts"))
-        made = keyed(first.select(F.col("hub").alias("node"), F.col(name).alias("fp")), ["fp"]).withColumn("key", F.col("key") + F.lit(i << 50).cast("long"))
+        made = keyed(first.select(F.col("hub").alias("node"), F.col(name).alias("fp")), i, False)
         star = join_by_key(nodes.select("node", name), first.filter("texts > 1"), name, "texts", rows.count()).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         keys, equal = made if keys is None else keys.unionByName(made), star if equal is None else equal.unionByName(star)
     pairs = keep(links_of(keys, cover=True).unionByName(equal).distinct(), "near-candidates")
