@@ -5,11 +5,568 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagewright.functions.text import domain
+from pagewright.operators import benchmarks, cache, citations, compare, detectors, gaps, scoring, structure, tier2, usage, validate
+from pagewright.plans import oracle as o
+from pagewright.sources import tables
+from pagewright.streaming import streams
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        key = name or f.__name__.lstrip("_")
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.parse_markdown(tables.articles(spark, sf))
+
+
+def _audits(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score_parsed(_parsed(spark, sf))
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.long_form(_audits(spark, sf))
+
+
+def _gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.gaps(_scores(spark, sf))
+
+
+def _recent(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.filter_citations(tables.citations(spark, sf), tables.as_of())
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("original"))
+    return docs.join(tables.articles(spark, sf).select("doc_id", F.col("content").alias("optimized")), "doc_id")
+
+
+# ---- structure ----
+
+
+@query(f"{o.PARSED} SELECT doc_id, n_headers AS headers, n_tables AS tables, n_lists AS lists, wc AS word_count, length(content) AS char_count, length(text) AS text_length FROM parsed")
+def structure_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("doc_id", F.size("headers").alias("headers"), F.size("tables").alias("tables"), F.size("lists").alias("lists"), "word_count", "char_count", F.char_length("text").alias("text_length"))
+
+
+@query(f"{o.PARSED} SELECT doc_id, text FROM parsed")
+def plain_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("doc_id", "text")
+
+
+@query(rf"""{o.PARSED}, h AS (SELECT doc_id, unnest(heads) AS head, generate_subscripts(heads, 1) AS nth FROM parsed)
+SELECT doc_id, length(regexp_extract(head, '^#+')) AS level, {o.strip("regexp_replace(head, '^#{1,6}|#+[ \\t]*$', '', 'g')")} AS text, row_number() OVER (PARTITION BY doc_id ORDER BY length(regexp_extract(head, '^#+')), nth) - 1 AS position FROM h""")
+def doc_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("doc_id", F.explode("headers").alias("h")).select("doc_id", "h.level", "h.text", "h.position")
+
+
+@query(rf"""{o.PARSED}, t AS (SELECT doc_id, unnest(list_filter(blocks, lambda b: regexp_matches(b, {o.rx(structure.TABLE)}))) AS b FROM parsed),
+r AS (SELECT doc_id, b, list_filter(string_split(b, chr(10)), lambda x, i: i <> 2) AS rows FROM t)
+SELECT doc_id, list_max(list_transform(rows, lambda x: len(string_split(regexp_replace(x, '^[ \t]*\||\|[ \t]*$', '', 'g'), '|')))) AS column_count, len(rows) AS row_count FROM r""")
+def doc_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.column_count", "t.row_count")
+
+
+@query(f"""{o.PARSED}, l AS (SELECT doc_id, unnest(list_filter(blocks, lambda b: regexp_matches(b, {o.rx(structure.LIST)}))) AS b FROM parsed)
+SELECT doc_id, CASE WHEN regexp_matches(b, {o.rx(structure.ORDERED)}) THEN 'ordered' ELSE 'unordered' END AS type, array_to_string(regexp_extract_all(b, {o.rx(structure.ITEM)}, 1), '|') AS items, len(regexp_extract_all(b, {o.rx(structure.ITEM)})) AS item_count FROM l""")
+def doc_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.type", F.array_join("l.items", "|").alias("items"), "l.item_count")
+
+
+@query(f"""{o.PARSED}, l AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(body, {o.rx(structure.LINK)}), lambda x: NOT starts_with(x, '!'))) AS x FROM parsed)
+SELECT doc_id, regexp_extract(x, {o.rx(structure.LINK)}, 2) AS text, regexp_extract(x, {o.rx(structure.LINK)}, 3) AS url FROM l""")
+def doc_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("doc_id", F.explode("links").alias("l")).select("doc_id", "l.text", "l.url")
+
+
+@query(f"""{o.PARSED} SELECT doc_id, sum(n_headers) AS headers, sum(n_tables) AS tables, sum(n_lists) AS lists, sum(len(list_filter(regexp_extract_all(body, {o.rx(structure.LINK)}), lambda x: NOT starts_with(x, '!')))) AS links, sum(length(text)) AS text_length FROM parsed GROUP BY GROUPING SETS ((doc_id), ())""")
+def structure_report(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.structure_report(_parsed(spark, sf))
+
+
+_CLEAN = o.rx(structure.HIDDEN)
+_H, _L, _A = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", r"(?is)<ul\b.*?</ul\s*>|<ol\b.*?</ol\s*>", r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+
+
+def _html_text(x: str) -> str:
+    runs = f"string_split_regex({x}, {o.rx(structure.TAG)})"
+    clean = "x"
+    for entity, char in structure.ENTITIES:
+        clean = f"replace({clean}, {o.q(entity)}, {o.q(char)})"
+    return f"array_to_string(list_filter(list_transform({runs}, lambda x: {o.strip(clean)}), lambda x: x <> ''), ' ')"
+
+
+@query(f"""WITH c AS (SELECT page_id, regexp_replace(html, {_CLEAN}, '', 'g') AS c FROM pages), b AS (SELECT *, {_html_text('c')} AS text, {_html_text(f"regexp_replace(c, {o.rx(structure.HEAD)}, '', 'g')")} AS body FROM c)
+SELECT page_id AS doc_id, len(regexp_extract_all(c, {o.rx(_H)})) AS headers, len(list_filter(regexp_extract_all(c, {o.rx(_L)}), lambda x: regexp_matches(x, '(?i)<li\\b'))) AS lists, len(regexp_extract_all(c, {o.rx(_A)})) AS links, length(text) AS text_length, len({o.words('body')}) AS word_count FROM b""")
+def page_structure(spark: SparkSession, sf: str) -> DataFrame:
+    p = structure.parse_html(tables.read_pages(spark, sf))
+    return p.select("doc_id", F.size("headers").alias("headers"), F.size("lists").alias("lists"), F.size("links").alias("links"), F.char_length("text").alias("text_length"), "word_count")
+
+
+@query(f"""WITH c AS (SELECT page_id AS doc_id, regexp_replace(html, {_CLEAN}, '', 'g') AS c FROM pages), a AS (SELECT doc_id, unnest(regexp_extract_all(c, {o.rx(_A)})) AS x FROM c)
+SELECT doc_id, {_html_text('x')} AS text, regexp_extract(x, {o.rx(_A)}, 1) AS url FROM a""")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.parse_html(tables.read_pages(spark, sf)).select("doc_id", F.explode("links").alias("l")).select("doc_id", "l.text", "l.url")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_hash, 'markdown' AS format, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.dedup_content(tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.lit("markdown").alias("format")))
+
+
+# ---- detectors ----
+
+
+def _detector(pattern: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return detectors.detect(_parsed(spark, sf), {pattern: detectors.registry()[pattern]}).select("doc_id", f"{pattern}.score", f"{pattern}.detected")
+
+    query(f"{o.FOUND} SELECT doc_id, {pattern}_s AS score, {pattern}_d AS detected FROM found", f"k_{pattern}")(run)
+
+
+for _p in detectors.PATTERNS:
+    _detector(_p)
+
+
+@query(name="entity_surface")
+def _entity_surface(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.detect(_parsed(spark, sf), {"entity_density": detectors.entity_density("surface")}).select("doc_id", "entity_density.score", "entity_density.entity_count")
+
+
+# ---- scores ----
+
+
+@query(f"{o.FOUND}, w AS (SELECT doc_id, len(ws) AS total, unnest(ws) AS word FROM (SELECT doc_id, {o.words('text_lc')} AS ws FROM found)) SELECT doc_id, word, count(*) AS n, count(*) / any_value(total)::DOUBLE AS share FROM w WHERE length(word) > 4 GROUP BY doc_id, word HAVING count(*) > any_value(total) * 0.05::DOUBLE")
+def keyword_density(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.keyword_density(_parsed(spark, sf))
+
+
+@query(f"{o.AUDITS} SELECT doc_id, penalty_density, penalty_stuffing, penalty_structure FROM audits")
+def penalties(spark: SparkSession, sf: str) -> DataFrame:
+    return _audits(spark, sf).select("doc_id", "penalty_density", "penalty_stuffing", "penalty_structure")
+
+
+@query(f"{o.AUDITS} SELECT doc_id, wc AS word_count, {', '.join(f'{p}_s AS {p}_score' for p in detectors.PATTERNS)}, total, penalty_density, penalty_stuffing, penalty_structure, score, grade FROM audits")
+def audit_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.flat(_audits(spark, sf))
+
+
+@query(f"{o.AUDITS} SELECT grade, count(*) AS documents FROM audits GROUP BY 1")
+def grade_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.grade_histogram(_audits(spark, sf))
+
+
+@query(f"{o.AUDITS} SELECT lang, source, count(*) AS documents, round(avg(score), 6) AS avg_score, min(score) AS min_score, max(score) AS max_score FROM audits GROUP BY ROLLUP (lang, source)")
+def score_report(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score_report(_audits(spark, sf))
+
+
+@query(f"{o.AUDITS}, {o.LONG} SELECT pattern, avg(detected::INT) AS rate, round(avg(score), 6) AS avg_score FROM scores GROUP BY 1")
+def pattern_detection_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.detection_rate(_scores(spark, sf))
+
+
+@query(f"{o.AUDITS}, {o.LONG} SELECT doc_id, pattern, {o.r1('score / max * 100')} AS percent FROM scores")
+def pattern_percent(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.pattern_percent(_scores(spark, sf))
+
+
+@query(f"{o.AUDITS} SELECT doc_id, {o.r1(' + '.join(f'{p}_s / {scoring.WEIGHTS[p]} * 10' for p in detectors.PATTERNS))} AS total FROM audits")
+def reweighted_total(spark: SparkSession, sf: str) -> DataFrame:
+    """All patterns weigh ten."""
+    out = _audits(spark, sf).select("doc_id", *detectors.PATTERNS)
+    total = F.lit(0.0)
+    for p in detectors.PATTERNS:
+        total = total + F.col(f"{p}.score") / F.col(f"{p}.max") * 10
+    return out.select("doc_id", (F.floor(total * 10 + 0.5) / 10).alias("total"))
+
+
+# ---- gaps ----
+
+
+@query(f"{o.GAPROWS} SELECT * FROM gaps")
+def gaps_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return _gaps(spark, sf)
+
+
+@query(f"{o.GAPROWS} SELECT * FROM gaps WHERE rank <= 5")
+def top_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.top_gaps(_gaps(spark, sf), 5)
+
+
+@query(f"{o.GAPROWS} SELECT doc_id, severity, count(*) AS gaps FROM gaps GROUP BY GROUPING SETS ((doc_id), (severity), ())")
+def gap_census(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.gap_census(_gaps(spark, sf))
+
+
+@query(f"{o.GAPROWS} SELECT doc_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM gaps GROUP BY 1")
+def gap_severities(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.severity_pivot(_gaps(spark, sf))
+
+
+_TITLE = "array_to_string(list_transform(string_split(replace({0}, '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+
+
+@query(f"""{o.GAPROWS}, hi AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS n FROM gaps WHERE rank <= 10 AND severity = 'high'),
+lo AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM scores WHERE score / max < 0.5)
+SELECT doc_id, n, 'high' AS priority, category, 'Fix ' || {_TITLE.format('category')} || ' Gap' AS title, description, 'High citation boost (+20-30%)' AS expected_impact, 'Medium' AS effort FROM hi WHERE n <= 3
+UNION ALL SELECT doc_id, n + 3, 'medium', pattern, 'Improve ' || {_TITLE.format('pattern')}, 'Current score: ' || regexp_replace(score::VARCHAR, '\\.0$', '') || '/' || max || '. Increase ' || replace(pattern, '_', ' ') || ' to boost citations.', 'Medium citation boost (+10-20%)', 'Low' FROM lo WHERE n <= 3""")
+def recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.recommendations(_scores(spark, sf))
+
+
+@query(f"{o.GAPROWS}, {o.LIB} SELECT doc_id, pattern, severity, boost_min, boost_max, row_number() OVER (PARTITION BY doc_id ORDER BY boost_max DESC, boost_min DESC, pattern) AS priority FROM gaps JOIN library ON score_key = pattern")
+def gap_boosts(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.gap_boosts(_gaps(spark, sf))
+
+
+@query(f"{o.GAPROWS} SELECT doc_id, rank AS n, 'inject' AS type, 'Fixed: ' || description AS description, 0 AS \"start\", 0 AS \"end\", '' AS original_text, '' AS optimized_text, 5 AS expected_uplift FROM gaps WHERE rank <= 10 AND doc_id IN (SELECT a.doc_id FROM articles a JOIN documents d ON a.doc_id = d.doc_id WHERE a.content IS DISTINCT FROM d.text)")
+def planned_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.planned_changes(_pairs(spark, sf), _gaps(spark, sf))
+
+
+@query(f"""{o.GAPROWS}, g AS (SELECT doc_id, string_agg('- ' || description, chr(10) ORDER BY rank) AS asks FROM gaps WHERE rank <= 5 GROUP BY 1)
+SELECT doc_id, concat_ws(chr(10) || chr(10), 'Rewrite the content so that answer engines cite it more.', 'Gaps to mend:' || chr(10) || coalesce(asks, ''), {o.q(gaps.STYLES['preserve'])}, 'Work in, where it fits:' || chr(10) || {(' || chr(10) || ').join(o.q(f'{i}. {t}') for i, t in enumerate(gaps.TASKS, 1))}, 'Content:' || chr(10) || coalesce(content, '')) AS prompt FROM articles LEFT JOIN g USING (doc_id)""")
+def rewrite_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.rewrite_requests(tables.articles(spark, sf), _gaps(spark, sf))
+
+
+@query(f"WITH {o.LIB} SELECT *, row_number() OVER (ORDER BY boost_max DESC, boost_min DESC, id) AS rank FROM library WHERE (SELECT count(*) FROM documents) >= 0")
+def pattern_library(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.ranked_library(spark)
+
+
+# ---- two versions ----
+
+
+_BOTH = f"""WITH {o.ARTICLES}, originals AS (SELECT doc_id, text AS content FROM documents), {o.parsed_of('originals', 'p0')}, {o.detectors_of('p0', 'f0')}, {o.audits_of('f0', 'a0')}, {o.parsed_of('articles', 'p1')}, {o.detectors_of('p1', 'f1')}, {o.audits_of('f1', 'a1')}"""
+
+
+def _uplift(spark: SparkSession, sf: str) -> DataFrame:
+    before = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return compare.uplift(before, tables.articles(spark, sf))
+
+
+@query(f"{_BOTH} SELECT doc_id, a0.score AS before, a1.score AS after, a1.score - a0.score AS uplift FROM a0 JOIN a1 USING (doc_id)")
+def uplift(spark: SparkSession, sf: str) -> DataFrame:
+    return _uplift(spark, sf)
+
+
+@query(f"{_BOTH} SELECT doc_id, a0.score AS before, a1.score AS after, a1.score - a0.score AS uplift FROM a0 JOIN a1 USING (doc_id) WHERE a1.score < a0.score")
+def negative_uplift(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.negative_uplift(_uplift(spark, sf))
+
+
+def _line_rows(of: str, column: str) -> str:
+    return f"(SELECT doc_id, text, line, row_number() OVER (PARTITION BY doc_id, text ORDER BY line) AS nth FROM (SELECT doc_id, unnest(string_split({column}, chr(10))) AS text, generate_subscripts(string_split({column}, chr(10)), 1) AS line FROM {of}))"
+
+
+@query(f"WITH {o.ARTICLES} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.line IS NULL THEN 'add' ELSE 'remove' END AS type, coalesce(a.line, b.line) AS line, coalesce(a.text, b.text) AS text FROM {_line_rows('documents', 'text')} a FULL JOIN {_line_rows('articles', 'content')} b ON a.doc_id = b.doc_id AND a.text = b.text AND a.nth = b.nth WHERE a.line IS NULL OR b.line IS NULL")
+def line_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.line_diff(_pairs(spark, sf))
+
+
+@query(f"""WITH {o.ARTICLES}, wa AS (SELECT doc_id, {o.words('text')} AS w FROM documents), wb AS (SELECT doc_id, {o.words('content')} AS w FROM articles), ca AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM wa) GROUP BY 1, 2), cb AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM wb) GROUP BY 1, 2),
+c AS (SELECT ca.doc_id, sum(least(ca.n, cb.n)) AS common FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.w = cb.w GROUP BY 1)
+SELECT wa.doc_id, len(wb.w) - len(wa.w) AS added_words, 2 * coalesce(common, 0)::DOUBLE / (len(wa.w) + len(wb.w)) AS similarity FROM wa JOIN wb ON wa.doc_id = wb.doc_id LEFT JOIN c ON c.doc_id = wa.doc_id""")
+def text_diff_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.text_diff_stats(_pairs(spark, sf))
+
+
+# ---- benchmarks and cache ----
+
+
+@query(f"{o.AUDITS} SELECT doc_id, score, percentile FROM audits")
+def percentile_band(spark: SparkSession, sf: str) -> DataFrame:
+    return _audits(spark, sf).select("doc_id", "score", "percentile")
+
+
+@query(f"{o.AUDITS} SELECT doc_id, engine, greatest(0.0::DOUBLE, score - off) AS engine_score FROM audits CROSS JOIN (VALUES {', '.join(f'({o.q(e)}, {x})' for e, x in benchmarks.ENGINE_OFFSETS.items())}) v(engine, off)")
+def engine_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _audits(spark, sf).select("doc_id", F.explode("engine_scores").alias("engine", "engine_score"))
+
+
+@query(f"{o.AUDITS} SELECT doc_id, score, percent_rank() OVER (ORDER BY score) AS corpus_percentile FROM audits")
+def corpus_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.corpus_percentile(_audits(spark, sf).select("doc_id", "score")).select("doc_id", "score", "corpus_percentile")
+
+
+@query(f"{o.AUDITS} SELECT doc_id, lang, percent_rank() OVER (PARTITION BY lang ORDER BY score) AS corpus_percentile FROM audits")
+def language_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.corpus_percentile(_audits(spark, sf).select("doc_id", "lang", "score"), "lang").select("doc_id", "lang", "corpus_percentile")
+
+
+@query(f"""{o.AUDITS}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), top AS (SELECT v.* FROM v JOIN audits ON vec_id = doc_id WHERE score >= 10),
+s AS (SELECT q.vec_id AS query_id, t.vec_id AS vec_id, round(list_cosine_similarity(q.e, t.e), 6) AS similarity FROM v q JOIN top t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 5""")
+def similar_top_scored(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = tables.read(spark, sf, "embeddings")
+    good = _audits(spark, sf).filter("score >= 10").select(F.col("doc_id").alias("vec_id"))
+    return benchmarks.similar_top_scored(vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors.join(good, "vec_id"), 5)
+
+
+def _kept_audits(spark: SparkSession, sf: str) -> DataFrame:
+    """Audits of the even documents, made up to 48 hours ago."""
+    docs = tables.articles(spark, sf).filter("doc_id % 2 = 0")
+    made = tables.as_of() - F.make_dt_interval(F.lit(0), (F.col("doc_id") % 48).cast("int"))
+    return cache.hashed(docs).select("doc_id", "content_hash", "format", made.alias("created_at"), (made + F.expr("INTERVAL 24 HOURS")).alias("expires_at"))
+
+
+_KEPT = f"WITH {o.ARTICLES}, h AS (SELECT doc_id, sha256(content) AS content_hash FROM articles), kept AS (SELECT content_hash FROM h WHERE doc_id % 2 = 0 AND {o.AT} - to_hours(doc_id % 48) + INTERVAL 24 HOUR > {o.AT})"
+
+
+@query(f"{_KEPT} SELECT doc_id, content_hash FROM h WHERE content_hash IN (SELECT content_hash FROM kept)")
+def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.cached(tables.articles(spark, sf), _kept_audits(spark, sf), tables.as_of()).select("doc_id", "content_hash")
+
+
+@query(f"{_KEPT} SELECT doc_id, content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM kept)")
+def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.new_documents(tables.articles(spark, sf), _kept_audits(spark, sf), tables.as_of()).select("doc_id", "content_hash")
+
+
+@query(f"{o.AUDITS}, a AS (SELECT doc_id, doc_id % 100 AS user_id, score, {o.AT} - to_hours(doc_id % 500) AS created_at FROM audits), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, doc_id) AS rank FROM a) SELECT user_id, 'user' || user_id AS name, rank, doc_id, score, created_at FROM r WHERE rank <= 10")
+def recent_audits(spark: SparkSession, sf: str) -> DataFrame:
+    own = _audits(spark, sf).select("doc_id", (F.col("doc_id") % 100).alias("user_id"), "score", (tables.as_of() - F.make_dt_interval(F.lit(0), (F.col("doc_id") % 500).cast("int"))).alias("created_at"))
+    users = own.select("user_id").distinct().withColumn("name", F.concat(F.lit("user"), F.col("user_id").cast("string")))
+    return cache.recent_audits(own, users)
+
+
+def _mixed_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of which every 11th has no content."""
+    return tables.articles(spark, sf).withColumn("content", F.when(F.col("doc_id") % 11 != 0, F.col("content")))
+
+
+@query(f"{o.AUDITS} SELECT doc_id, url, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 11 <> 0 THEN score END AS score, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_REQUEST' END AS error FROM audits")
+def batch_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.batch_audit(_mixed_batch(spark, sf))
+
+
+# ---- validation ----
+
+
+@query(f"""WITH {o.ARTICLES}, u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN replace(url, '://', ':/') ELSE url END AS url FROM pages) SELECT page_id, url, regexp_matches(url, {o.VALID_URL}) AS valid FROM u""")
+def validate_urls(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id") % 5
+    urls = tables.read(spark, sf, "pages").select("page_id", F.when(i == 0, F.replace("url", F.lit("http"), F.lit("ftp"))).when(i == 1, F.replace("url", F.lit("://"), F.lit(":/"))).otherwise(F.col("url")).alias("url"))
+    return urls.withColumn("valid", validate.is_valid_url(F.col("url")))
+
+
+@query(f"WITH {o.ARTICLES}, {o.parsed_of('articles')} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_REQUEST' WHEN wc > 50000 THEN 'CONTENT_TOO_LARGE' END AS error_code FROM parsed")
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    ok, bad = validate.split_valid(_mixed_batch(spark, sf))
+    return ok.select("doc_id", F.lit(None).cast("string").alias("error_code")).unionByName(bad.select("doc_id", "error_code"))
+
+
+@query(f"WITH {o.LIB} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'step_by_step' WHEN 1 THEN 'meta_context' ELSE 'none' END AS pattern_id, name, CASE WHEN name IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status FROM documents LEFT JOIN library ON id = CASE doc_id % 3 WHEN 0 THEN 'step_by_step' WHEN 1 THEN 'meta_context' ELSE 'none' END")
+def pattern_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id") % 3
+    asked = tables.read(spark, sf, "documents").select("doc_id", F.when(i == 0, "step_by_step").when(i == 1, "meta_context").otherwise("none").alias("pattern_id"))
+    return gaps.lookup_patterns(asked).select("doc_id", "pattern_id", "name", "status")
+
+
+@query("SELECT doc_id, CASE WHEN lang <> 'en' THEN 'UNSUPPORTED_LANGUAGE' END AS lang_error FROM documents")
+def language_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.language_gate(tables.read(spark, sf, "documents")).select("doc_id", "lang_error")
+
+
+# ---- citations ----
+
+
+@query(f"SELECT page_id, url, {o.DOMAIN.format('url')} AS domain FROM pages")
+def url_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read(spark, sf, "pages").select("page_id", "url", domain(F.col("url")).alias("domain"))
+
+
+@query(f"WITH {o.CITATIONS} SELECT id, url, domain, engine, prompt, citation_text, position, confidence, strftime(detected_at, '%Y-%m-%dT%H:%M:%S') AS detected_at FROM recent")
+def citation_view(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.citation_view(_recent(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS} SELECT id, url, engine, detected_at FROM recent ORDER BY detected_at DESC, id LIMIT 50")
+def list_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.list_citations(_recent(spark, sf)).select("id", "url", "engine", "detected_at")
+
+
+@query(f"WITH {o.CITATIONS} SELECT least(count(*), 50) AS returned_count, count(*) AS total_count, count(*) >= 50 AS has_more FROM recent")
+def list_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.list_summary(_recent(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS} SELECT engine, count(*) AS citations FROM recent GROUP BY 1")
+def citations_by_engine(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.by_engine(_recent(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS} SELECT url, count(*) AS citations, max(detected_at) AS latest, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM recent GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10")
+def top_cited_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.top_cited(_recent(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS}, spine AS (SELECT unnest(generate_series(date_trunc('day', {o.AT} - INTERVAL 30 DAY)::TIMESTAMP, date_trunc('day', {o.AT})::TIMESTAMP, INTERVAL 1 DAY)) AS period) SELECT period, count(id) AS citations FROM spine LEFT JOIN recent ON date_trunc('day', detected_at) = period GROUP BY 1")
+def citation_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.citation_trend(tables.citations(spark, sf), tables.as_of())
+
+
+@query(f"WITH {o.CITATIONS} SELECT count(*) AS total_citations FROM recent")
+def total_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.dashboard(tables.citations(spark, sf), tables.as_of())["total_citations"]
+
+
+@query(f"WITH {o.CITATIONS}, c AS (SELECT engine, domain, count(*) AS citations FROM recent GROUP BY 1, 2) SELECT *, citations / sum(citations) OVER (PARTITION BY engine) AS share FROM c")
+def share_of_voice(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.share_of_voice(_recent(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS} SELECT engine, domain, count(*) AS citations FROM recent GROUP BY CUBE (engine, domain)")
+def voice_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.voice_cube(_recent(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS}, c AS (SELECT domain, date_trunc('week', detected_at)::TIMESTAMP AS period, count(*) AS citations FROM citations GROUP BY 1, 2), b AS (SELECT *, lag(citations) OVER (PARTITION BY domain ORDER BY period) AS before FROM c) SELECT domain, period, before, citations, (before - citations) / before::DOUBLE AS drop FROM b WHERE citations < before * 0.8::DOUBLE")
+def citation_drops(spark: SparkSession, sf: str) -> DataFrame:
+    return citations.citation_drops(tables.citations(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS} SELECT event_id::VARCHAR AS id, url, {o.DOMAIN.format('url')} AS domain, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE value / 500 END AS confidence, CASE WHEN event_id % 5 = 0 THEN false ELSE event_id % 4 = 0 END AS verified FROM events CROSS JOIN npages LEFT JOIN pages ON page_id = event_id % n")
+def store_citations(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("id").cast("long")
+    given = tables.citations(spark, sf).withColumns({"confidence": F.when(i % 3 != 0, F.col("confidence")), "verified": F.when(i % 5 != 0, F.col("verified"))})
+    return tables.store_citations(given, tables.as_of()).select("id", "url", "domain", "confidence", "verified")
+
+
+@query(f"""WITH {o.CITATIONS}, plan AS (SELECT url, prompt, engine FROM pages CROSS JOIN (VALUES ('q1'), ('q2'), ('q3')) p(prompt) CROSS JOIN (VALUES ('grok'), ('claude')) e(engine))
+SELECT * FROM plan WHERE (url, prompt, engine) NOT IN (SELECT (url, prompt, engine) FROM citations WHERE url IS NOT NULL AND detected_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR)""")
+def probe_plan(spark: SparkSession, sf: str) -> DataFrame:
+    prompts = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "prompt string")
+    return citations.probe_plan(tables.read(spark, sf, "pages"), prompts, None, tables.citations(spark, sf), tables.as_of("2024-01-30 00:00:00"))
+
+
+@query(rf"""WITH {o.ANSWERS}, f AS (SELECT answer_id, engine, text, unnest(regexp_extract_all(text, {o.rx(citations.URL_IN_TEXT)})) AS raw, generate_subscripts(regexp_extract_all(text, {o.rx(citations.URL_IN_TEXT)}), 1) AS i FROM answers),
+g AS (SELECT *, regexp_replace(raw, '[.,;:!?]+$', '') AS url FROM f), u AS (SELECT answer_id, engine, url, {o.DOMAIN.format('url')} AS domain, min(i) AS position FROM g GROUP BY 1, 2, 3, 4)
+SELECT answer_id, engine, url, domain, CASE WHEN url IN (SELECT url FROM pages) THEN 'url' ELSE 'domain' END AS match, position FROM u WHERE domain IN (SELECT {o.DOMAIN.format('url')} FROM pages)""")
+def detect_citations(spark: SparkSession, sf: str) -> DataFrame:
+    tracked = url_domains(spark, sf)
+    return citations.detect_citations(tables.answers(spark, sf), tracked).drop("excerpt")
+
+
+_RUNS = "SELECT {0} AS id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i+7], ' ')))) AS r FROM (SELECT {0}, {1} AS w FROM {2})"
+
+
+@query(f"""WITH a AS ({_RUNS.format('doc_id', o.words('lower(text)'), 'documents')}), p AS ({_RUNS.format('item_id', o.words('lower(text)'), 'benchmark')}), s AS (SELECT id, count(*) AS runs FROM p GROUP BY 1), h AS (SELECT a.id AS answer_id, p.id AS passage_id, count(*) AS hits FROM a JOIN p ON a.r = p.r GROUP BY 1, 2)
+SELECT answer_id, passage_id, hits / runs::DOUBLE AS containment FROM h JOIN s ON s.id = passage_id WHERE hits / runs::DOUBLE >= 0.5""")
+def quoted_passages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text")
+    return citations.quoted_passages(docs, tables.read(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text"))
+
+
+# ---- usage ----
+
+
+def _keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A key for each kind of event but errors."""
+    kinds = tables.read(spark, sf, "events").select("event_type").distinct().filter("event_type <> 'error'")
+    return kinds.select(F.sha2(F.concat(F.lit("key"), "event_type"), 256).alias("key_hash"), F.col("event_type").alias("name"), (F.col("event_type") != "view").alias("is_active"), F.lit(None).cast("timestamp").alias("expires_at"))
+
+
+@query(f"WITH {o.REQUESTS} SELECT sha256(api_key) AS key_hash, substr(api_key, 4) AS name, count(*) AS usage_count, max(ts) AS last_used, substr(api_key, 4) <> 'view' AS usable FROM requests WHERE api_key <> 'keyerror' GROUP BY api_key")
+def key_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.key_usage(tables.requests(spark, sf), _keys(spark, sf), tables.as_of())
+
+
+@query(f"WITH {o.REQUESTS} SELECT sha256(api_key) AS key_hash, count(*) AS requests FROM requests WHERE api_key = 'keyerror' GROUP BY 1")
+def unknown_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.unknown_keys(tables.requests(spark, sf), _keys(spark, sf))
+
+
+@query(f"WITH {o.REQUESTS} SELECT path, count(*) AS requests, round(avg(duration_s), 6) AS mean_s, round(quantile_cont(duration_s, 0.5), 6) AS p50_s, round(quantile_cont(duration_s, 0.99), 6) AS p99_s, avg(CASE WHEN status >= 500 THEN 1.0 ELSE 0.0 END) AS error_rate FROM requests GROUP BY 1")
+def latency_report(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.latency_report(tables.requests(spark, sf))
+
+
+@query()
+def rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.rate_breaches(tables.requests(spark, sf))
+
+
+@query(f"WITH {o.REQUESTS} SELECT api_key, date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS requests FROM requests GROUP BY 1, 2 HAVING count(*) > 60")
+def requests_per_minute(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.requests_per_minute(tables.requests(spark, sf))
+
+
+# ---- the streaming forms, over a whole table ----
+
+
+@query(f"WITH {o.CITATIONS} SELECT date_trunc('day', detected_at)::TIMESTAMP AS period, engine, count(*) AS citations FROM citations GROUP BY 1, 2")
+def tumbling_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.stream_counts(tables.citations(spark, sf))
+
+
+@query(f"WITH {o.CITATIONS}, w AS (SELECT date_trunc('day', detected_at)::TIMESTAMP - to_days(i::INT) AS period_start FROM citations CROSS JOIN range(30) r(i)) SELECT period_start, period_start + INTERVAL 30 DAY AS period_end, count(*) AS citations FROM w GROUP BY 1")
+def sliding_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.rolling_rate(tables.citations(spark, sf))
+
+
+@query(f"WITH {o.REQUESTS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER k < INTERVAL 10 SECOND THEN 0 ELSE 1 END AS new FROM requests WINDOW k AS (PARTITION BY api_key ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY api_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT api_key, min(ts) AS session_start, max(ts) + INTERVAL 10 SECOND AS session_end, count(*) AS requests FROM s GROUP BY api_key, n")
+def usage_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.usage_sessions(tables.requests(spark, sf), "10 seconds")
+
+
+@query(f"WITH {o.CITATIONS}, w AS (SELECT url FROM pages WHERE page_id % 10 = 0) SELECT '{{\"event\":\"citation.detected\",\"data\":{{\"id\":\"' || id || '\",\"url\":\"' || url || '\",\"engine\":\"' || engine || '\",\"prompt\":\"' || prompt || '\",\"detected_at\":\"' || strftime(detected_at, '%Y-%m-%dT%H:%M:%S') || '\"}}}}' AS payload FROM citations WHERE url IN (SELECT url FROM w)")
+def citation_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.alerts(tables.citations(spark, sf), tables.read(spark, sf, "pages").filter("page_id % 10 = 0"))
+
+
+# ---- further measures ----
+
+
+@query(f"""{o.AUDITS}, y AS (SELECT *, {o.counts('text', detectors.TEMPORAL)} AS dates, {o.counts('text_lc', detectors.CITATION_HOOKS)} AS cites, {o.count('text', tier2.CLAIMS)} AS claims, list_max(list_transform(regexp_extract_all(text, '(?:19|20)[0-9][0-9]'), lambda v: v::INT)) AS latest FROM audits)
+SELECT doc_id, CASE WHEN wc > 500 AND dates / greatest(wc, 1)::DOUBLE * 500 < 1 THEN 10 ELSE 0 END AS low_density, CASE WHEN dates = 0 OR coalesce(latest, 2024) < 2022 THEN 10 ELSE 0 END AS stale, CASE WHEN claims > 0 AND cites = 0 THEN 5 ELSE 0 END AS unsupported FROM y""")
+def stale_content(spark: SparkSession, sf: str) -> DataFrame:
+    return tier2.content_penalties(_audits(spark, sf))
+
+
+@query(f"{o.AUDITS}, e AS (SELECT url, count(*)::DOUBLE AS n FROM (SELECT p.url FROM events CROSS JOIN npages LEFT JOIN pages p ON p.page_id = event_id % n WHERE value / 500 >= 0.5) GROUP BY 1), s AS (SELECT url, avg(score) AS score FROM audits GROUP BY 1) SELECT count(*) AS pages, round(covar_pop(score, e.n) / nullif(stddev_pop(score) * stddev_pop(e.n), 0), 6) AS r FROM s JOIN e USING (url)")
+def score_citation_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return tier2.score_citation_corr(_audits(spark, sf), tables.citations(spark, sf).filter("confidence >= 0.5"))
+
+
+@query()
+def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
+    return tier2.ab_compare(_audits(spark, sf).select(tier2.arm(F.col("doc_id")).alias("arm"), "score"), "score")
+
+
+@query(f"""WITH n AS (SELECT doc_id, len({o.words('text')}) AS words, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences, len(regexp_extract_all(lower(text), {o.rx(tier2.VOWELS)})) AS syllables FROM documents) SELECT *, CASE WHEN words > 0 THEN round(0.39::DOUBLE * words / sentences + 11.8::DOUBLE * syllables / words - 15.59::DOUBLE, 4) ELSE 0.0 END AS grade FROM n""")
+def readability(spark: SparkSession, sf: str) -> DataFrame:
+    return tier2.readability(tables.read(spark, sf, "documents"))
+
+
+@query(f"WITH {o.CITATIONS} SELECT count(*) FILTER (confidence >= 0.5 AND verified) / count(*) FILTER (confidence >= 0.5)::DOUBLE AS precision, count(*) FILTER (confidence >= 0.5 AND verified) / count(*) FILTER (verified)::DOUBLE AS recall FROM citations")
+def detection_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return tier2.detection_quality(tables.citations(spark, sf))
+
+
+@query(f"WITH {o.REQUESTS} SELECT api_key, sum(CASE WHEN date_trunc('day', ts) = TIMESTAMP '2024-01-01' THEN 1 ELSE 0 END) AS today, sum(CASE WHEN date_trunc('month', ts) = TIMESTAMP '2024-01-01' THEN 1 ELSE 0 END) AS this_month FROM requests GROUP BY 1")
+def plan_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return tier2.plan_usage(tables.requests(spark, sf), tables.as_of("2024-01-01 12:00:00"))
