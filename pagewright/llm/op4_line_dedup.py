@@ -23,7 +23,7 @@ def chunk_lines(docs: DataFrame, id_col: str, text_col: str, long_line: int) ->
     bounds depend on five lines around them alone: text put in or taken out elsewhere doesn't shift
     them. A line of `long_line` words or more is a passage itself and so a chunk of its own.
     """
-    text = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.split(text_col, "\n", -1).alias("lines"))
+    text = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.split(text_col, "\n", -1).alias("lines"))
     wide = lambda x: (F.length(x) >= 2 * long_line - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_line)
     hashed = text.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", wide).alias("wide"))
     rolled = hashed.select("doc", "version", "lines", "wide", _rolling(F.col("hashes")).alias("roll"))
@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text count as one document and get the same text; a row with a null id is never an owner
     while others are. Columns of `docs` of any name pass through.
     """
-    cut = chunk_lines(docs, id_col, text_col, long_line)
+    cut = chunk_lines(docs.filter(F.col(text_col).isNotNull()), id_col, text_col, long_line)
     ends = F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), F.size("lines")) - s)
     named = cut.select("doc", "version", _pieces().alias("chunks"), ends.alias("n"))
     counts = lambda c, n: ((n > 1) & c.rlike(r"[^\x20\x09-\x0D]")) | ((F.length(c) >= 2 * long_line - 1) & (F.regexp_count(c, F.lit(WORD)) >= long_line))
@@ -73,16 +73,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = found.filter(~F.coalesce(F.col("doc") == F.col("owner"), F.lit(False)) & ~(F.col("doc").isNull() & F.col("owner").isNull())).select("doc", "version", "k")
     drop = own.unionByName(others).groupBy(F.col("doc").alias("_ld_doc"), F.col("version").alias("_ld_version")).agg(F.collect_set("k").alias("_ld_drop"))
     joined = docs.withColumn("_ld_of", F.xxhash64(text_col)).join(drop, F.col(id_col).eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
-    hit = joined.filter(F.col("_ld_drop").isNotNull())
-    return _without(hit, docs.columns, text_col, long_line).unionByName(joined.filter(F.col("_ld_drop").isNull()).select(*docs.columns))
+    return _without(joined, docs.columns, text_col, long_line)
 
 
-def _without(hit: DataFrame, columns: list[str], text_col: str, long_line: int) -> DataFrame:
-    """Cut the marked chunks out; the row and its marks ride along as the id."""
-    carried = hit.select(F.struct(F.struct(*columns).alias("row"), F.col("_ld_drop").alias("drop")).alias("of"), F.col(text_col).alias("text"))
+def _without(joined: DataFrame, columns: list[str], text_col: str, long_line: int) -> DataFrame:
+    """Cut the marked chunks out of the texts that have any; the row and its marks ride along as the id.
+
+    The new text comes out of a generator, so that conditions a user sets on it are not computed
+    from the lines again.
+    """
+    row = F.struct(F.struct(*columns).alias("row"), F.col("_ld_drop").alias("drop"))
+    carried = joined.select(row.alias("of"), F.when(F.col("_ld_drop").isNotNull(), F.col(text_col)).alias("text"))
     cut = chunk_lines(carried, "of", "text", long_line).select("doc", "lines", "starts").select("doc", _pieces().alias("chunks"))
-    kept = F.filter("chunks", lambda c, k: ~F.array_contains(F.col("doc.drop"), k))
-    return cut.select("doc.row.*", F.array_join(kept, "\n").alias("_ld_text")).select(*(F.col("_ld_text").alias(c) if c == text_col else F.col(c) for c in columns))
+    kept = F.array_join(F.filter("chunks", lambda c, k: ~F.array_contains(F.col("doc.drop"), k)), "\n")
+    text = F.when(F.col("doc.drop").isNotNull(), kept).otherwise(F.col("doc.row")[text_col])
+    out = cut.select("doc", F.explode(F.array(text)).alias("_ld_text")).select("doc.row.*", "_ld_text")
+    return out.select(*(F.col("_ld_text").alias(c) if c == text_col else F.col(c) for c in columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
