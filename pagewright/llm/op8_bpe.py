@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 #: White space as Unicode has it, and what splits a run of other characters into words.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 GAPS = regex.compile(f"[{SPACE}]+")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 ODD = regex.compile("[\x1c-\x1f]")
