@@ -1,0 +1,60 @@
+import collections
+
+import corpus_pipeline as c
+from pagewright.llm import op7_language, op10_simhash
+from pagewright.llm.common import keep
+from tests.llm import edge
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages(spark):
+    docs = edge.table(spark, "documents", "sf0.01")
+    columns, seen = docs.columns, {}
+    for name, stage in c.STAGES:
+        before, docs = docs, keep(stage(spark, docs, SF), f"test-{name}")
+        seen[name] = docs
+        if name != "bpe":
+            assert docs.columns == columns
+        if name == "language":
+            assert docs.count() == before.count()  # all have letters and a clear language
+            assert docs.join(before, "doc_id").filter(docs["lang"] == before["lang"]).count() > 0.98 * before.count()
+        if name == "near_dedup":
+            groups = op10_simhash.near_duplicates(before).toPandas()
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(groups["component_id"].unique())
+        if name == "source_mix":
+            times = collections.Counter(r["doc_id"] for r in docs.collect())
+            assert max(times.values()) <= 3
+            ids = {r["doc_id"]: r["text"] for r in before.collect()}
+            assert all(ids[r["doc_id"]] == r["text"] for r in docs.collect())
+    assert docs.count() == seen["source_mix"].count()
+
+
+def test_rejected_documents(spark):
+    out = c.language(spark, edge.docs(spark).select("doc_id", "text", "lang", "source", "n_chars"), SF)
+    kept = {r["doc_id"] for r in out.collect()}
+    assert not kept & {1, 2, 3, 7} and 4 in kept
+
+
+def test_edges(spark):
+    docs = edge.docs(spark)
+    for _, stage in c.STAGES:
+        assert stage(spark, docs, SF).count() >= 0
+        assert stage(spark, edge.empty(spark), SF).count() == 0
+
+
+def test_shares_come_near_the_targets(spark):
+    docs = edge.table(spark, "documents", "sf0.1")
+    out = c.mix(spark, docs, SF)
+    words = lambda df: {r["source"]: r["n"] for r in df.selectExpr("source", "size(split(trim(text), '\\\\s+')) AS w").groupBy("source").agg({"w": "sum"}).withColumnRenamed("sum(w)", "n").collect()}
+    have, got = words(docs), words(out)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(have))}
+    total, mass = sum(have.values()), sum(weight.values())
+    for s in have:
+        target = min(total * weight[s] / mass, 3 * have[s])
+        assert abs(got[s] - target) < 0.25 * target
+
+
+def test_model_is_the_operators(spark):
+    assert c.STAGES[0][1] is c.language and op7_language.FAMILIES["romance"]
+    assert [n for n, _ in c.STAGES] == ["language", "line_dedup", "near_dedup", "source_mix", "bpe"]
