@@ -111,11 +111,13 @@ class LanguageModel:
 
 
 def fit(counts: np.ndarray, langs: list[str]) -> LanguageModel:
-    """Machines for the languages that occur. Without any, all texts are `und`."""
+    """Machines for the languages that occur. Without any, all texts are `und`. `counts` is worked on in place."""
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(family_of(lang), []).append(lang)
-    x, own = unit(counts), np.array(langs, object)
+    x, own = np.asarray(counts, np.float32), np.array(langs, object)
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     kin = np.array([family_of(lang) for lang in langs], object)
     columns = [linear_svm(x, np.where(kin == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.ones(DIMS + 1, np.float32) for _ in families]
     pairs = [p for members in families.values() for p in combinations(members, 2)]
@@ -137,6 +139,8 @@ def learn(docs: DataFrame, most_rows: int = 3000) -> LanguageModel:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[[has_letter(t) for t in pdf["text"]]]
+            if not len(pdf):
+                continue
             grams = [gram_counts(t) for t in pdf["text"]]
             at = [np.flatnonzero(g) for g in grams]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "lang": pdf["lang"].to_numpy(), "at": at, "n": [g[a] for g, a in zip(grams, at, strict=True)]})
