@@ -88,7 +88,7 @@ def read_sequence(html: str | None) -> list[dict]:
 def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add `sequence` to pages: the ordered items of each page. A null or empty page has none.
 
-    Malformed HTML gives what can be read; text in scripts and styles is left out. A figure's caption
+    Malformed HTML gives what can be read, an unfinished tag at the end as text; text in scripts and styles is left out. A figure's caption
     goes to all media in the figure, else the media's own alternative text is its caption.
     """
     ship(pages.sparkSession)

@@ -12,7 +12,7 @@ def test_sequences():
     got = [(x["pos"], x["kind"], x["text"], x["digest"], x["caption"]) for x in m.read_sequence(page)]
     assert got == [(0, "text", "T", None, None), (1, "text", "one bold", None, None), (2, "text", "two", None, None), (3, "media", "sha256:AB", "ab", "Cap tion"), (4, "media", "b.png", None, "Cap tion"), (5, "text", "three", None, None), (6, "media", "sha256:cd", "cd", "own")]
     assert m.read_sequence(None) == m.read_sequence("") == []
-    assert [x["kind"] for x in m.read_sequence("<p>a<figure><img src=x></p><unclosed")] == ["text", "media"]
+    assert [x["kind"] for x in m.read_sequence("<p>a<figure><img src=x></p><unclosed")] == ["text", "media", "text"]  # an unfinished tag is text
 
 
 def test_query(spark):

@@ -45,7 +45,7 @@ def test_levels(spark, monkeypatch):
     p = edge.by_id(m.shard_documents(edge.table(spark, "documents", "sf0.01"), 10))
     check(p, 10)
     load = p.groupby("shard")["size"].sum()
-    assert len(p) == 1000 and load.max() - load.min() < 0.05 * load.mean()
+    assert len(p) == 1000 and load.max() - load.min() < 0.1 * load.mean()  # eight items a task leave more than 4,096 do
 
 
 def test_edges(spark):
