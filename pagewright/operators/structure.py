@@ -110,15 +110,15 @@ def parse_corpus(docs: DataFrame) -> DataFrame:
 
 
 def doc_elements(parsed: DataFrame) -> DataFrame:
-    """(doc_id, kind, ordinal, level, type, n_items, n_rows, n_cols, text, href), a row an element."""
-    null = lambda t: F.lit(None).cast(t)
+    """(doc_id, kind, ordinal, level, type, n_items, n_rows, n_cols, text, href), a row an element; each document is read once."""
+    fields = {"level": "int", "type": "string", "n_items": "int", "n_rows": "int", "n_cols": "int", "text": "string", "href": "string"}
 
-    def of(kind: str, column: str, **own: str) -> DataFrame:
-        row = parsed.select("doc_id", F.posexplode(column).alias("ordinal", "e"))
-        fields = {"level": "int", "type": "string", "n_items": "int", "n_rows": "int", "n_cols": "int", "text": "string", "href": "string"}
-        return row.select("doc_id", F.lit(kind).alias("kind"), "ordinal", *(F.col(f"e.{own[f]}").alias(f) if f in own else null(t).alias(f) for f, t in fields.items()))
+    def of(kind: str, column: str, **own: str) -> Column:
+        cell = lambda e, f, t: (e[own[f]] if f in own else F.lit(None)).cast(t).alias(f)
+        return F.transform(column, lambda e, i: F.struct(F.lit(kind).alias("kind"), i.alias("ordinal"), *(cell(e, f, t) for f, t in fields.items())))
 
-    return of("header", "headers", level="level", text="text").unionByName(of("table", "tables", n_rows="row_count", n_cols="column_count")).unionByName(of("list", "lists", type="type", n_items="item_count")).unionByName(of("link", "links", text="text", href="url"))
+    every = F.concat(of("header", "headers", level="level", text="text"), of("table", "tables", n_rows="row_count", n_cols="column_count"), of("list", "lists", type="type", n_items="item_count"), of("link", "links", text="text", href="url"))
+    return parsed.select("doc_id", F.explode(every).alias("e")).select("doc_id", "e.*")
 
 
 def structure_report(parsed: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ def score_citation_corr(audits: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def arm(id_col: Column, seed: int = 7) -> Column:
-    """treatment or control, by halves, from the CRC of the id and seed."""
-    return F.when(F.pmod(F.crc32(F.encode(F.concat(id_col.cast("string"), F.lit(f":{seed}")), "UTF-8")), F.lit(2)) == 0, "treatment").otherwise("control")
+    """treatment or control, by halves, from a hash of the id and seed."""
+    return F.when(F.substring(F.md5(F.concat(id_col.cast("string"), F.lit(f":{seed}"))), 1, 1) < "8", "treatment").otherwise("control")
 
 
 def ab_compare(rows: DataFrame, value: str) -> DataFrame:

@@ -105,6 +105,12 @@ def structure_report(spark: SparkSession, sf: str) -> DataFrame:
     return structure.structure_report(_parsed(spark, sf))
 
 
+@query(f"""{o.PARSED}, n AS (SELECT sum(n_headers) AS header, sum(n_tables) AS "table", sum(n_lists) AS list, sum(len(list_filter(regexp_extract_all(body, {o.rx(structure.LINK)}), lambda x: NOT starts_with(x, '!')))) AS link FROM parsed)
+SELECT 'header' AS kind, header AS elements FROM n UNION ALL SELECT 'table', "table" FROM n UNION ALL SELECT 'list', list FROM n UNION ALL SELECT 'link', link FROM n""")
+def element_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.doc_elements(_parsed(spark, sf)).groupBy("kind").agg(F.count("*").alias("elements"))
+
+
 _CLEAN = o.rx(structure.HIDDEN)
 _H, _L, _A = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", r"(?is)<ul\b.*?</ul\s*>|<ol\b.*?</ol\s*>", r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
 
@@ -346,6 +352,14 @@ def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
     return cache.new_documents(tables.articles(spark, sf), _kept_audits(spark, sf), tables.as_of()).select("doc_id", "content_hash")
 
 
+@query(f"{_KEPT}, a AS (SELECT doc_id, {o.AT} - to_hours(doc_id % 48) AS created_at FROM h WHERE doc_id % 2 = 0) SELECT doc_id, created_at + INTERVAL 24 HOUR > {o.AT} AS live, created_at > {o.AT} - INTERVAL 1 DAY AS retained FROM a")
+def audit_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    kept, at = _kept_audits(spark, sf), tables.as_of()
+    rows = lambda df, name: df.select("doc_id", F.lit(True).alias(name))
+    both = kept.select("doc_id").join(rows(cache.expire(kept, at), "live"), "doc_id", "left").join(rows(cache.expire(kept, at, 1), "retained"), "doc_id", "left")
+    return both.select("doc_id", F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("retained", F.lit(False)).alias("retained"))
+
+
 @query(f"{o.AUDITS}, a AS (SELECT doc_id, doc_id % 100 AS user_id, score, {o.AT} - to_hours(doc_id % 500) AS created_at FROM audits), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, doc_id) AS rank FROM a) SELECT user_id, 'user' || user_id AS name, rank, doc_id, score, created_at FROM r WHERE rank <= 10")
 def recent_audits(spark: SparkSession, sf: str) -> DataFrame:
     own = _audits(spark, sf).select("doc_id", (F.col("doc_id") % 100).alias("user_id"), "score", (tables.as_of() - F.make_dt_interval(F.lit(0), (F.col("doc_id") % 500).cast("int"))).alias("created_at"))
@@ -391,6 +405,15 @@ def language_gate(spark: SparkSession, sf: str) -> DataFrame:
     return validate.language_gate(tables.read(spark, sf, "documents")).select("doc_id", "lang_error")
 
 
+@query("SELECT doc_id, length(replace(text || 'x', 'x', '')) AS chars, CASE WHEN doc_id % 4 = 0 THEN 'url' WHEN doc_id % 4 = 1 THEN 'none' ELSE 'content' END AS input, CASE WHEN doc_id % 4 = 0 THEN 'html' ELSE 'markdown' END AS input_format FROM documents")
+def resolved_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which some have a URL, some nothing, and all NUL characters, which go."""
+    i = F.col("doc_id") % 4
+    text = F.concat(F.replace("text", F.lit("x"), F.lit("\x00")), F.lit("\x00"))
+    rows = tables.read(spark, sf, "documents").select("doc_id", F.when(i == 0, "http://a.b").alias("url"), F.when(i != 1, text).alias("content"), F.lit(None).cast("string").alias("format"), validate.sanitize(text).alias("clean"))
+    return validate.resolve_input(rows).select("doc_id", F.char_length("clean").alias("chars"), "input", "input_format")
+
+
 # ---- citations ----
 
 
@@ -409,6 +432,12 @@ def list_citations(spark: SparkSession, sf: str) -> DataFrame:
     return citations.list_citations(_recent(spark, sf)).select("id", "url", "engine", "detected_at")
 
 
+@query(f"WITH {o.CITATIONS} SELECT id, url, engine, detected_at FROM recent WHERE detected_at < TIMESTAMP '2024-01-20 00:00:00' ORDER BY detected_at DESC, id LIMIT 20")
+def next_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of citations after a cursor."""
+    return citations.list_citations(_recent(spark, sf), 20, ("2024-01-20 00:00:00", "~")).select("id", "url", "engine", "detected_at")
+
+
 @query(f"WITH {o.CITATIONS} SELECT least(count(*), 50) AS returned_count, count(*) AS total_count, count(*) >= 50 AS has_more FROM recent")
 def list_summary(spark: SparkSession, sf: str) -> DataFrame:
     return citations.list_summary(_recent(spark, sf))
@@ -552,7 +581,8 @@ def score_citation_corr(spark: SparkSession, sf: str) -> DataFrame:
     return tier2.score_citation_corr(_audits(spark, sf), tables.citations(spark, sf).filter("confidence >= 0.5"))
 
 
-@query()
+@query(f"""{o.AUDITS}, s AS (SELECT CASE WHEN substr(md5(doc_id || ':7'), 1, 1) < '8' THEN 't' ELSE 'c' END AS arm, score FROM audits), a AS (SELECT count(*) FILTER (arm = 't') AS n_t, count(*) FILTER (arm = 'c') AS n_c, avg(score) FILTER (arm = 't') AS m_t, avg(score) FILTER (arm = 'c') AS m_c, var_samp(score) FILTER (arm = 't') AS v_t, var_samp(score) FILTER (arm = 'c') AS v_c FROM s)
+SELECT n_t, n_c, round(m_t, 6) AS mean_t, round(m_c, 6) AS mean_c, round(m_t - m_c, 6) AS difference, round((m_t - m_c) / sqrt(nullif(v_t / n_t + v_c / n_c, 0)), 6) AS t FROM a""")
 def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
     return tier2.ab_compare(_audits(spark, sf).select(tier2.arm(F.col("doc_id")).alias("arm"), "score"), "score")
 
