@@ -6,14 +6,23 @@ import math
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch of rows for Python: texts are long.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+#: Bits of a filter over ids: 16 MB, whatever the input.
+FILTER_BITS = 1 << 27
+
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -38,7 +47,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of all executors, once an application."""
+    """Send this package to the Python workers of all executors, once an application.
+
+    Where the session doesn't set it, batches of rows for Python become smaller: texts are long.
+    """
+    for name, value in ARROW.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     app, top = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
     if app not in _shipped:
         _shipped.add(app)
@@ -81,6 +96,40 @@ def running_sum(df: DataFrame, group: str, order: str, value: Column, out: str,
     return inner.join(offsets, [group, b]).withColumn(out, F.col(s) + F.col(f)).drop(b, s, f)
 
 
+def bit_of(col: Column) -> Column:
+    """The bit of a filter that an id has; piece 0 of Spark's bitmaps is not used."""
+    return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS)) + 1
+
+
+def id_bits(ids: DataFrame, id_col: str) -> Broadcast:
+    """A map of the ids' bits, of fixed size (16 MB), built by Spark in pieces of 4 KB and sent to all tasks."""
+    pieces = ids.select(bit_of(F.col(id_col)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pieces:
+        start = (r["piece"] - 1) * 4096
+        whole[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole)
+
+
+def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether bits from bit_of() are set."""
+    return bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8) & 1 == 1
+
+
+def id_filter(ids: DataFrame, id_col: str) -> Callable[[Column], Column]:
+    """A test that holds for all ids of a frame, and for few others: it lets most rows pass by a join.
+
+    With very many ids the map fills up and lets all rows through; a join still decides.
+    """
+    sent = id_bits(ids, id_col)
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(sent.value, at.to_numpy()))
+
+    return lambda c: test(bit_of(c))
+
+
 def hot_limit(rows: int) -> int:
     """Copies beyond which a key counts as hot. At most 2,000 keys can have more, whatever the input."""
     return max(1000, rows // 2000)

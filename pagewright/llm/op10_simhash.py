@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_key, keep, ship, table
+from .common import bit_of, has_bit, id_bits, join_by_key, keep, ship, table
 
 RADIUS = 3
 #: Candidates of a search that verifies texts may differ in as many bits.
@@ -197,11 +197,11 @@ def _long_run(fp: np.ndarray, node: np.ndarray, cover: bool) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def link_runs(rows: DataFrame, cover: bool) -> DataFrame:
+def link_runs(rows: DataFrame, cover: bool, most_run: int = MOST_RUN) -> DataFrame:
     """Compare the rows (key, fp, node, mask) that share a key, where rows of a key stand together.
 
-    Gives links (kind 0: nodes a, b) and, for keys with more than MOST_RUN rows, the rows themselves
-    (kind 1: fp, node and mask) for refine(). A task holds MOST_RUN rows and a batch at once.
+    Gives links (kind 0: nodes a, b) and, for keys with more than most_run rows, the rows themselves
+    (kind 1: fp, node and mask) for refine(). A task holds most_run rows and a batch at once.
     """
 
     radius = CANDIDATE_RADIUS if cover else RADIUS
@@ -242,14 +242,14 @@ def link_runs(rows: DataFrame, cover: bool) -> DataFrame:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             last = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy()
             whole, rest = pdf[~last], pdf[last]
-            size = whole.groupby("key")["key"].transform("size").to_numpy() if len(whole) > MOST_RUN else np.zeros(len(whole))
-            if (big := size > MOST_RUN).any():
+            size = whole.groupby("key")["key"].transform("size").to_numpy() if len(whole) > most_run else np.zeros(len(whole))
+            if (big := size > most_run).any():
                 part = whole[big]
                 yield _frame(1, part["fp"].to_numpy(), part["node"].to_numpy(), part["mask"].to_numpy())
                 whole = whole[~big]
             if len(whole):
                 yield from links(*(whole[c].to_numpy() for c in ("key", "fp", "node")))
-            if len(rest) > MOST_RUN:
+            if len(rest) > most_run:
                 yield _frame(1, rest["fp"].to_numpy(), rest["node"].to_numpy(), rest["mask"].to_numpy())
                 deferred, rest = rest["key"].iloc[-1], None
         if rest is not None and len(rest):
@@ -285,12 +285,12 @@ def together(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp", "node")
 
 
-def links_of(keys: DataFrame, cover: bool = False) -> DataFrame:
+def links_of(keys: DataFrame, cover: bool = False, most_run: int = MOST_RUN) -> DataFrame:
     """Links (a < b) between nodes under common keys, each once. Runs that are too long go round again, with more bits."""
     found = None
     rows = together(keys).withColumn("mask", F.lit(-1).cast("long"))
     while True:
-        out = keep(link_runs(rows, cover), "simhash-links")
+        out = keep(link_runs(rows, cover, most_run), "simhash-links")
         some = out.filter("kind = 0").select("a", "b")
         found = some if found is None else found.unionByName(some)
         again = out.filter("kind = 1")
@@ -380,11 +380,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     pairs = keep(links_of(keys, cover=True).unionByName(equal).distinct(), "near-candidates")
     wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
 
+    bits = id_bits(wanted, "doc_id")
+
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in pdf["text"]]})
+            pdf = pdf[has_bit(bits.value, pdf["at"].to_numpy())]
+            for k in range(0, len(pdf), 200):
+                part = pdf.iloc[k : k + 200]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in part["text"]]})
 
-    sets = own.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(shingle, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
+    sets = own.select("doc_id", "text", bit_of(F.col("doc_id")).alias("at")).mapInPandas(shingle, "doc_id long, s array<long>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = keep(sets, "near-shingles")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
     common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
