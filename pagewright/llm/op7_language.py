@@ -162,8 +162,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     def of(texts: pd.Series) -> pd.DataFrame:
         lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         rows = [i for i, t in enumerate(texts) if has_letter(t)]
-        for k in range(0, len(rows), 256):
-            part = rows[k : k + 256]
+        for k in range(0, len(rows), 64):
+            part = rows[k : k + 64]
             lang[part], score[part] = model.predict(np.stack([gram_counts(texts.iloc[i]) for i in part]))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
@@ -11,17 +12,37 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
 
+#: Letters, digits and lower-case forms that Unicode 16 and 17 added, which the
+#: vocabulary's library knows and Python 3.13 doesn't.
+NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _class(kind: str, more: list[tuple[int, int]]) -> str:
+    """The code points of a general category, as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == kind:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*runs, *more])
+
+
 #: White space as Unicode has it, and what splits a run of other characters into words.
 SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-GAPS = regex.compile(f"[{SPACE}]+")
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-ODD = regex.compile("[\x1c-\x1f]")
+GAPS = re.compile(f"[{SPACE}]+")
+LETTER, DIGIT = _class("L", NEW_LETTERS), _class("N", NEW_DIGITS)
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
+#: What Python splits or lowers otherwise.
+ODD = re.compile("[\x1c-\x1f" + "".join(map(chr, NEW_LOWER)) + "]")
 NONE = np.iinfo(np.int64).max
 #: Words of more symbols are merged one by one.
 WIDEST = 64
@@ -37,12 +58,12 @@ def byte_letters() -> list[str]:
 class Encoder:
     """A word-end BPE vocabulary read from a tokenizer file."""
 
-    def __init__(self, path: str, cache: int = 150_000) -> None:
+    def __init__(self, path: str, cache: int = 50_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.token = {i: t for t, i in (vocab | self.special).items()}
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
@@ -157,8 +178,8 @@ class Encoder:
         for most in (4, 8, 16, 32, WIDEST):
             some = sorted(w for w in words if top < len(w) <= most)
             top = most
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
+            for k in range(0, len(some), 4_000):
+                part = some[k : k + 4_000]
                 ids.update(zip(part, self.merge_many(part), strict=True))
         none = np.array([], "<u4")
         return {c: np.concatenate([ids[w] for w in ws]) if ws else none for c, ws in split.items()}
@@ -170,8 +191,10 @@ class Encoder:
             if i % 2:
                 out.append(part)
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += [c for c in GAPS.split(part) if c] if ODD.search(part) else part.split()
+            part = unicodedata.normalize("NFC", part)
+            odd = ODD.search(part) is not None
+            part = (part.translate(NEW_LOWER) if odd else part).replace("Σ", "σ").lower()
+            out += [c for c in GAPS.split(part) if c] if odd else part.split()
         return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -210,7 +233,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _parts(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+def _parts(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
     """Runs of texts of about `most` characters."""
     run: list[str] = []
     size = 0
