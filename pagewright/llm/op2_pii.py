@@ -14,7 +14,7 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Mad
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|(?:sk-|ghp_)[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk-|ghp_)[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
@@ -147,9 +147,12 @@ def _email(v: Column, key: str, bump: Column) -> Column:
 
 
 def _secret(v: Column, key: str, bump: Column) -> Column:
+    """A known prefix stays; capitals stay capitals, and name the same secret as small letters."""
     head = F.regexp_extract(v, "^(AKIA|sk-|ghp_)", 1)
-    body = F.substr(F.concat(*(_keyed(key, v, bump, F.lit(i)) for i in range(2))), F.lit(1), F.length(v) - F.length(head))
-    return F.concat(head, F.when(head == "AKIA", F.upper(_letters(body))).otherwise(body))
+    own = F.when(head == "", F.lower(v)).otherwise(v)
+    body = F.substr(F.concat(*(_keyed(key, own, bump, F.lit(i)) for i in range(2))), F.lit(1), F.length(v) - F.length(head))
+    capital = (head == "") & (v == F.upper(v)) & (v != F.lower(v))
+    return _let(body, lambda x: F.concat(head, F.when(head == "AKIA", F.upper(_letters(x))).when(capital, F.upper(x)).otherwise(x)))
 
 
 def _iban(v: Column, key: str, bump: Column) -> Column:

@@ -32,6 +32,13 @@ def test_coreference_and_keys(spark):
     assert redact(spark, ["1.2.3.4"], "k") != redact(spark, ["1.2.3.4"], "other")
 
 
+def test_capitals(spark):
+    low, high = redact(spark, ["5fa2b6cdb08be96a4a469e25fa2b6cdb08be96a4", 'TOKEN = "5FA2B6CDB08BE96A4A469E25FA2B6CDB08BE96A4"!!'])
+    assert high == f'TOKEN = "{low.upper()}"!!'
+    low, high = redact(spark, ["of.12@mail4.example.com", "OF.12@MAIL4.EXAMPLE.COM!!"])
+    assert high == f"{low.upper()}!!"
+
+
 def test_distinct_values_stay_distinct(spark):
     phones = [f"+1 (017) 555-{n:04d}" for n in range(400)] + [f"10.0.{n}.1" for n in range(200)] + [f"{4000000000000000 + n}" for n in range(200)]
     out = redact(spark, phones)
