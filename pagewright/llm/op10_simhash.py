@@ -350,12 +350,188 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     return join_by_key(named, placed, "fp", "copies", named.count()).drop("copies").select("doc_id", "fp", "component_id").unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
+# ---- texts of similar shingles ----
+
+
+def _least(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of n shingles a text of at least the similarity has too."""
+    return np.ceil(similarity * n - 1e-9)
+
+
+def text_sets(own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the shingles of the texts with a wanted id, one row an id."""
+    bits = id_bits(wanted, "doc_id")
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[has_bit(bits.value, pdf["at"].to_numpy())]
+            for k in range(0, len(pdf), 200):
+                part = pdf.iloc[k : k + 200]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in part["text"]]})
+
+    return own.select("doc_id", "text", bit_of(F.col("doc_id")).alias("at")).mapInPandas(shingle, "doc_id long, s array<long>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def verified(own: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the similarity."""
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
+    sets = keep(text_sets(own, wanted, width), "near-shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return both.filter(((total == 0) | (common >= F.lit(similarity) * (total - common)))).select("a", "b")
+
+
+def frequent_shingles(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come often, sorted, and their counts in a sample of the texts.
+
+    They only order a text's shingles, for which any order is right, so a sample and a limit do.
+    """
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 200):
+                sets = [np.unique(shingle_hashes(words_of(t), width)) for t in pdf["text"][k : k + 200]]
+                yield pd.DataFrame({"g": np.concatenate(sets).view(np.int64)})
+
+    sample = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(16)) == 0).select("text")
+    often = sample.mapInPandas(shingle, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "g").limit(100_000).toArrow()
+    g, n = often["g"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
+def _meeting(key: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of equal keys, in different groups, that can have the similarity if this is their first common shingle."""
+
+    def can(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y = n[i], n[j]
+        sizes = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+        left = np.minimum(x - at[i], y - at[j])
+        return (root[i] != root[j]) & sizes & (left * (1 + similarity) >= similarity * (x + y) - 1e-9)
+
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edge)
+    inside = np.repeat(size <= SHORT_RUN, size)
+    for s in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
+        i = np.flatnonzero((key[:-s] == key[s:]) & inside[:-s])
+        i = i[can(i, i + s)]
+        yield i, i + s
+    for start, m in zip(edge[:-1][size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
+        if (root[start : start + m] == root[start]).all():
+            continue
+        for k in range(start, start + m, 256):
+            i, j = np.arange(k, min(k + 256, start + m))[:, None], np.arange(k, start + m)[None, :]
+            x, y = np.nonzero(can(i, j) & (i < j))
+            yield i[x, 0], j[0, y]
+
+
+def meet(rows: DataFrame, similarity: float, most_run: int) -> DataFrame:
+    """Candidates (kind 0: node, root as a pair) of rows (key, node, root, n, at) that share a key.
+
+    Rows of keys that more than most_run texts have come back as they are (kind 1).
+    """
+    columns = ["key", "node", "root", "n", "at"]
+
+    def frame(kind: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[columns].assign(kind=np.int8(kind))[["kind", *columns]]
+
+    def links(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        node = pdf["node"].to_numpy()
+        for i, j in _meeting(*(pdf[c].to_numpy() for c in ("key", "root", "n", "at")), similarity):
+            if len(i):
+                both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+                yield frame(0, pd.DataFrame({"key": 0, "node": both[:, 0], "root": both[:, 1], "n": 0, "at": 0}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, deferred = None, None
+        for pdf in batches:
+            if deferred is not None:
+                more = (pdf["key"] == deferred).to_numpy()
+                yield frame(1, pdf[more])
+                pdf = pdf[~more]
+            if not len(pdf):
+                continue
+            deferred = None
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy()
+            whole, rest = pdf[~last], pdf[last]
+            if len(whole) > most_run:
+                big = (whole.groupby("key")["key"].transform("size") > most_run).to_numpy()
+                yield frame(1, whole[big])
+                whole = whole[~big]
+            yield from links(whole)
+            if len(rest) > most_run:
+                yield frame(1, rest)
+                deferred, rest = rest["key"].iloc[-1], None
+        if rest is not None:
+            yield from links(rest)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "kind byte, key long, node long, root long, n int, at int")
+
+
+def cells(rows: DataFrame, block: int) -> DataFrame:
+    """Deal the rows of keys that many texts have into cells, such that any two rows of different groups meet in one.
+
+    A key's largest group needs no comparison with itself. Its rows and the others are dealt into
+    blocks by a hash; each block of the others has a cell with itself and each later block.
+    """
+    groups = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    sizes = groups.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("major"), F.max("rows").alias("most"), (F.sum("rows") - F.max("rows")).alias("others")).filter("others > 0")
+    cut = sizes.select("key", "major", F.ceil(F.col("others") / block).cast("int").alias("p"), F.ceil(F.col("most") / block).cast("int").alias("q"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("q")).otherwise(F.col("p"))).cast("int")
+    placed = rows.join(F.broadcast(cut), "key").withColumn("x", F.when(F.col("root") == F.col("major"), F.col("p") + own).otherwise(own))
+    before = F.transform(F.sequence(F.lit(0), F.least("x", F.col("p") - 1)), lambda i: F.struct(i.alias("i"), F.col("x").alias("j")))
+    after = F.when((F.col("x") < F.col("p")) & (F.col("x") + 1 < F.col("p") + F.col("q")), F.transform(F.sequence(F.col("x") + 1, F.col("p") + F.col("q") - 1), lambda j: F.struct(F.col("x").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    dealt = placed.withColumn("cell", F.explode(F.concat(before, after)))
+    return dealt.select(F.xxhash64("key", "cell.i", "cell.j").alias("key"), "node", "root", "n", "at")
+
+
+def prefix_candidates(own: DataFrame, groups: DataFrame, width: int, similarity: float, most_run: int = MOST_RUN) -> DataFrame:
+    """(a, b): all pairs of texts of different groups (node, root) that can have the similarity.
+
+    Two sets of that similarity have a common element among the first n - ceil(similarity * n) + 1
+    of each, in any order of all elements; here the rarest come first. Pairs meet under those
+    shingles, unless their sizes or the places of the shingle rule the similarity out.
+    """
+    often = own.sparkSession.sparkContext.broadcast(frequent_shingles(own, width))
+    bits = id_bits(groups, "node")
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, count = often.value
+
+        def first(s: np.ndarray) -> np.ndarray:
+            if not len(s):
+                return np.zeros(1, np.int64)
+            if len(g):
+                at = np.minimum(np.searchsorted(g, s), len(g) - 1)
+                s = s[np.lexsort((s, np.where(g[at] == s, count[at], 0)))]
+            return s[: len(s) - int(_least(len(s), similarity)) + 1].view(np.int64)
+
+        for pdf in batches:
+            pdf = pdf[has_bit(bits.value, pdf["bit"].to_numpy())]
+            for k in range(0, len(pdf), 200):
+                part = pdf.iloc[k : k + 200]
+                sets = [np.unique(shingle_hashes(words_of(t), width)) for t in part["text"]]
+                yield pd.DataFrame({"node": part["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "s": [first(s) for s in sets]})
+
+    made = own.select("doc_id", "text", bit_of(F.col("doc_id")).alias("bit")).mapInPandas(prefix, "node long, n int, s array<long>").join(groups, "node").dropDuplicates(["node"])
+    rows = made.select("node", "root", "n", F.posexplode("s").alias("at", "key")).select("key", "node", "root", "n", "at")
+    out = keep(meet(rows, similarity, most_run), "near-prefixes")
+    pair = lambda df: df.filter("kind = 0").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found, again = pair(out), out.filter("kind = 1").drop("kind")
+    if not again.isEmpty():
+        # A cell has two blocks, so about most_run / 2 rows.
+        found = found.unionByName(pair(meet(cells(again, max(1, most_run // 4)), similarity, 1 << 40)))
+    return keep(found.distinct(), "near-candidates-rest")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): texts whose shingles of `width` words have a Jaccard similarity of `similarity` or more are linked.
 
-    Candidates are texts whose word fingerprints, in one of `tables` tables, have an equal segment
-    and near code words in another; each is verified on the two texts' whole shingle sets. Equal texts are one node. In a key's run of more
-    than SHORT_RUN texts each is a candidate with the densest text near it instead of with all.
+    Exactly: first candidates are texts whose word fingerprints, in one of `tables` tables, have an
+    equal segment and near code words in another, or in a long run the densest text near. They link
+    most near copies cheaply; prefix_candidates() has all pairs that are left between the groups so
+    far. Each pair is verified on the two texts' whole shingle sets. Equal texts are one node.
     Rows with a null id get a null component; rows with the same id stay or go together.
     """
     ship(docs.sparkSession)
@@ -378,23 +554,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
         star = join_by_key(nodes.select("node", name), first.filter("texts > 1"), name, "texts", rows.count()).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         keys, equal = made if keys is None else keys.unionByName(made), star if equal is None else equal.unionByName(star)
     pairs = keep(links_of(keys, cover=True).unionByName(equal).distinct(), "near-candidates")
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
-
-    bits = id_bits(wanted, "doc_id")
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[has_bit(bits.value, pdf["at"].to_numpy())]
-            for k in range(0, len(pdf), 200):
-                part = pdf.iloc[k : k + 200]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in part["text"]]})
-
-    sets = own.select("doc_id", "text", bit_of(F.col("doc_id")).alias("at")).mapInPandas(shingle, "doc_id long, s array<long>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = keep(sets, "near-shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    near = both.filter(((total == 0) | (common >= F.lit(similarity) * (total - common)))).select("a", "b")
-    roots = components(near)
+    near = keep(verified(own, pairs, width, similarity), "near-links")
+    groups = nodes.select("node").join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rest = prefix_candidates(own, keep(groups, "near-groups"), width, similarity)
+    roots = components(near.unionByName(verified(own, rest, width, similarity)))
     placed = nodes.join(roots, "node", "left").select("h1", "h2", "copies", F.coalesce("root", "node").alias("component_id"))
     keyed_rows = rows.select("doc_id", F.concat_ws(":", "h1", "h2").alias("of"))
     out = join_by_key(keyed_rows, placed.select(F.concat_ws(":", "h1", "h2").alias("of"), "copies", "component_id"), "of", "copies", rows.count())

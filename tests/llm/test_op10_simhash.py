@@ -114,3 +114,34 @@ def test_edges(spark):
     near = m.near_duplicates(edge.docs(spark)).toPandas()
     assert len(near) == len(edge.ROWS)
     assert m.near_duplicates(edge.empty(spark)).count() == 0
+
+
+def near_groups(spark, texts):
+    """The groups that near_duplicates() finds and those of all pairs compared."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: frozenset(tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs).collect()}, {i: top(i) for i in texts}
+
+
+def test_appended_passages_are_found(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    texts = {}
+    for i in range(0, 240, 2):
+        words = draw(int(rng.integers(150, 600)))
+        texts[i], texts[i + 1] = " ".join(words), " ".join(words + draw(int(len(words) * (0.1, 0.15, 0.22)[i // 2 % 3])))
+    got, want = near_groups(spark, texts)
+    assert sum(want[i] == want[i + 1] for i in range(0, 240, 2)) > 100
+    assert got == want
