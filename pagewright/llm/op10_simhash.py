@@ -261,6 +261,8 @@ def link_runs(rows: DataFrame, cover: bool, most_run: int = MOST_RUN) -> DataFra
 def refine(deferred: DataFrame) -> DataFrame:
     """Cut runs that are too long: of four parts of the bits not pinned yet one is equal in any pair within 3 bits.
 
+    Pairs of candidates that differ in more bits and part here meet in prefix_candidates().
+
     The new key has that part's bits (with those pinned before, which `mask` tells from the others),
     so three quarters of the bits stay open. Where few are open, there are few fingerprints.
     """

@@ -145,3 +145,33 @@ def test_appended_passages_are_found(spark):
     got, want = near_groups(spark, texts)
     assert sum(want[i] == want[i + 1] for i in range(0, 240, 2)) > 100
     assert got == want
+
+
+def twins_of_a_template(groups):
+    """Pairs that share over 0.8, in groups of one template of which others share about 0.6."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for g, pairs in enumerate(groups):
+        template = [f"t{g}_{i}" for i in range(120)]
+        for p in range(pairs):
+            words = list(template)
+            for at in rng.choice(120, 6, replace=False):
+                words[int(at)] = f"p{g}_{p}_{at}"
+            twin = list(words)
+            twin[60:60] = [f"q{g}_{p}_{i}" for i in range(int(rng.integers(4, 14)))]
+            texts[len(texts)], texts[len(texts)] = " ".join(words), " ".join(twin)
+    return texts
+
+
+def test_twins_in_a_hot_group_are_found(spark):
+    got, want = near_groups(spark, twins_of_a_template([500, 5]))
+    assert len(set(want.values())) > 100
+    assert got == want
+
+
+def test_long_runs_are_compared_whole(spark):
+    texts = twins_of_a_template([60, 4])
+    own = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = own.selectExpr("doc_id AS node", "CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id END AS root")
+    pairs = [sorted((r["a"], r["b"]) for r in m.prefix_candidates(own, groups, 5, 0.8, most).collect()) for most in (2048, 20)]
+    assert len(pairs[0]) > 50 and pairs[0] == pairs[1]
