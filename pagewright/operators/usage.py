@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.ship import ship
@@ -40,20 +41,45 @@ def admit(times: list[float], recent: list[float], limit: int, seconds: float) -
     return out, list(window)
 
 
+def stretches(requests: DataFrame, seconds: int) -> DataFrame:
+    """Add `stretch`: a key's requests are cut where `seconds` or more lie between two, over which no limit reaches.
+
+    Such a gap is never within one piece of `seconds`, so the cuts are found from the pieces' first
+    and last times alone.
+    """
+    cut = requests.withColumn("piece", F.expr(f"unix_micros(ts) div {seconds * 1_000_000}"))
+    pieces = cut.groupBy("api_key", "piece").agg(F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last"))
+    order = Window.partitionBy("api_key").orderBy("piece")
+    starts = F.when(F.coalesce(F.col("first") - F.lag("last").over(order) >= seconds * 1_000_000, F.lit(True)), F.col("piece"))
+    marked = pieces.withColumn("start", starts).withColumn("stretch", F.last("start", ignorenulls=True).over(order))
+    marked = marked.select(F.col("api_key").alias("of"), F.col("piece").alias("at"), "stretch")
+    return cut.join(marked, F.col("api_key").eqNullSafe(F.col("of")) & F.col("piece").eqNullSafe(F.col("at"))).drop("of", "at", "piece")
+
+
 def rate_breaches(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """(request_id, api_key, ts) of refused requests, exactly: the state runs along each key's requests in order.
 
-    The requests of one key are one group; requests_per_minute() is an approximation without that.
+    A task reads a stretch in batches and holds one batch and the last admitted times, `limit` at
+    most. Stretches of a key go to different tasks; one without a gap of `seconds` stays in one.
     """
 
     ship(requests.sparkSession)
 
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        ok, _ = admit((pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist(), [], limit, seconds)
-        return pdf[[not x for x in ok]][["request_id", "api_key", "ts"]]
-
-    return requests.select("request_id", "api_key", "ts").groupBy("api_key").applyInPandas(per_key, "request_id long, api_key string, ts timestamp")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = None, []
+        for pdf in batches:
+            ok = []
+            for now, part in pdf.groupby(["api_key", "stretch"], sort=False, dropna=False):
+                now = tuple(None if pd.isna(x) else x for x in now)
+                if now != key:
+                    key, recent = now, []
+                some, recent = admit(part["us"].tolist(), recent, limit, seconds * 1_000_000)
+                ok.extend(some)
+            yield pdf[[not x for x in ok]][["request_id", "api_key", "ts"]]
+
+    rows = stretches(requests.select("request_id", "api_key", "ts"), seconds).withColumn("us", F.unix_micros("ts"))
+    placed = rows.repartition("api_key", "stretch").sortWithinPartitions("api_key", "stretch", "ts", "request_id")
+    return placed.mapInPandas(run, "request_id long, api_key string, ts timestamp")
 
 
 def requests_per_minute(requests: DataFrame, limit: int = 60) -> DataFrame:

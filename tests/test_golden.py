@@ -142,6 +142,22 @@ def test_admission():
     assert ok[:60] == [True] * 60 and ok[60:] == [False, False, True, False]
 
 
+def test_breaches_run_over_batches_and_gaps(spark):
+    times = [i * 700_000 for i in range(900)] + [900_000_000 + i * 400_000 for i in range(400)] + [1_120_000_000 + i * 900_000 for i in range(100)]
+    rows = spark.createDataFrame([(i, k, t) for k in ("a", "b", None) for i, t in enumerate(times)], "request_id long, api_key string, us long").select("request_id", "api_key", F.timestamp_micros("us").alias("ts"))
+    want = {i for i, ok in enumerate(admit(times, [], 60, 60_000_000)[0]) if not ok}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = usage.rate_breaches(rows)
+        got = [(r["api_key"], r["request_id"]) for r in out.collect()]
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert want and sorted(got, key=str) == sorted(((k, i) for k in ("a", "b", None) for i in want), key=str)
+    assert usage.stretches(rows, 60).select("api_key", "stretch").distinct().count() == 9
+    assert "FlatMapGroupsInPandas" not in plan  # no group in one frame
+
+
 def test_rate_and_dates(spark):
     rows = spark.createDataFrame([("1", "u", "d", "grok", "2024-01-01 00:00:00"), ("2", "u", "d", "grok", "2023-12-31 23:59:59")], "id string, url string, domain string, engine string, at string").withColumn("detected_at", F.col("at").cast("timestamp"))
     at = F.lit("2024-01-31 00:00:00").cast("timestamp")
