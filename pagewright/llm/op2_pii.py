@@ -36,6 +36,8 @@ SYLLABLES = {
     "latin": ["ba", "de", "ka", "lo", "mi", "na", "no", "pe", "ra", "ri", "sa", "so", "ta", "ti", "va", "vo"],
     "cyrillic": ["ба", "де", "ка", "ло", "ми", "на", "но", "пе", "ра", "ри", "са", "со", "та", "ти", "ва", "во"],
 }
+#: A family name has so many syllables, and one more each time it is bumped, as far as PATTERNS["name"] finds it whole.
+FEWEST, MOST = 4, 15
 _HEX = "0123456789abcdef"
 
 
@@ -175,7 +177,8 @@ def _name(v: Column, key: str, bump: Column) -> Column:
     title = F.regexp_extract(v, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
     rest = F.substr(v, F.length(title) + 1, F.length(v))
     script = lambda s, g: _pick(GIVEN[s, g], _number(key, v, bump, F.lit("given")))
-    family = lambda s: F.initcap(F.concat(*(_pick(SYLLABLES[s], _number(key, v, bump, F.lit(i))) for i in range(4))))
+    last_one = F.least(bump + (FEWEST - 1), F.lit(MOST - 1))
+    family = lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), last_one), lambda i: _pick(SYLLABLES[s], _number(key, v, bump, i))), ""))
     cyrillic, male = rest.rlike(r"\p{IsCyrillic}"), title.rlike(rf"^(?:{MALE})\b(?<!Señora)")
     given = F.when(cyrillic & male, script("cyrillic", "m")).when(cyrillic, script("cyrillic", "f")).when(male, script("latin", "m")).otherwise(script("latin", "f"))
     last = F.when(cyrillic, family("cyrillic")).otherwise(family("latin"))
@@ -213,7 +216,8 @@ def find_collisions(values: DataFrame, key: str) -> DataFrame:
 
     It can't if another value has the same one, or if it is itself a value of the corpus. Such
     values are hashed anew with a counter until all surrogates differ from each other and from the
-    values. Most digit formats are permuted, so few values come here.
+    values. Most digit formats are permuted, so few values come here; names grow with the counter, so
+    there are always enough of them.
     """
     now = keep(values.select("value", F.lit(0).alias("bump")), "pii-values")
     while True:

@@ -53,6 +53,23 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(set(made.values())) == 4 and "s1" not in made.values()
 
 
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(m, "SYLLABLES", {"latin": ["ba", "de"], "cyrillic": ["ба", "де"]})  # 16 family names of four syllables
+    rounds = []
+
+    def kept(df, name, keep=m.keep):
+        rounds.append(name)
+        assert len(rounds) < 60, "no end"
+        return keep(df, name)
+
+    monkeypatch.setattr(m, "keep", kept)
+    names = [f"Mr {a}{b}" for a in ("Smith", "Jones", "Kent") for b in "abcdefghijklmnop"]
+    bumps = m.find_collisions(spark.createDataFrame([(v,) for v in names], "value string"), "k")
+    rows = spark.createDataFrame([(v,) for v in names], "value string").join(bumps, "value", "left").select("value", m.surrogate(F.col("value"), F.coalesce("bump", F.lit(0)), "k").alias("new")).collect()
+    assert len({r["new"] for r in rows}) == len(names)
+    assert not {r["new"] for r in rows} & set(names)
+
+
 def test_clean_text_stays(spark):
     texts = ["no data here", "in 2024, 12 of 345.", "version 1.2.3", "a@b", "Misty Mr. x"]
     assert redact(spark, texts) == texts
