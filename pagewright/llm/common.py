@@ -28,10 +28,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, as in tests, one of our own if it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
@@ -79,17 +81,18 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8"))
 
 
-def running_sum(df: DataFrame, group: str, order: str, value: Column, out: str, rows: int) -> DataFrame:
+def running_sum(df: DataFrame, group: str, order: list[str], value: Column, out: str, rows: int) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same `group` that come before.
 
-    The order is by (a hash bucket of `order`, `order`). A group is cut into about sqrt(rows)
-    buckets: one window runs over the buckets' sums and one over the rows of a bucket, so no task
-    holds more than about the square root of the largest group. `group` must not be null.
+    The order is by (a hash bucket of `order`, `order`); rows equal in `order` should be equal in
+    `value`, so that reruns agree. A group is cut into about sqrt(rows) buckets: one window runs over
+    the buckets' sums and one over the rows of a bucket, so no task holds more than about the square
+    root of the largest group. `group` must not be null.
     """
     buckets = max(1, math.isqrt(max(rows, 1)))
     b, s, f = f"_{out}_bucket", f"_{out}_inner", f"_{out}_offset"
-    cut = df.withColumn(b, F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
-    inner = cut.withColumn(s, F.coalesce(F.sum(value).over(Window.partitionBy(group, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    cut = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    inner = cut.withColumn(s, F.coalesce(F.sum(value).over(Window.partitionBy(group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     sums = cut.groupBy(group, b).agg(F.sum(value).alias(f))
     before = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn(f, F.coalesce(F.sum(f).over(before), F.lit(0)).cast("long"))

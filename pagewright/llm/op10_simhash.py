@@ -11,7 +11,6 @@ under a key are verified on all 64 bits.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -21,11 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_of, has_bit, id_bits, join_by_key, keep, ship, table
+from .common import join_by_key, keep, ship, table
 
 RADIUS = 3
-#: Candidates of a search that verifies texts may differ in as many bits.
-CANDIDATE_RADIUS = 8
 #: Rows of one key that a task compares at once; longer runs are cut by further bits.
 MOST_RUN = 2048
 #: Up to this many rows of a key are compared pair by pair without a matrix.
@@ -67,23 +64,6 @@ def majority(hashes: np.ndarray) -> int:
     return _pack(2 * total > len(hashes))
 
 
-def word_fingerprints(words: list[bytes], tables: int) -> list[int]:
-    """Fingerprints of a text's words, each by the root of its count: one a table, from independent bits."""
-    if not words:
-        return [0] * tables
-    count = Counter(words)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in count), np.uint64, len(count))
-    weight = np.sqrt(np.fromiter(count.values(), np.float32, len(count)))
-    out = []
-    with np.errstate(over="ignore"):
-        for _ in range(tables):
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out.append(_pack(2 * (weight @ bits) > weight.sum()))
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return out
-
-
 # ---- Golay keys ----
 
 _tables: tuple[np.ndarray, np.ndarray] | None = None
@@ -127,8 +107,8 @@ def near_words(v: np.ndarray, width: int) -> np.ndarray:
     return np.where(around == 1 << 20, -1, around)
 
 
-def golay_keys(fingerprints: np.ndarray, space: int = 0, triples: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of some fingerprints; keys of different spaces never meet. Without `triples` only pairs with an equal segment meet."""
+def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of some fingerprints; any two within 3 bits have one in common."""
     raw = [(fingerprints >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in CUTS]
     near = [near_words(v, w) for v, (_, w) in zip(raw, CUTS, strict=True)]
     own = [decode(v) for v in raw]
@@ -137,26 +117,24 @@ def golay_keys(fingerprints: np.ndarray, space: int = 0, triples: bool = True) -
     def add(kind: int, key: np.ndarray, real: np.ndarray) -> None:
         row, *_ = np.nonzero(real)
         rows.append(row)
-        keys.append(key[real] | (space * 8 + kind) << 40)
+        keys.append(key[real] | kind << 40)
 
     for kind, (equal, other) in enumerate(permutations(range(3), 2)):
         add(kind, raw[equal][:, None] << 12 | near[other], near[other] >= 0)
-    if not triples:
-        return np.concatenate(rows), np.concatenate(keys)
     first, third = near[0][:, :, None], near[2][:, None, :]
     add(6, first << 24 | own[1][:, None, None] << 12 | third, (first >= 0) & (third >= 0))
     add(6, own[0][:, None] << 24 | near[1] << 12 | own[2][:, None], near[1] >= 0)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(nodes: DataFrame, space: int = 0, triples: bool = True) -> DataFrame:
+def keyed(nodes: DataFrame) -> DataFrame:
     """(key, fp, node) of nodes(node, fp): all keys of each fingerprint."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), 2000):
                 fp, node = (pdf[c].to_numpy()[k : k + 2000] for c in ("fp", "node"))
-                row, key = golay_keys(fp.view(np.uint64), space, triples)
+                row, key = golay_keys(fp.view(np.uint64))
                 order = np.lexsort((row, key))
                 row, key = row[order], key[order]
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
@@ -174,21 +152,18 @@ def _frame(kind: int, a: np.ndarray, b: np.ndarray, mask: np.ndarray | int) -> p
     return pd.DataFrame({"kind": np.full(len(a), kind, np.int8), "a": a, "b": b, "mask": np.broadcast_to(np.asarray(mask, np.int64), len(a))})
 
 
-def _long_run(fp: np.ndarray, node: np.ndarray, cover: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that hold a run together, at most one a row: a spanning forest, or with `cover` a star around each densest row."""
+def _long_run(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a run's links: at most one link a row, and the same groups as all of them."""
     u = fp.view(np.uint64)
-    close = np.bitwise_count(u[:, None] ^ u[None, :]) <= (CANDIDATE_RADIUS if cover else RADIUS)
+    close = np.bitwise_count(u[:, None] ^ u[None, :]) <= RADIUS
     left, a, b = np.ones(len(fp), bool), [], []
-    degree = close.sum(axis=1)
     while left.any():
-        hub = int(np.argmax(np.where(left, degree, -1)))
+        hub = int(np.argmax(left))
         group = front = np.zeros(len(fp), bool)
         front[hub] = True
         while front.any():
             group = group | front
             front = close[front].any(axis=0) & left & ~group
-            if cover:
-                group, front = group | front, np.zeros(len(fp), bool)
         left &= ~group
         members = np.flatnonzero(group)
         members = members[members != hub]
@@ -197,15 +172,13 @@ def _long_run(fp: np.ndarray, node: np.ndarray, cover: bool) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def link_runs(rows: DataFrame, cover: bool, most_run: int = MOST_RUN) -> DataFrame:
+def link_runs(rows: DataFrame, most_run: int = MOST_RUN) -> DataFrame:
     """Compare the rows (key, fp, node, mask) that share a key, where rows of a key stand together.
 
     Gives links (kind 0: nodes a, b) and, for keys with more than most_run rows, the rows themselves
     (kind 1: fp, node and mask) for refine(). A task holds most_run rows and a batch at once.
     """
 
-    radius = CANDIDATE_RADIUS if cover else RADIUS
-
     def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pd.DataFrame]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(edge)
@@ -214,11 +187,11 @@ def link_runs(rows: DataFrame, cover: bool, most_run: int = MOST_RUN) -> DataFra
         a, b = [], []
         for s in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
             at = np.flatnonzero((key[:-s] == key[s:]) & inside[:-s])
-            at = at[(np.bitwise_count(u[at] ^ u[at + s]) <= radius) & (node[at] != node[at + s])]
+            at = at[(np.bitwise_count(u[at] ^ u[at + s]) <= RADIUS) & (node[at] != node[at + s])]
             a.append(node[at])
             b.append(node[at + s])
         for start, n in zip(edge[:-1][size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
-            x, y = _long_run(fp[start : start + n], node[start : start + n], cover)
+            x, y = _long_run(fp[start : start + n], node[start : start + n])
             a.append(x)
             b.append(y)
         if a:
@@ -261,8 +234,6 @@ def link_runs(rows: DataFrame, cover: bool, most_run: int = MOST_RUN) -> DataFra
 def refine(deferred: DataFrame) -> DataFrame:
     """Cut runs that are too long: of four parts of the bits not pinned yet one is equal in any pair within 3 bits.
 
-    Pairs of candidates that differ in more bits and part here meet in prefix_candidates().
-
     The new key has that part's bits (with those pinned before, which `mask` tells from the others),
     so three quarters of the bits stay open. Where few are open, there are few fingerprints.
     """
@@ -287,12 +258,12 @@ def together(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp", "node")
 
 
-def links_of(keys: DataFrame, cover: bool = False, most_run: int = MOST_RUN) -> DataFrame:
+def links_of(keys: DataFrame, most_run: int = MOST_RUN) -> DataFrame:
     """Links (a < b) between nodes under common keys, each once. Runs that are too long go round again, with more bits."""
     found = None
     rows = together(keys).withColumn("mask", F.lit(-1).cast("long"))
     while True:
-        out = keep(link_runs(rows, cover, most_run), "simhash-links")
+        out = keep(link_runs(rows, most_run), "simhash-links")
         some = out.filter("kind = 0").select("a", "b")
         found = some if found is None else found.unionByName(some)
         again = out.filter("kind = 1")
@@ -308,20 +279,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes: the root is the smallest node that can be reached.
 
     Large-star and small-star in turn: each node's neighbours are tied to its smallest one, until
-    nothing changes. Links are tables in the shared folder, never collected.
+    nothing changes. Links are tables in the shared folder, never collected; a node that very many
+    links have is sent to all tasks instead of gathering its links in one.
     """
     now, seen = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "groups-links"), None
+    rows = now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("copies"))
+        large = join_by_key(both, low, "u", "copies", rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies"))
+        small = join_by_key(large, below, "u", "copies", rows).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = keep(small, "groups-links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = state
+        seen, rows = state, state[0]
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,220 +325,6 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     return join_by_key(named, placed, "fp", "copies", named.count()).drop("copies").select("doc_id", "fp", "component_id").unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-# ---- texts of similar shingles ----
-
-
-def _least(n: np.ndarray, similarity: float) -> np.ndarray:
-    """How many of n shingles a text of at least the similarity has too."""
-    return np.ceil(similarity * n - 1e-9)
-
-
-def text_sets(own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the shingles of the texts with a wanted id, one row an id."""
-    bits = id_bits(wanted, "doc_id")
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[has_bit(bits.value, pdf["at"].to_numpy())]
-            for k in range(0, len(pdf), 200):
-                part = pdf.iloc[k : k + 200]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in part["text"]]})
-
-    return own.select("doc_id", "text", bit_of(F.col("doc_id")).alias("at")).mapInPandas(shingle, "doc_id long, s array<long>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
-def verified(own: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have the similarity."""
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
-    sets = keep(text_sets(own, wanted, width), "near-shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return both.filter(((total == 0) | (common >= F.lit(similarity) * (total - common)))).select("a", "b")
-
-
-def frequent_shingles(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that come often, sorted, and their counts in a sample of the texts.
-
-    They only order a text's shingles, for which any order is right, so a sample and a limit do.
-    """
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 200):
-                sets = [np.unique(shingle_hashes(words_of(t), width)) for t in pdf["text"][k : k + 200]]
-                yield pd.DataFrame({"g": np.concatenate(sets).view(np.int64)})
-
-    sample = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(16)) == 0).select("text")
-    often = sample.mapInPandas(shingle, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "g").limit(100_000).toArrow()
-    g, n = often["g"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    order = np.argsort(g)
-    return g[order], n[order]
-
-
-def _meeting(key: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of equal keys, in different groups, that can have the similarity if this is their first common shingle."""
-
-    def can(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        x, y = n[i], n[j]
-        sizes = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
-        left = np.minimum(x - at[i], y - at[j])
-        return (root[i] != root[j]) & sizes & (left * (1 + similarity) >= similarity * (x + y) - 1e-9)
-
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    size = np.diff(edge)
-    inside = np.repeat(size <= SHORT_RUN, size)
-    for s in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
-        i = np.flatnonzero((key[:-s] == key[s:]) & inside[:-s])
-        i = i[can(i, i + s)]
-        yield i, i + s
-    for start, m in zip(edge[:-1][size > SHORT_RUN], size[size > SHORT_RUN], strict=True):
-        if (root[start : start + m] == root[start]).all():
-            continue
-        for k in range(start, start + m, 256):
-            i, j = np.arange(k, min(k + 256, start + m))[:, None], np.arange(k, start + m)[None, :]
-            x, y = np.nonzero(can(i, j) & (i < j))
-            yield i[x, 0], j[0, y]
-
-
-def meet(rows: DataFrame, similarity: float, most_run: int) -> DataFrame:
-    """Candidates (kind 0: node, root as a pair) of rows (key, node, root, n, at) that share a key.
-
-    Rows of keys that more than most_run texts have come back as they are (kind 1).
-    """
-    columns = ["key", "node", "root", "n", "at"]
-
-    def frame(kind: int, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[columns].assign(kind=np.int8(kind))[["kind", *columns]]
-
-    def links(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        node = pdf["node"].to_numpy()
-        for i, j in _meeting(*(pdf[c].to_numpy() for c in ("key", "root", "n", "at")), similarity):
-            if len(i):
-                both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
-                yield frame(0, pd.DataFrame({"key": 0, "node": both[:, 0], "root": both[:, 1], "n": 0, "at": 0}))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, deferred = None, None
-        for pdf in batches:
-            if deferred is not None:
-                more = (pdf["key"] == deferred).to_numpy()
-                yield frame(1, pdf[more])
-                pdf = pdf[~more]
-            if not len(pdf):
-                continue
-            deferred = None
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy()
-            whole, rest = pdf[~last], pdf[last]
-            if len(whole) > most_run:
-                big = (whole.groupby("key")["key"].transform("size") > most_run).to_numpy()
-                yield frame(1, whole[big])
-                whole = whole[~big]
-            yield from links(whole)
-            if len(rest) > most_run:
-                yield frame(1, rest)
-                deferred, rest = rest["key"].iloc[-1], None
-        if rest is not None:
-            yield from links(rest)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "kind byte, key long, node long, root long, n int, at int")
-
-
-def cells(rows: DataFrame, block: int) -> DataFrame:
-    """Deal the rows of keys that many texts have into cells, such that any two rows of different groups meet in one.
-
-    A key's largest group needs no comparison with itself. Its rows and the others are dealt into
-    blocks by a hash; each block of the others has a cell with itself and each later block.
-    """
-    groups = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    sizes = groups.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("major"), F.max("rows").alias("most"), (F.sum("rows") - F.max("rows")).alias("others")).filter("others > 0")
-    cut = sizes.select("key", "major", F.ceil(F.col("others") / block).cast("int").alias("p"), F.ceil(F.col("most") / block).cast("int").alias("q"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("q")).otherwise(F.col("p"))).cast("int")
-    placed = rows.join(F.broadcast(cut), "key").withColumn("x", F.when(F.col("root") == F.col("major"), F.col("p") + own).otherwise(own))
-    before = F.transform(F.sequence(F.lit(0), F.least("x", F.col("p") - 1)), lambda i: F.struct(i.alias("i"), F.col("x").alias("j")))
-    after = F.when((F.col("x") < F.col("p")) & (F.col("x") + 1 < F.col("p") + F.col("q")), F.transform(F.sequence(F.col("x") + 1, F.col("p") + F.col("q") - 1), lambda j: F.struct(F.col("x").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    dealt = placed.withColumn("cell", F.explode(F.concat(before, after)))
-    return dealt.select(F.xxhash64("key", "cell.i", "cell.j").alias("key"), "node", "root", "n", "at")
-
-
-def prefix_candidates(own: DataFrame, groups: DataFrame, width: int, similarity: float, most_run: int = MOST_RUN) -> DataFrame:
-    """(a, b): all pairs of texts of different groups (node, root) that can have the similarity.
-
-    Two sets of that similarity have a common element among the first n - ceil(similarity * n) + 1
-    of each, in any order of all elements; here the rarest come first. Pairs meet under those
-    shingles, unless their sizes or the places of the shingle rule the similarity out.
-    """
-    often = own.sparkSession.sparkContext.broadcast(frequent_shingles(own, width))
-    bits = id_bits(groups, "node")
-
-    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, count = often.value
-
-        def first(s: np.ndarray) -> np.ndarray:
-            if not len(s):
-                return np.zeros(1, np.int64)
-            if len(g):
-                at = np.minimum(np.searchsorted(g, s), len(g) - 1)
-                s = s[np.lexsort((s, np.where(g[at] == s, count[at], 0)))]
-            return s[: len(s) - int(_least(len(s), similarity)) + 1].view(np.int64)
-
-        for pdf in batches:
-            pdf = pdf[has_bit(bits.value, pdf["bit"].to_numpy())]
-            for k in range(0, len(pdf), 200):
-                part = pdf.iloc[k : k + 200]
-                sets = [np.unique(shingle_hashes(words_of(t), width)) for t in part["text"]]
-                yield pd.DataFrame({"node": part["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "s": [first(s) for s in sets]})
-
-    made = own.select("doc_id", "text", bit_of(F.col("doc_id")).alias("bit")).mapInPandas(prefix, "node long, n int, s array<long>").join(groups, "node").dropDuplicates(["node"])
-    rows = made.select("node", "root", "n", F.posexplode("s").alias("at", "key")).select("key", "node", "root", "n", "at")
-    out = keep(meet(rows, similarity, most_run), "near-prefixes")
-    pair = lambda df: df.filter("kind = 0").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found, again = pair(out), out.filter("kind = 1").drop("kind")
-    if not again.isEmpty():
-        # A cell has two blocks, so about most_run / 2 rows.
-        found = found.unionByName(pair(meet(cells(again, max(1, most_run // 4)), similarity, 1 << 40)))
-    return keep(found.distinct(), "near-candidates-rest")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): texts whose shingles of `width` words have a Jaccard similarity of `similarity` or more are linked.
-
-    Exactly: first candidates are texts whose word fingerprints, in one of `tables` tables, have an
-    equal segment and near code words in another, or in a long run the densest text near. They link
-    most near copies cheaply; prefix_candidates() has all pairs that are left between the groups so
-    far. Each pair is verified on the two texts' whole shingle sets. Equal texts are one node.
-    Rows with a null id get a null component; rows with the same id stay or go together.
-    """
-    ship(docs.sparkSession)
-    fps = [f"fp{i}" for i in range(tables)]
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([word_fingerprints(words_of(t), tables) for t in pdf["text"]], np.uint64).reshape(len(pdf), tables).view(np.int64)
-            yield pdf[["doc_id", "h1", "h2"]].assign(**{name: fp[:, i] for i, name in enumerate(fps)})
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.col(text_col).alias("text"))
-    rows = keep(own.mapInPandas(make, "doc_id long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in fps)), "near-fingerprints")
-    nodes = keep(rows.groupBy("h1", "h2", *fps).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "near-nodes")
-    # Texts of one fingerprint are candidates of their first; that one alone meets others.
-    keys, equal = None, None
-    for i, name in enumerate(fps):
-        first = nodes.groupBy(name).agg(F.min("node").alias("hub"), F.count("*").alias("texts"))
-        made = keyed(first.select(F.col("hub").alias("node"), F.col(name).alias("fp")), i, False)
-        star = join_by_key(nodes.select("node", name), first.filter("texts > 1"), name, "texts", rows.count()).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        keys, equal = made if keys is None else keys.unionByName(made), star if equal is None else equal.unionByName(star)
-    pairs = keep(links_of(keys, cover=True).unionByName(equal).distinct(), "near-candidates")
-    near = keep(verified(own, pairs, width, similarity), "near-links")
-    groups = nodes.select("node").join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = prefix_candidates(own, keep(groups, "near-groups"), width, similarity)
-    roots = components(near.unionByName(verified(own, rest, width, similarity)))
-    placed = nodes.join(roots, "node", "left").select("h1", "h2", "copies", F.coalesce("root", "node").alias("component_id"))
-    keyed_rows = rows.select("doc_id", F.concat_ws(":", "h1", "h2").alias("of"))
-    out = join_by_key(keyed_rows, placed.select(F.concat_ws(":", "h1", "h2").alias("of"), "copies", "component_id"), "of", "copies", rows.count())
-    return out.select("doc_id", "component_id").unionByName(docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("component_id")))
-
-
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents' three-word shingles and the groups they link."""
     out = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

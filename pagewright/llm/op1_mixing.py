@@ -146,12 +146,13 @@ def draw_slots(spark: SparkSession, plan: MixPlan, shard_blocks: int = 1024) ->
                 place = permute(at + np.arange(n), min(shard_blocks, total - shard * shard_blocks), plan.key(-1, shard))
                 yield pd.DataFrame({"shard": shard, "slot": place, "src": own.astype(np.int32), "block": block, "used": used})
 
-    return running_sum(drawn, "src", "shard", F.col("n"), "base", shards).mapInPandas(slots, "shard long, slot long, src int, block long, used long")
+    placed = running_sum(drawn, "src", ["shard"], F.col("n"), "base", shards).repartition(max(1, math.ceil(shards / 16)), "shard")
+    return placed.mapInPandas(slots, "shard long, slot long, src int, block long, used long")
 
 
 def pack_blocks(sized: DataFrame, plan: MixPlan, rows: int) -> DataFrame:
-    """Rows (.., src, size) laid end to end by source: adds `start`, the row's first word in its source's stream."""
-    return running_sum(sized, "src", "doc_id", F.col("size"), "start", max(1, rows))
+    """Rows (.., src, size, mark) laid end to end by source, those of one id by size and their text's hash: adds `start`, the row's first word in its source's stream."""
+    return running_sum(sized, "src", ["doc_id", "size", "mark"], F.col("size"), "start", max(1, rows)).drop("mark")
 
 
 def mix_spans(slots: DataFrame, packed: DataFrame, block: int) -> DataFrame:
@@ -179,7 +180,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     has a row a source (as the weights have), `packed` a row a document, `spans` what each slot holds.
     """
     spark = docs.sparkSession
-    sized = keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("mark")), "mix-sizes")
     plan = plan_mix(sized, weights, most, block, seed)
     names = spark.createDataFrame([(s, i) for i, s in enumerate(plan.sources)] or [], "name string, src int")
     src = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # a row a source, as the weights

@@ -22,10 +22,10 @@ _WHERE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline  # at the repository's top, beside the entry points
+    from . import pipeline
 
     found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

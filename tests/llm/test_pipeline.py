@@ -1,7 +1,8 @@
 import collections
 
-import corpus_pipeline as c
-from pagewright.llm import op7_language, op10_simhash
+import corpus_pipeline
+from pagewright.llm import op7_language, op10_near
+from pagewright.llm import pipeline as c
 from pagewright.llm.common import keep
 from tests.llm import edge
 
@@ -20,7 +21,7 @@ def test_stages(spark):
             assert docs.count() == before.count()  # all have letters and a clear language
             assert docs.join(before, "doc_id").filter(docs["lang"] == before["lang"]).count() > 0.98 * before.count()
         if name == "near_dedup":
-            groups = op10_simhash.near_duplicates(before).toPandas()
+            groups = op10_near.near_duplicates(before).toPandas()
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted(groups["component_id"].unique())
         if name == "source_mix":
             times = collections.Counter(r["doc_id"] for r in docs.collect())
@@ -38,8 +39,16 @@ def test_rejected_documents(spark):
 
 def test_edges(spark):
     docs = edge.docs(spark)
+    key = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    every = key(docs)
+    out = {name: stage(spark, docs, SF) for name, stage in c.STAGES}
+    assert key(out["line_dedup"]) == collections.Counter({k: n for k, n in every.items() if k[1] and k[1].strip()} | {(5, ""): 0}) - collections.Counter({(5, "same words here again\nand here"): 1})
+    # 4 stays in both rows and 5 goes as its copy; 2, 3 and the null text of 1 are one group; rows without an id stay.
+    assert key(out["near_dedup"]) == every - collections.Counter({(5, "same words here again\nand here"): 1, (2, ""): 1, (3, " \n\t "): 1})
+    mixed = key(out["source_mix"])
+    assert all(every[k] * 3 >= n and k[1] and k[1].strip() for k, n in mixed.items()) and any(k[0] is None for k in mixed)
+    assert out["bpe"].count() == len(edge.ROWS) and {r["n_tokens"] for r in out["bpe"].filter("text is null" if "text" in out["bpe"].columns else "doc_id in (1, 2, 3)").collect()} == {0}
     for _, stage in c.STAGES:
-        assert stage(spark, docs, SF).count() >= 0
         assert stage(spark, edge.empty(spark), SF).count() == 0
 
 
@@ -57,4 +66,5 @@ def test_shares_come_near_the_targets(spark):
 
 def test_model_is_the_operators(spark):
     assert c.STAGES[0][1] is c.language and op7_language.FAMILIES["romance"]
+    assert corpus_pipeline.STAGES is c.STAGES and corpus_pipeline.run is c.run
     assert [n for n, _ in c.STAGES] == ["language", "line_dedup", "near_dedup", "source_mix", "bpe"]
