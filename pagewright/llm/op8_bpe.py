@@ -40,9 +40,11 @@ def _class(kind: str, more: list[tuple[int, int]]) -> str:
 SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 GAPS = re.compile(f"[{SPACE}]+")
 LETTER, DIGIT = _class("L", NEW_LETTERS), _class("N", NEW_DIGITS)
-WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
+#: The words of runs that newlines separate, and the newlines.
+WORDS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 #: What Python splits or lowers otherwise.
 ODD = re.compile("[\x1c-\x1f" + "".join(map(chr, NEW_LOWER)) + "]")
+FIRST_NEW = min(NEW_LOWER)
 NONE = np.iinfo(np.int64).max
 #: Words of more symbols are merged one by one.
 WIDEST = 64
@@ -55,10 +57,36 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def is_odd(text: str) -> bool:
+    """Whether ODD is in a text; few texts need the search."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return True
+    if text.isascii() or not (np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16) >= FIRST_NEW).any():
+        return False
+    return ODD.search(text) is not None
+
+
+class Runs(dict):
+    """Numbers runs as they are asked for; `new` has those not learnt yet, in order."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        self[run] = n = len(self)
+        self.new.append(run)
+        return n
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start..start+length-1 of each span, one after the other."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
 class Encoder:
-    """A word-end BPE vocabulary read from a tokenizer file."""
+    """A word-end BPE vocabulary read from a tokenizer file. Runs of text that were met stay, up to `cache` of them."""
 
-    def __init__(self, path: str, cache: int = 50_000) -> None:
+    def __init__(self, path: str, cache: int = 200_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
@@ -75,7 +103,12 @@ class Encoder:
         self.keys, self.ranks = keys[order], order
         self.made = np.array([c for *_, c in merges], np.int64)
         self.rank = {(a, b): r for r, (a, b, _) in reversed(list(enumerate(merges)))}
-        self.most, self.new, self.old = cache, {}, {}
+        self.most = cache
+        self.forget()
+
+    def forget(self) -> None:
+        self.runs, self.ids = Runs(), np.zeros(0, "<u4")
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE if it doesn't merge. A symbol of -1 stands for none."""
@@ -83,8 +116,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
-    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of words of at most WIDEST bytes, all at once: one segment tree a word, as rows of a matrix.
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of at most WIDEST bytes, and how many each has, all at once: one segment tree a word, as rows of a matrix.
 
         A leaf holds rank * width + place of the pair that starts there, so a root is the lowest rank
         and of those the leftmost. A merge changes three leaves and the paths above them.
@@ -132,8 +165,7 @@ class Encoder:
             put(live, p, np.where(left == NONE, NONE, left * width + p))
             live = live[tree[live, 1] != NONE]
         kept = sym[:, :-1] >= 0
-        flat, ends = sym[:, :-1][kept], np.cumsum(kept.sum(axis=1))
-        return np.split(flat.astype("<u4"), ends[:-1])
+        return sym[:, :-1][kept].astype("<u4"), kept.sum(axis=1)
 
     def merge_one(self, word: bytes) -> np.ndarray:
         """The same for one long word, on lists."""
@@ -169,20 +201,33 @@ class Encoder:
                 put(p, pair(p))
         return np.array([s for s in sym if s >= 0], "<u4")
 
-    def learn(self, chunks: set[str]) -> dict[str, np.ndarray]:
-        """The ids of runs without white space."""
-        split = {c: [w.encode() for w in WORDS.findall(c)] for c in chunks}
-        words = {w for ws in split.values() for w in ws}
-        ids = {w: self.merge_one(w) for w in words if len(w) > WIDEST}
-        top = 0
-        for most in (4, 8, 16, 32, WIDEST):
-            some = sorted(w for w in words if top < len(w) <= most)
-            top = most
+    def learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs without white space, one after the other, and how many each has."""
+        seen: dict[str, int] = {"\n": 0}
+        at = np.fromiter((seen.setdefault(w, len(seen)) for w in WORDS.findall("\n".join(runs) + "\n")), np.int64)
+        words = list(seen)
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        parts, n, where = [np.zeros(0, "<u4")], np.zeros(len(raw), np.int64), [np.zeros(0, np.int64)]
+        for low, high in ((0, 4), (4, 8), (8, 16), (16, 32), (32, WIDEST)):
+            some = np.flatnonzero((size > low) & (size <= high))
+            some = some[some > 0]
             for k in range(0, len(some), 4_000):
                 part = some[k : k + 4_000]
-                ids.update(zip(part, self.merge_many(part), strict=True))
-        none = np.array([], "<u4")
-        return {c: np.concatenate([ids[w] for w in ws]) if ws else none for c, ws in split.items()}
+                flat, n[part] = self.merge_many([raw[i] for i in part.tolist()])
+                parts.append(flat)
+                where.append(part)
+        for i in np.flatnonzero(size > WIDEST).tolist():
+            parts.append(self.merge_one(raw[i]))
+            n[i] = len(parts[-1])
+            where.append(np.array([i]))
+        start = np.zeros(len(raw), np.int64)
+        placed = np.concatenate(where)
+        start[placed] = np.cumsum(n[placed]) - n[placed]
+        ids = np.concatenate(parts)[spans(start[at], n[at])]
+        ends = np.flatnonzero(at == 0)
+        total = np.concatenate([[0], np.cumsum(n[at])])[ends + 1]
+        return ids, np.diff(total, prepend=0)
 
     def chunks(self, text: str) -> list[str]:
         """A text's runs without white space, normalised; the special tokens' strings stay whole."""
@@ -192,31 +237,29 @@ class Encoder:
                 out.append(part)
                 continue
             part = unicodedata.normalize("NFC", part)
-            odd = ODD.search(part) is not None
+            odd = is_odd(part)
             part = (part.translate(NEW_LOWER) if odd else part).replace("Σ", "σ").lower()
             out += [c for c in GAPS.split(part) if c] if odd else part.split()
         return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.runs) > self.most:
+            self.forget()
         split = [self.chunks(t) for t in texts]
-        ids: dict[str, np.ndarray] = {}
-        unknown = set()
-        for c in set(chain.from_iterable(split)):
-            got = self.new.get(c)
-            if got is None:
-                got = self.old.get(c)
-            if got is None:
-                unknown.add(c)
-            else:
-                ids[c] = got
-        special = {c for c in unknown if c in self.special}
-        ids.update({c: np.array([self.special[c]], "<u4") for c in special})
-        ids.update(self.learn(unknown - special))
-        self.new.update(ids)
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        none = np.array([], "<u4")
-        return [np.concatenate([none, *map(ids.__getitem__, cs)]) for cs in split]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.runs.__getitem__, chain.from_iterable(split)), np.int64, size.sum())
+        if new := self.runs.new:
+            special = {k: self.special[r] for k, r in enumerate(new) if r in self.special}
+            ids, n = self.learn(["" if k in special else r for k, r in enumerate(new)])
+            begin = np.cumsum(n) - n
+            for k, i in special.items():
+                begin[k], n[k] = len(ids), 1
+                ids = np.append(ids, np.uint32(i))
+            self.start, self.length = np.append(self.start, begin + len(self.ids)), np.append(self.length, n)
+            self.ids, self.runs.new = np.append(self.ids, ids).astype("<u4"), []
+        flat = self.ids[spans(self.start[at], self.length[at])]
+        ends = np.concatenate([[0], np.cumsum(self.length[at])])[np.cumsum(size)].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens, space-joined, as the vocabulary has no decoder."""
@@ -252,7 +295,7 @@ def vocabulary() -> str:
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Add `ids`, the token ids of each whole text. A null text counts as empty and has none."""
+    """Add `ids`, the token ids of each whole text, in place of a column of that name. A null text counts as empty and has none."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
@@ -264,7 +307,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
 
 def decode_ids(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Add `decoded`, the text of an array of token ids. Null or empty ids give an empty text."""
+    """Add `decoded`, the text of an array of token ids, in place of a column of that name. Null or empty ids give an empty text."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -275,17 +318,25 @@ def decode_ids(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -
     return docs.withColumn("decoded", decode(F.col(ids_col)))
 
 
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def token_digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256: each text is encoded, and its ids decoded again, where it is read."""
+    """Add n_tokens, ids_sha256 and decoded_sha256: each text is encoded, and its ids decoded again, where it is read.
+
+    They take the place of columns of these names. A null text counts as empty: no tokens, and the
+    digests of nothing. Texts of any length are read whole; equal texts have equal digests, and every
+    row stays, with its id null or repeated.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
         enc = encoder(path or vocabulary())
         rows = [(len(x), sha256(x.tobytes()).hexdigest(), sha256(enc.decode(x).encode()).hexdigest()) for run in _parts(texts.fillna("").tolist()) for x in enc.encode_batch(run)]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame(rows, columns=DIGESTS)
 
-    return docs.withColumn("_bpe", digest(F.col(text_col))).select(*docs.columns, "_bpe.n_tokens", "_bpe.ids_sha256", "_bpe.decoded_sha256")
+    return docs.withColumn("_bpe", digest(F.col(text_col))).select(*(c for c in docs.columns if c not in DIGESTS), "_bpe.*")
 
 
 def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
