@@ -20,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of a batch of rows for Python: texts are long.
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
-#: Bits of a filter over ids: 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
+#: Bits of a filter over ids: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -81,6 +81,16 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8"))
 
 
+def hash_place(col: Column, salt: str) -> Column:
+    """A pseudorandom place of an id in 0..2^62 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(col, F.lit(salt)), 2)
+
+
+def hash_bound(wanted: int, rows: int) -> int:
+    """The place below which about `wanted` of so many rows lie: never 0, however many rows there are."""
+    return 1 << 62 if rows <= wanted else (wanted << 62) // rows
+
+
 def running_sum(df: DataFrame, group: str, order: list[str], value: Column, out: str, rows: int) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same `group` that come before.
 
@@ -104,14 +114,14 @@ def bit_of(col: Column) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS)) + 1
 
 
-def id_bits(ids: DataFrame, id_col: str) -> Broadcast:
-    """A map of the ids' bits, of fixed size (16 MB), built by Spark in pieces of 4 KB and sent to all tasks."""
-    pieces = ids.select(bit_of(F.col(id_col)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+def bitmap(df: DataFrame, at: Column) -> Broadcast:
+    """A map with the bits that `at` (1..FILTER_BITS) names, of fixed size (8 MB), built by Spark in pieces of 4 KB and sent to all tasks."""
+    pieces = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
     whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pieces:
-        start = (r["piece"] - 1) * 4096
-        whole[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(whole)
+    for piece, bits in zip(pieces["piece"].to_pylist(), pieces["bits"], strict=True):
+        start = (piece - 1) * 4096
+        whole[start : start + 4096] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return df.sparkSession.sparkContext.broadcast(whole)
 
 
 def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -124,7 +134,7 @@ def id_filter(ids: DataFrame, id_col: str) -> Callable[[Column], Column]:
 
     With very many ids the map fills up and lets all rows through; a join still decides.
     """
-    sent = id_bits(ids, id_col)
+    sent = bitmap(ids, bit_of(F.col(id_col)))
 
     @F.pandas_udf("boolean")
     def test(at: pd.Series) -> pd.Series:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, ship, table
+from .common import crc_of_id, hash_bound, hash_place, ship, table
 
 FEATURES = ["log_chars", "log_words", "word_length", "longest_word", "letters", "upper", "digits", "spaces", "marks", "symbols", "distinct_words", "top_word", "short_words", "line_words", "repeated_lines", "word_ends"]
 _CLASSES = "LUNZPS"
@@ -145,12 +145,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, bin
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> AdditiveModel:
-    """Fit on labelled documents of the learning folds: about `most_rows`, chosen by a hash of the id (the documented bound)."""
+    """Fit on labelled documents of the learning folds: about `most_rows`, chosen by a hash of the id (the documented bound).
+
+    Null ids and labels are left out. A repeated id is learnt once for each of its rows and labels; a
+    text's null counts as empty. Without labels the model scores 0.5. Only doc_id, text and quality
+    are read, so other columns may have any name.
+    """
     ship(docs.sparkSession)
     known = labels.filter((crc_of_id(F.col("doc_id")) % 5 != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
-    share = min(1.0, most_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text").join(known, "doc_id")
+    below = hash_bound(most_rows, known.count())
+    known = known.filter(hash_place(F.col("doc_id"), "quality") < below)
+    chosen = docs.filter(hash_place(F.col("doc_id"), "quality") < below).select("doc_id", "text").join(known, "doc_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,7 +167,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Additi
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted for every row; a null text is scored as an empty one."""
+    """id, held_out, score, predicted for every row; a null text is scored as an empty one.
+
+    Equal texts have equal scores. Rows with null or repeated ids each have their own; columns of
+    `docs` of other names are ignored.
+    """
     ship(docs.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, ship, table
+from .common import crc_of_id, hash_bound, hash_place, ship, table
 
 #: Families of ISO 639-1 codes; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -58,18 +58,19 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent. y is 1 or -1."""
-    n = len(x)
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent. y, 1 or -1, is that of the rows of x to learn from."""
+    n = len(rows)
     w, alpha = np.zeros(x.shape[1] + 1, np.float32), np.zeros(n)
-    square = (x * x).sum(axis=1) + 1 + 1 / (2 * cost)
+    square = np.einsum("ij,ij->i", x, x)[rows] + 1 + 1 / (2 * cost)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(n):
-            gradient = y[i] * (x[i] @ w[:-1] + w[-1]) - 1 + alpha[i] / (2 * cost)
+            of = x[rows[i]]
+            gradient = y[i] * (of @ w[:-1] + w[-1]) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - gradient / square[i], 0.0)
             if step := (new - alpha[i]) * y[i]:
-                w[:-1] += np.float32(step) * x[i]
+                w[:-1] += np.float32(step) * of
                 w[-1] += step
             alpha[i] = new
     return w
@@ -117,24 +118,28 @@ def fit(counts: np.ndarray, langs: list[str]) -> LanguageModel:
         families.setdefault(family_of(lang), []).append(lang)
     x, own = np.asarray(counts, np.float32), np.array(langs, object)
     np.sqrt(x, out=x)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
     kin = np.array([family_of(lang) for lang in langs], object)
-    columns = [linear_svm(x, np.where(kin == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.ones(DIMS + 1, np.float32) for _ in families]
+    columns = [linear_svm(x, np.arange(len(x)), np.where(kin == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.ones(DIMS + 1, np.float32) for _ in families]
     pairs = [p for members in families.values() for p in combinations(members, 2)]
     for a, b in pairs:
         rows = np.flatnonzero((own == a) | (own == b))
-        columns.append(linear_svm(x[rows], np.where(own[rows] == a, 1.0, -1.0)))
+        columns.append(linear_svm(x, rows, np.where(own[rows] == a, 1.0, -1.0)))
     return LanguageModel(families, pairs, np.array(columns, np.float32).T if columns else np.zeros((DIMS + 1, 0), np.float32))
 
 
 def learn(docs: DataFrame, most_rows: int = 3000) -> LanguageModel:
-    """Fit on documents of the learning folds with a language: about most_rows / languages of each, by a hash of the id (the documented bound)."""
+    """Fit on documents of the learning folds with a language: about most_rows / languages of each, by a hash of the id (the documented bound).
+
+    Null ids count as a language's others, repeats as rows of their own; texts without a letter are
+    left out. An empty table gives a model that knows no language.
+    """
     ship(docs.sparkSession)
     known = docs.filter((crc_of_id(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     each = max(20, most_rows // max(1, len(counts)))
-    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, each / n) * 1_000_000)))) if counts else F.create_map().cast("map<string,int>")
-    chosen = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))).select("doc_id", "lang", "text")
+    below = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, hash_bound(each, n)))) if counts else F.create_map().cast("map<string,long>")
+    chosen = known.filter(hash_place(F.col("doc_id"), "language") < F.element_at(below, F.col("lang"))).select("doc_id", "lang", "text")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -10,7 +10,7 @@ def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5)).astype(np.float32)
     y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
-    w = m.linear_svm(x, y)
+    w = m.linear_svm(x, np.arange(len(x)), y)
     assert (np.sign(x @ w[:-1] + w[-1]) == y).mean() > 0.97
 
 
@@ -42,3 +42,11 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in m.predict_language(docs, none).collect()} == {"und"}
     kept = m.predict_language(docs, model, keep_cols=True)
     assert kept.columns[:-2] == docs.columns
+
+
+def test_sample_does_not_empty_with_size():
+    from pagewright.llm.common import hash_bound
+
+    assert hash_bound(750, 700) == hash_bound(750, 750) == 1 << 62
+    for rows in (10**6, 10**10, 10**13):
+        assert abs(hash_bound(750, rows) / (1 << 62) * rows - 750) < 1
