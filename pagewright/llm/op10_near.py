@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, join_by_key, keep, ship
+from .common import FILTER_BITS, bitmap, has_bit, id_filter, join_by_key, keep, ship
 from .op10_simhash import components, keyed, links_of, majority
 
 #: Rows of a key up to which its pairs are listed; texts under a key with more are compared in blocks.
 SHORT_RUN = 64
 #: Texts of a block, of which a task compares two.
 BLOCK = 256
+#: Shingles among which a task counts those that come again.
+TOGETHER = 4_000_000
 #: Characters of texts that are hashed at once.
 PIECE = 1 << 20
 
@@ -99,21 +101,32 @@ def _digest(s: np.ndarray) -> int:
 
 
 def described(own: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, version, node, fp, n) of each row: its set of shingles, the set's SimHash and size. kind 1: (node, n), shingles that come often.
+    """kind 0: (doc_id, version, node, fp, n) of each row: its set of shingles, the set's SimHash and size. kind 1: (node, n), shingles that come again.
 
-    What comes often is counted within each batch. It only orders a text's shingles, for which any
-    order is right.
+    What comes again is counted among the different sets that a task reads together. It only orders
+    a text's shingles, for which any order is right.
     """
 
+    def again(sets: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
+        _, first = np.unique(np.array(nodes, np.uint64), return_index=True)
+        seen, times = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+        seen, times = seen[times > 1], times[times > 1]
+        return pd.DataFrame({"kind": np.int8(1), "doc_id": 0, "version": 0, "node": seen.view(np.int64), "fp": 0, "n": times.astype(np.int32)})
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        names: list[int] = []
+        size = 0
         for pdf in batches:
             sets = shingle_sets(pdf["text"].tolist(), width)
             node, fp = np.array([_digest(s) for s in sets], np.uint64), np.array([majority(s) for s in sets], np.uint64)
             yield pd.DataFrame({"kind": np.int8(0), "doc_id": pdf["doc_id"], "version": pdf["version"], "node": node.view(np.int64), "fp": fp.view(np.int64), "n": np.array([len(s) for s in sets], np.int32)})
-            if len(sets):
-                often, times = np.unique(np.concatenate(sets), return_counts=True)
-                often, times = often[times > 2], times[times > 2]
-                yield pd.DataFrame({"kind": np.int8(1), "doc_id": 0, "version": 0, "node": often.view(np.int64), "fp": 0, "n": times.astype(np.int32)})
+            held, names, size = held + sets, names + node.tolist(), size + sum(map(len, sets))
+            if size > TOGETHER:
+                yield again(held, names)
+                held, names, size = [], [], 0
+        if held:
+            yield again(held, names)
 
     return own.select("doc_id", "version", "text").mapInPandas(make, "kind byte, doc_id long, version long, node long, fp long, n int")
 
@@ -132,20 +145,26 @@ def _sets_of(own: DataFrame, owners: DataFrame, width: int) -> DataFrame:
 # ---- pairs under common shingles ----
 
 
-def prefix_rows(own: DataFrame, nodes: DataFrame, often: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(key, node, n): the first shingles of each set, those that come seldom first. A row may come twice."""
-    top = often.toArrow()
+def prefix_rows(own: DataFrame, nodes: DataFrame, again: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, node, n): the first shingles of each set, those that come seldom first. A row may come twice.
+
+    The order is by how often the 100,000 most frequent ones come, then those that come again, as far
+    as a map of bits tells them, before them all others, and among equals by the hash.
+    """
+    top = again.groupBy("node").agg(F.sum("n").alias("n")).filter("n > 3").orderBy(F.desc("n"), "node").limit(100_000).toArrow()
     g, count = top["node"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(g)
     sent = own.sparkSession.sparkContext.broadcast((g[order], count[order]))
+    bits = bitmap(again, F.pmod("node", F.lit(FILTER_BITS)) + 1)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, count = sent.value
 
         def first(s: np.ndarray) -> np.ndarray:
-            if len(g) and len(s):
-                at = np.minimum(np.searchsorted(g, s), len(g) - 1)
-                s = s[np.argsort(np.where(g[at] == s, count[at], 0), kind="stable")]
+            if len(s):
+                at = np.minimum(np.searchsorted(g, s), max(len(g) - 1, 0))
+                known = g[at] == s if len(g) else np.zeros(len(s), bool)
+                s = s[np.argsort(np.where(known, count[at] if len(g) else 0, has_bit(bits.value, s.view(np.int64) % FILTER_BITS + 1)), kind="stable")]
             return s[: len(s) - int(_least(len(s), similarity)) + 1] if len(s) else s
 
         for pdf in batches:
@@ -343,10 +362,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     own = every.filter("doc_id is not null")
     said = keep(described(own, width), "near-described")
     rows = said.filter("kind = 0").select("doc_id", "version", "node", "fp", "n")
-    often = said.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(100_000)
+    again = said.filter("kind = 1").select("node", "n")
     nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("fp").alias("fp"), F.count("*").alias("copies")), "near-nodes")
     by_bits = keep(links_of(keyed(nodes.select("node", "fp"))), "near-fingerprint-pairs")
-    met = keep(meet(prefix_rows(own, nodes, often, width, similarity), similarity, short_run), "near-met")
+    met = keep(meet(prefix_rows(own, nodes, again, width, similarity), similarity, short_run), "near-met")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     by_prefix = met.filter("kind = 0").groupBy(*pair).agg(F.count("*").alias("common"), F.first(F.least("na", "nb")).alias("na"), F.first(F.greatest("na", "nb")).alias("nb")).filter(enough(similarity)).select("a", "b")
     pairs = keep(by_bits.select(*pair).unionByName(by_prefix).distinct(), "near-pairs")

@@ -27,6 +27,8 @@ RADIUS = 3
 MOST_RUN = 2048
 #: Up to this many rows of a key are compared pair by pair without a matrix.
 SHORT_RUN = 16
+#: Beyond so many links, nodes that very many of them have are joined apart.
+MANY_LINKS = 100_000
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0b101011100011
 CUTS = ((0, 23), (23, 23), (46, 18))
@@ -279,17 +281,21 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes: the root is the smallest node that can be reached.
 
     Large-star and small-star in turn: each node's neighbours are tied to its smallest one, until
-    nothing changes. Links are tables in the shared folder, never collected; a node that very many
-    links have is sent to all tasks instead of gathering its links in one.
+    nothing changes. Links are tables in the shared folder, never collected; where links are many, a
+    node that very many of them have is sent to all tasks instead of gathering its links in one.
     """
+
+    def tied(left: DataFrame, right: DataFrame) -> DataFrame:
+        return join_by_key(left, right, "u", "copies", rows) if rows > MANY_LINKS else left.join(right, "u")
+
     now, seen = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "groups-links"), None
     rows = now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("copies"))
-        large = join_by_key(both, low, "u", "copies", rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = tied(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies"))
-        small = join_by_key(large, below, "u", "copies", rows).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = tied(large, below).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = keep(small, "groups-links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
