@@ -6,11 +6,9 @@ import math
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,20 +127,6 @@ def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8) & 1 == 1
 
 
-def id_filter(ids: DataFrame, id_col: str) -> Callable[[Column], Column]:
-    """A test that holds for all ids of a frame, and for few others: it lets most rows pass by a join.
-
-    With very many ids the map fills up and lets all rows through; a join still decides.
-    """
-    sent = bitmap(ids, bit_of(F.col(id_col)))
-
-    @F.pandas_udf("boolean")
-    def test(at: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(sent.value, at.to_numpy()))
-
-    return lambda c: test(bit_of(c))
-
-
 def hot_limit(rows: int) -> int:
     """Copies beyond which a key counts as hot. At most 2,000 keys can have more, whatever the input."""
     return max(1000, rows // 2000)

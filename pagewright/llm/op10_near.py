@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bitmap, has_bit, id_filter, join_by_key, keep, ship
+from .common import FILTER_BITS, bit_of, bitmap, has_bit, join_by_key, keep, ship
 from .op10_simhash import components, keyed, links_of, majority
 
 #: Rows of a key up to which its pairs are listed; texts under a key with more are compared in blocks.
@@ -25,7 +25,7 @@ SHORT_RUN = 64
 #: Texts of a block, of which a task compares two.
 BLOCK = 256
 #: Shingles among which a task counts those that come again.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 #: Characters of texts that are hashed at once.
 PIECE = 1 << 20
 
@@ -134,12 +134,15 @@ def described(own: DataFrame, width: int) -> DataFrame:
 def _sets_of(own: DataFrame, owners: DataFrame, width: int) -> DataFrame:
     """(node, s): the sets of the documents whose id is an owner's; others may be among them, and repeats."""
 
+    bits = bitmap(owners, bit_of(F.col("owner")))
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist(), width)
-            yield pd.DataFrame({"node": np.array([_digest(s) for s in sets], np.uint64).view(np.int64), "s": [s.view(np.int64) for s in sets]})
+            sets = shingle_sets(pdf["text"][has_bit(bits.value, pdf["bit"].to_numpy())].tolist(), width)
+            if sets:
+                yield pd.DataFrame({"node": np.array([_digest(s) for s in sets], np.uint64).view(np.int64), "s": [s.view(np.int64) for s in sets]})
 
-    return own.filter(id_filter(owners, "owner")(F.col("doc_id"))).select("text").mapInPandas(make, "node long, s array<long>")
+    return own.select("text", bit_of(F.col("doc_id")).alias("bit")).mapInPandas(make, "node long, s array<long>")
 
 
 # ---- pairs under common shingles ----
@@ -155,7 +158,7 @@ def prefix_rows(own: DataFrame, nodes: DataFrame, again: DataFrame, width: int,
     g, count = top["node"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(g)
     sent = own.sparkSession.sparkContext.broadcast((g[order], count[order]))
-    bits = bitmap(again, F.pmod("node", F.lit(FILTER_BITS)) + 1)
+    bits, owners = bitmap(again, F.pmod("node", F.lit(FILTER_BITS)) + 1), bitmap(nodes, bit_of(F.col("owner")))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, count = sent.value
@@ -168,15 +171,14 @@ def prefix_rows(own: DataFrame, nodes: DataFrame, again: DataFrame, width: int,
             return s[: len(s) - int(_least(len(s), similarity)) + 1] if len(s) else s
 
         for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist(), width)
+            sets = shingle_sets(pdf["text"][has_bit(owners.value, pdf["bit"].to_numpy())].tolist(), width)
             firsts = [first(s) for s in sets]
             size = np.array([len(s) for s in firsts], np.int64)
             if size.sum():
                 node, n = np.array([_digest(s) for s in sets], np.uint64).view(np.int64), np.array([len(s) for s in sets], np.int32)
                 yield pd.DataFrame({"key": np.concatenate(firsts).view(np.int64), "node": np.repeat(node, size), "n": np.repeat(n, size)})
 
-    chosen = own.filter(id_filter(nodes, "owner")(F.col("doc_id"))).select("text")
-    return chosen.mapInPandas(make, "key long, node long, n int")
+    return own.select("text", bit_of(F.col("doc_id")).alias("bit")).mapInPandas(make, "key long, node long, n int")
 
 
 def meet(rows: DataFrame, similarity: float, short_run: int = SHORT_RUN) -> DataFrame:

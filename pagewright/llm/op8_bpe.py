@@ -86,7 +86,7 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Encoder:
     """A word-end BPE vocabulary read from a tokenizer file. Runs of text that were met stay, up to `cache` of them."""
 
-    def __init__(self, path: str, cache: int = 200_000) -> None:
+    def __init__(self, path: str, cache: int = 100_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]

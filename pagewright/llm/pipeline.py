@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op1_mixing, op4_line_dedup, op7_language, op8_bpe, op10_near
-from .common import id_filter, keep, table
+from .common import keep, table
 
+#: Rows (id, hash) of documents that go, up to which they are sent to all tasks: 8 MB. More are joined by a shuffle.
+MOST_SENT = 500_000
 #: Below this score the model doesn't tell a text's language.
 LEAST_SCORE = 0.3
 
@@ -39,10 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = op10_near.near_duplicates(docs)
     gone = keep(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_near_id"), F.col("version").alias("_near_version")).distinct(), "pipeline-gone")
-    sifted = docs.withColumn("_near_asked", F.coalesce(id_filter(gone, "_near_id")(F.col("doc_id")), F.lit(False)))
     same = (F.col("doc_id") == F.col("_near_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_near_version"))
-    decided = sifted.filter("_near_asked").join(gone, same, "left_anti")
-    return decided.select(*docs.columns).unionByName(sifted.filter("not _near_asked").select(*docs.columns))
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
