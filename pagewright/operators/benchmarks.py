@@ -26,17 +26,20 @@ def engine_scores(score: Column) -> Column:
     return F.create_map(*(x for e, off in ENGINE_OFFSETS.items() for x in (F.lit(e), F.greatest(F.lit(0.0), score - off))))
 
 
-def corpus_percentile(audits: DataFrame, by: str | None = None) -> DataFrame:
+def corpus_percentile(audits: DataFrame, by: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """Add corpus_percentile: the share of documents (of the same `by`) with a lower score.
 
-    There are at most 1,251 different scores, so the ranks come from a histogram.
+    There are at most 1,251 different scores, so the ranks come from a histogram, which all tasks get.
+    The scores are dealt out once by `id_col`, for the histogram and the join: an audit isn't run twice.
     """
     keys = [by] if by else []
+    audits = audits.repartition(id_col)
     counts = audits.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
     up = Window.partitionBy(*keys).orderBy("score")
     ranks = counts.withColumn("_below", F.coalesce(F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     share = ranks.withColumn("corpus_percentile", F.when(F.col("_all") > 1, F.col("_below") / F.nullif(F.col("_all") - 1, F.lit(0))).otherwise(F.lit(0.0)))
-    return audits.join(share.select(*keys, "score", "corpus_percentile"), [*keys, "score"])
+    ranked = share.select(*keys, "score", "corpus_percentile")
+    return audits.join(ranked if by else F.broadcast(ranked), [*keys, "score"])
 
 
 def similar_top_scored(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
@@ -59,10 +62,16 @@ def similar_top_scored(queries: DataFrame, corpus: DataFrame, k: int = 5, block:
                 v = np.stack(pdf["embedding"].to_numpy()).astype(float)
                 size = np.linalg.norm(v, axis=1)
                 v, own = v[size > 0] / size[size > 0, None], pdf["vec_id"].to_numpy()[size > 0]
-                for i, row in enumerate(np.round(q @ v.T, 6)):
-                    best = np.lexsort((own, -row))
-                    best = best[own[best] != names[i]][:k]
-                    yield pd.DataFrame({"query_id": names[i], "vec_id": own[best], "similarity": row[best]})
+                if not len(own):
+                    continue
+                near = np.round(q @ v.T, 6)
+                near[names[:, None] == own[None, :]] = -2
+                # Columns go by id and the sort is stable, so ties go to smaller ids.
+                order = np.argsort(own, kind="stable")
+                top = order[np.argsort(-near[:, order], axis=1, kind="stable")[:, :k]]
+                best = np.take_along_axis(near, top, axis=1)
+                at, real = np.repeat(names, top.shape[1]), best.ravel() > -2
+                yield pd.DataFrame({"query_id": at[real], "vec_id": own[top].ravel()[real], "similarity": best.ravel()[real]})
 
         hits = corpus.select("vec_id", F.col("embedding").cast("array<double>")).mapInPandas(near, "query_id long, vec_id long, similarity double")
         found = hits if found is None else found.unionByName(hits)

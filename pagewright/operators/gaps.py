@@ -39,12 +39,6 @@ def patterns_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LIBRARY, "id string, score_key string, name string, category string, description string, boost_min int, boost_max int")
 
 
-def ranked_library(spark: SparkSession) -> DataFrame:
-    """The library by its boost, best first."""
-    order = Window.orderBy(F.desc("boost_max"), F.desc("boost_min"), "id")  # ten rows
-    return patterns_dim(spark).withColumn("rank", F.row_number().over(order))
-
-
 def lookup_patterns(requests: DataFrame) -> DataFrame:
     """requests(request_id, pattern_id) with the library's row, or the status NOT_FOUND."""
     dim = F.broadcast(patterns_dim(requests.sparkSession).select(F.col("id").alias("pattern_id"), "name", "category", "boost_min", "boost_max"))

@@ -77,10 +77,16 @@ def flat(audits: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def keyword_density(parsed: DataFrame, length: int = 4, share: float = 0.05) -> DataFrame:
-    """(doc_id, word, n, share): words of more than `length` letters that make more than `share` of a document."""
-    split = parsed.select("doc_id", words(F.lower("text")).alias("w"))
-    counted = split.select("doc_id", F.size("w").alias("total"), F.explode("w").alias("word")).filter(F.char_length("word") > length).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
-    return counted.filter(F.col("n") > F.col("total") * share).select("doc_id", "word", "n", (F.col("n") / F.col("total")).alias("share"))
+    """(doc_id, word, n, share): words of more than `length` letters that make more than `share` of a document.
+
+    As with the stuffing penalty, such words are found within the row: in the sorted words they equal
+    the one some places on. Only they are counted and become rows, so words aren't shuffled.
+    """
+    split = parsed.select("doc_id", words(F.lower("text")).alias("w")).withColumn("total", F.size("w"))
+    long = split.select("doc_id", "total", F.array_sort(F.filter("w", lambda w: F.char_length(w) > length)).alias("w"), F.floor(F.col("total") * share).cast("int").alias("most"))
+    often = F.filter("w", lambda w, i: F.coalesce(F.get("w", i + F.col("most")) == w, F.lit(False)))
+    counted = long.withColumn("word", F.explode(F.array_distinct(often))).withColumn("n", F.size(F.filter("w", lambda w: w == F.col("word"))).cast("long"))
+    return counted.select("doc_id", "word", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def score_report(audits: DataFrame) -> DataFrame:

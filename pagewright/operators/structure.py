@@ -8,10 +8,12 @@ list; lines of code count as lines of text. A format other than html is Markdown
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import content_hash, word_count
+from pagewright.functions.text import WS, content_hash, word_count
 
 FENCED = r"(?dms)^```[^\n]*\n.*?^```[ \t]*$"
 BLANK = r"\n[ \t]*(?:\n[ \t]*)*\n"
@@ -25,8 +27,9 @@ LINK = r"(!?)\[([^\]\n]*)\]\(([^)\s]+)\)"
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->"
 HEAD = r"(?is)<head\b.*?</head\s*>"
 TAG = r"(?s)<[^>]*>"
-#: Replaced in this order.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+LIST_TAG = r"(?i)</?[uo]l\b[^>]*>"
+REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
+HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
 
 
 def strip(x: Column) -> Column:
@@ -70,22 +73,51 @@ def parse_markdown(docs: DataFrame) -> DataFrame:
     return split.select(*docs.columns, markdown_text(raw).alias("text"), _ordered(headers).alias("headers"), F.transform(tables, sized).alias("tables"), lists.alias("lists"), links.alias("links"), word_count(raw).alias("word_count"), F.char_length(raw).alias("char_count"), content_hash(raw).alias("content_hash"))
 
 
-def _decoded(x: Column) -> Column:
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+def decoded(x: Column) -> Column:
+    """A text with its character references, named or numeric, replaced. Unknown ones stay; known ones need no semicolon at their end."""
+    names = F.create_map(*(F.lit(v) for name, char in sorted(html5.items()) if name.endswith(";") for v in (name[:-1], char)))
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).try_cast("int")
+        real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        char = F.when(name.startswith("#"), point).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.regexp_replace(piece, REFERENCE, "")), piece)
+
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&)", -1), one), "")).otherwise(x)
 
 
 def html_text(clean: Column) -> Column:
     """Text between tags, each run stripped, joined by spaces; newlines within a run stay."""
-    return _joined(F.transform(F.split(clean, TAG, -1), _decoded))
+    runs = F.transform(F.split(clean, TAG, -1), lambda x: F.regexp_replace(decoded(x), f"^{WS}|{WS}$", ""))
+    return F.array_join(F.filter(runs, lambda x: x != ""), " ")
+
+
+def html_lists(clean: Column) -> Column:
+    """(type, inner) of each list, nested ones too, in the order in which they open: the HTML up to its own end, inner lists' tags left out."""
+    tags, parts = F.regexp_extract_all(clean, F.lit(LIST_TAG), F.lit(0)), F.split(clean, LIST_TAG, -1)
+
+    def of(tags: Column, parts: Column) -> Column:
+        def end(i: Column) -> Column:
+            start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+            depth = lambda a, t: a["depth"] + F.when(t.startswith("</"), -1).otherwise(1)
+            step = lambda a, t: F.when(a["over"], a).otherwise(F.struct(depth(a, t).alias("depth"), (a["n"] + 1).alias("n"), (depth(a, t) == 0).alias("over")))
+            last = F.aggregate(F.slice(tags, i + 1, F.size(tags)), start, step)
+            return last["n"] - F.when(last["over"], 1).otherwise(0)
+
+        each = F.transform(tags, lambda t, i: F.when(~t.startswith("</"), F.struct(F.when(F.lower(F.substring(t, 2, 2)) == "ol", F.lit("ordered")).otherwise(F.lit("unordered")).alias("type"), F.array_join(F.slice(parts, i + 2, F.greatest(end(i), F.lit(1))), "\n").alias("inner"))))
+        return F.filter(each, lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(F.struct(tags.alias("t"), parts.alias("p"))), lambda x: of(x["t"], x["p"])), F.lit(0))
 
 
 def parse_html(docs: DataFrame) -> DataFrame:
     """The same columns for HTML. Words and characters are counted in the text of the body, without the head.
 
     Scripts, styles, templates and comments are cut out before tags are looked at. A list nested in
-    another ends it.
+    another is a list of its own, and its items are the outer one's too; an item's text ends where
+    the next item begins.
     """
     clean = docs.withColumn("_clean", F.regexp_replace(F.coalesce("content", F.lit("")), HIDDEN, ""))
     inner = lambda x: html_text(x)
@@ -95,10 +127,10 @@ def parse_html(docs: DataFrame) -> DataFrame:
     rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?(?:</tr\s*>|$)"), F.lit(0)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(0)), inner)), lambda r: F.size(r) > 0)
     tables = F.filter(F.transform(whole(r"(?is)<table\b.*?</table\s*>"), lambda t: F.struct(rows(t).alias("rows"))), lambda t: F.size(t["rows"]) > 0)
     sized = lambda t: F.struct(t["rows"].alias("rows"), F.array_max(F.transform(t["rows"], lambda r: F.size(r))).alias("column_count"), F.size(t["rows"]).alias("row_count"))
-    items = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<li\b[^>]*>.*?(?:</li\s*>|$)"), F.lit(0)), inner)
-    lists = F.transform(whole(r"(?is)<ul\b.*?</ul\s*>|<ol\b.*?</ol\s*>"), lambda x: F.struct(F.when(F.lower(F.substring(x, 2, 2)) == "ol", F.lit("ordered")).otherwise(F.lit("unordered")).alias("type"), items(x).alias("items"), F.size(items(x)).alias("item_count")))
-    anchor = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
-    links = F.transform(whole(anchor), lambda x: F.struct(inner(x).alias("text"), F.regexp_extract(x, anchor, 1).alias("url")))
+    items = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<li\b[^>]*>.*?(?=<li\b|</li\s*>|$)"), F.lit(0)), inner)
+    lists = F.transform(html_lists(F.col("_clean")), lambda x: F.struct(x["type"].alias("type"), items(x["inner"]).alias("items"), F.size(items(x["inner"])).alias("item_count")))
+    url = lambda x: F.concat(*(F.regexp_extract(x, HREF, i) for i in (1, 2, 3)))
+    links = F.transform(whole(HREF), lambda x: F.struct(inner(x).alias("text"), decoded(url(x)).alias("url")))
     body = html_text(F.regexp_replace("_clean", HEAD, ""))
     return clean.select(*docs.columns, html_text(F.col("_clean")).alias("text"), _ordered(headers).alias("headers"), F.transform(tables, sized).alias("tables"), F.filter(lists, lambda x: x["item_count"] > 0).alias("lists"), links.alias("links"), word_count(body).alias("word_count"), F.char_length(body).alias("char_count"), content_hash(F.col("content")).alias("content_hash"))
 

@@ -89,6 +89,32 @@ def parsed_of(source: str, name: str = "parsed") -> str:
   coalesce(list_sum(list_transform({ordered}, lambda b: {items})), 0) AS ordered_items, len(list_filter(heads, lambda h: contains(h, '?'))) AS asking, lower(text) AS text_lc FROM {name}_b)"""
 
 
+# HTML as the given pages have it: the references in them, double quotes, lists without lists in them.
+A = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+L = r"(?is)<ul\b.*?</ul\s*>|<ol\b.*?</ol\s*>"
+_H = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"
+
+
+def decoded(x: str) -> str:
+    for name, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        x = f"replace({x}, {q(name)}, {q(char)})"
+    return f"regexp_replace({x}, '&amp($|[^a-zA-Z0-9;])', '&\\1', 'g')"
+
+
+def html_text(x: str) -> str:
+    ends = f"^{WS}|{WS}$"
+    return f"array_to_string(list_filter(list_transform(string_split_regex({x}, '(?s)<[^>]*>'), lambda x: regexp_replace({decoded('x')}, {rx(ends)}, '', 'g')), lambda x: x <> ''), ' ')"
+
+
+_HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->"
+_BODY = html_text("regexp_replace(c, '(?is)<head\\b.*?</head\\s*>', '', 'g')")
+PAGES = f"""
+page_c AS (SELECT page_id AS doc_id, regexp_replace(html, {q(_HIDDEN)}, '', 'g') AS c FROM pages),
+page_l AS (SELECT *, regexp_extract_all(c, {q(_H)}) AS heads, list_filter(regexp_extract_all(c, {q(L)}), lambda x: regexp_matches(x, '(?i)<li\\b')) AS lists, {html_text('c')} AS text, len({words(_BODY)}) AS wc FROM page_c),
+page_parsed AS (SELECT *, len(heads) AS n_headers, 0 AS n_tables, len(lists) AS n_lists, len(regexp_extract_all(c, {q(A)})) AS n_links, len(list_filter(lists, lambda x: lower(x[2:3]) = 'ol')) AS n_ordered,
+  coalesce(list_sum(list_transform(list_filter(lists, lambda x: lower(x[2:3]) = 'ol'), lambda x: len(regexp_extract_all(x, '(?i)<li\\b')))), 0) AS ordered_items, len(list_filter(heads, lambda h: contains(h, '?'))) AS asking, lower(text) AS text_lc FROM page_l)"""
+
+
 def _rate(n: str, by: int) -> str:
     return f"(CASE WHEN wc > 0 THEN ({n}) / wc::DOUBLE * {by} ELSE 0.0::DOUBLE END)"
 

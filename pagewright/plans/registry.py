@@ -111,31 +111,56 @@ def element_counts(spark: SparkSession, sf: str) -> DataFrame:
     return structure.doc_elements(_parsed(spark, sf)).groupBy("kind").agg(F.count("*").alias("elements"))
 
 
-_CLEAN = o.rx(structure.HIDDEN)
-_H, _L, _A = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", r"(?is)<ul\b.*?</ul\s*>|<ol\b.*?</ol\s*>", r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
-
-
-def _html_text(x: str) -> str:
-    runs = f"string_split_regex({x}, {o.rx(structure.TAG)})"
-    clean = "x"
-    for entity, char in structure.ENTITIES:
-        clean = f"replace({clean}, {o.q(entity)}, {o.q(char)})"
-    return f"array_to_string(list_filter(list_transform({runs}, lambda x: {o.strip(clean)}), lambda x: x <> ''), ' ')"
-
-
-@query(f"""WITH c AS (SELECT page_id, regexp_replace(html, {_CLEAN}, '', 'g') AS c FROM pages), b AS (SELECT *, {_html_text('c')} AS text, {_html_text(f"regexp_replace(c, {o.rx(structure.HEAD)}, '', 'g')")} AS body FROM c)
-SELECT page_id AS doc_id, len(regexp_extract_all(c, {o.rx(_H)})) AS headers, len(list_filter(regexp_extract_all(c, {o.rx(_L)}), lambda x: regexp_matches(x, '(?i)<li\\b'))) AS lists, len(regexp_extract_all(c, {o.rx(_A)})) AS links, length(text) AS text_length, len({o.words('body')}) AS word_count FROM b""")
+@query(f"WITH {o.PAGES} SELECT doc_id, n_headers AS headers, n_tables AS tables, n_lists AS lists, n_links AS links, length(text) AS text_length, wc AS word_count FROM page_parsed")
 def page_structure(spark: SparkSession, sf: str) -> DataFrame:
     p = structure.parse_html(tables.read_pages(spark, sf))
-    return p.select("doc_id", F.size("headers").alias("headers"), F.size("lists").alias("lists"), F.size("links").alias("links"), F.char_length("text").alias("text_length"), "word_count")
+    return p.select("doc_id", F.size("headers").alias("headers"), F.size("tables").alias("tables"), F.size("lists").alias("lists"), F.size("links").alias("links"), F.char_length("text").alias("text_length"), "word_count")
 
 
-@query(f"""WITH c AS (SELECT page_id AS doc_id, regexp_replace(html, {_CLEAN}, '', 'g') AS c FROM pages), a AS (SELECT doc_id, unnest(regexp_extract_all(c, {o.rx(_A)})) AS x FROM c)
-SELECT doc_id, {_html_text('x')} AS text, regexp_extract(x, {o.rx(_A)}, 1) AS url FROM a""")
+@query(f"WITH {o.PAGES} SELECT doc_id, text FROM page_parsed")
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.parse_html(tables.read_pages(spark, sf)).select("doc_id", "text")
+
+
+@query(f"WITH {o.PAGES}, a AS (SELECT doc_id, unnest(regexp_extract_all(c, {o.q(o.A)})) AS x FROM page_parsed) SELECT doc_id, {o.html_text('x')} AS text, {o.decoded(f'regexp_extract(x, {o.q(o.A)}, 1)')} AS url FROM a")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return structure.parse_html(tables.read_pages(spark, sf)).select("doc_id", F.explode("links").alias("l")).select("doc_id", "l.text", "l.url")
 
 
+#: Every third page gets a table and a list in a list, of which the given pages have none.
+_RICHER = "<table class='t'><tr><th>Name</th><th>Size &lt;cm&gt;</th></tr><tr><td>A&nbsp;B</td><td>&#49;&#x30;</td></tr><tr><td>C</td></tr></table><ol><li>one<ul><li>two</li><li>three</li></ul></li><li>four</li></ol><a href='/x?a=1&amp;b=2'>single</a> <a href=/plain>plain</a>"
+
+
+def _richer_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.parse_html(tables.read_pages(spark, sf).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.lit(_RICHER)).otherwise(F.col("content"))))
+
+
+@query("SELECT page_id AS doc_id, 2 AS column_count, 3 AS row_count, 'Name|Size <cm>;A' || chr(160) || 'B|10;C' AS cells FROM pages WHERE page_id % 3 = 0")
+def page_tables(spark: SparkSession, sf: str) -> DataFrame:
+    cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), ";")
+    return _richer_pages(spark, sf).select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.column_count", "t.row_count", cells.alias("cells"))
+
+
+@query(f"""WITH {o.PAGES}, l AS (SELECT doc_id, unnest(regexp_extract_all(c, {o.q(o.L)})) AS x FROM page_parsed WHERE doc_id % 3 <> 0)
+SELECT doc_id, CASE WHEN lower(x[2:3]) = 'ol' THEN 'ordered' ELSE 'unordered' END AS type, len(regexp_extract_all(x, '(?i)<li\\b')) AS item_count FROM l WHERE regexp_matches(x, '(?i)<li\\b')
+UNION ALL SELECT page_id, type, n FROM pages CROSS JOIN (VALUES ('ordered', 4), ('unordered', 2)) v(type, n) WHERE page_id % 3 = 0""")
+def page_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _richer_pages(spark, sf).select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.type", "l.item_count")
+
+
+@query(f"WITH {o.PAGES}, {o.detectors_of('page_parsed')}, {o.audits_of('found')} SELECT doc_id, wc AS word_count, {', '.join(f'{p}_s AS {p}_score' for p in detectors.PATTERNS)}, total, penalty_density, penalty_stuffing, penalty_structure, score, grade FROM audits")
+def audit_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawled pages audited as HTML."""
+    return scoring.flat(scoring.audit_corpus(tables.read_pages(spark, sf)))
+
+
+@query(f"WITH {o.PAGES}, {o.detectors_of('page_parsed', 'f0')}, {o.audits_of('f0', 'a0')}, {o.ARTICLES.replace('npages AS', 'npages2 AS').replace('JOIN npages ', 'JOIN npages2 ')}, {o.parsed_of('articles')}, {o.detectors_of('parsed')}, {o.audits_of('found')} SELECT 'html' AS format, doc_id, score, grade FROM a0 UNION ALL SELECT 'markdown', doc_id, score, grade FROM audits")
+def audit_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and articles in one corpus, each by its own format."""
+    both = tables.read_pages(spark, sf).unionByName(tables.articles(spark, sf).select("doc_id", "url", "content", "format"))
+    return scoring.audit_corpus(both).select("format", "doc_id", "score", "grade")
+
+
 @query("SELECT sha256(coalesce(text, '')) AS content_hash, 'markdown' AS format, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cache.dedup_content(tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.lit("markdown").alias("format")))
@@ -201,11 +226,8 @@ def pattern_percent(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{o.AUDITS} SELECT doc_id, {o.r1(' + '.join(f'{p}_s / {scoring.WEIGHTS[p]} * 10' for p in detectors.PATTERNS))} AS total FROM audits")
 def reweighted_total(spark: SparkSession, sf: str) -> DataFrame:
     """All patterns weigh ten."""
-    out = _audits(spark, sf).select("doc_id", *detectors.PATTERNS)
-    total = F.lit(0.0)
-    for p in detectors.PATTERNS:
-        total = total + F.col(f"{p}.score") / F.col(f"{p}.max") * 10
-    return out.select("doc_id", (F.floor(total * 10 + 0.5) / 10).alias("total"))
+    found = detectors.detect(_parsed(spark, sf))
+    return found.select("doc_id", scoring.total_score(dict.fromkeys(detectors.PATTERNS, 10)).alias("total"))
 
 
 # ---- gaps ----
@@ -258,11 +280,6 @@ def rewrite_requests(spark: SparkSession, sf: str) -> DataFrame:
     return gaps.rewrite_requests(tables.articles(spark, sf), _gaps(spark, sf))
 
 
-@query(f"WITH {o.LIB} SELECT *, row_number() OVER (ORDER BY boost_max DESC, boost_min DESC, id) AS rank FROM library WHERE (SELECT count(*) FROM documents) >= 0")
-def pattern_library(spark: SparkSession, sf: str) -> DataFrame:
-    return gaps.ranked_library(spark)
-
-
 # ---- two versions ----
 
 
@@ -328,13 +345,19 @@ s AS (SELECT q.vec_id AS query_id, t.vec_id AS vec_id, round(list_cosine_similar
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 5""")
 def similar_top_scored(spark: SparkSession, sf: str) -> DataFrame:
     vectors = tables.read(spark, sf, "embeddings")
-    good = _audits(spark, sf).filter("score >= 10").select(F.col("doc_id").alias("vec_id"))
+    articles = tables.articles(spark, sf).join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    scored = scoring.score_parsed(structure.parse_markdown(articles)).select(F.col("doc_id").alias("vec_id"), F.explode(F.array("score")).alias("score"))
+    good = scored.filter("score >= 10").select("vec_id")  # behind the generator, so an audit isn't computed again for the condition
     return benchmarks.similar_top_scored(vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors.join(good, "vec_id"), 5)
 
 
 def _kept_audits(spark: SparkSession, sf: str) -> DataFrame:
-    """Audits of the even documents, made up to 48 hours ago."""
-    docs = tables.articles(spark, sf).filter("doc_id % 2 = 0")
+    """Audits of the even documents, made up to 48 hours ago: what a cache holds."""
+    return _made_audits(spark, sf).filter("doc_id % 2 = 0")
+
+
+def _made_audits(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.articles(spark, sf)
     made = tables.as_of() - F.make_dt_interval(F.lit(0), (F.col("doc_id") % 48).cast("int"))
     return cache.hashed(docs).select("doc_id", "content_hash", "format", made.alias("created_at"), (made + F.expr("INTERVAL 24 HOURS")).alias("expires_at"))
 
@@ -352,9 +375,9 @@ def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
     return cache.new_documents(tables.articles(spark, sf), _kept_audits(spark, sf), tables.as_of()).select("doc_id", "content_hash")
 
 
-@query(f"{_KEPT}, a AS (SELECT doc_id, {o.AT} - to_hours(doc_id % 48) AS created_at FROM h WHERE doc_id % 2 = 0) SELECT doc_id, created_at + INTERVAL 24 HOUR > {o.AT} AS live, created_at > {o.AT} - INTERVAL 1 DAY AS retained FROM a")
+@query(f"{_KEPT}, a AS (SELECT doc_id, {o.AT} - to_hours(doc_id % 48) AS created_at FROM h) SELECT doc_id, created_at + INTERVAL 24 HOUR > {o.AT} AS live, created_at > {o.AT} - INTERVAL 1 DAY AS retained FROM a")
 def audit_expiry(spark: SparkSession, sf: str) -> DataFrame:
-    kept, at = _kept_audits(spark, sf), tables.as_of()
+    kept, at = _made_audits(spark, sf), tables.as_of()
     rows = lambda df, name: df.select("doc_id", F.lit(True).alias(name))
     both = kept.select("doc_id").join(rows(cache.expire(kept, at), "live"), "doc_id", "left").join(rows(cache.expire(kept, at, 1), "retained"), "doc_id", "left")
     return both.select("doc_id", F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("retained", F.lit(False)).alias("retained"))
@@ -368,13 +391,19 @@ def recent_audits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of which every 11th has no content, and every 13th too many words."""
+    long = tables.articles(spark, sf).withColumn("content", F.when(F.col("doc_id") % 13 == 0, F.repeat(F.lit("word "), 50_001)).otherwise(F.col("content")))
+    return long.withColumn("content", F.when(F.col("doc_id") % 11 != 0, F.col("content")))
+
+
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
     """Articles of which every 11th has no content."""
     return tables.articles(spark, sf).withColumn("content", F.when(F.col("doc_id") % 11 != 0, F.col("content")))
 
 
 @query(f"{o.AUDITS} SELECT doc_id, url, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 11 <> 0 THEN score END AS score, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_REQUEST' END AS error FROM audits")
 def batch_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return cache.batch_audit(_mixed_batch(spark, sf))
+    return cache.batch_audit(_batch(spark, sf))
 
 
 # ---- validation ----
@@ -387,7 +416,7 @@ def validate_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.withColumn("valid", validate.is_valid_url(F.col("url")))
 
 
-@query(f"WITH {o.ARTICLES}, {o.parsed_of('articles')} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_REQUEST' WHEN wc > 50000 THEN 'CONTENT_TOO_LARGE' END AS error_code FROM parsed")
+@query(f"WITH {o.ARTICLES}, {o.parsed_of('articles')} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_REQUEST' WHEN doc_id % 13 = 0 OR wc > 50000 THEN 'CONTENT_TOO_LARGE' END AS error_code FROM parsed")
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
     ok, bad = validate.split_valid(_mixed_batch(spark, sf))
     return ok.select("doc_id", F.lit(None).cast("string").alias("error_code")).unionByName(bad.select("doc_id", "error_code"))
@@ -463,6 +492,16 @@ def total_citations(spark: SparkSession, sf: str) -> DataFrame:
     return citations.dashboard(tables.citations(spark, sf), tables.as_of())["total_citations"]
 
 
+@query(f"""WITH {o.CITATIONS}, spine AS (SELECT unnest(generate_series(date_trunc('day', {o.AT} - INTERVAL 30 DAY)::TIMESTAMP, date_trunc('day', {o.AT})::TIMESTAMP, INTERVAL 1 DAY)) AS period)
+SELECT 'by_engine' AS frame, engine AS key, count(*) AS citations FROM recent GROUP BY 2 UNION ALL (SELECT 'top_cited_pages', url, count(*) FROM recent GROUP BY 2 ORDER BY 3 DESC, max(detected_at) DESC, 2 LIMIT 10)
+UNION ALL SELECT 'citation_rate', strftime(period, '%Y-%m-%d'), count(id) FROM spine LEFT JOIN recent ON date_trunc('day', detected_at) = period GROUP BY period UNION ALL SELECT 'total_citations', NULL, count(*) FROM recent""")
+def dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """The dashboard's four frames, one under the other."""
+    d = citations.dashboard(tables.citations(spark, sf), tables.as_of())
+    row = lambda name, key, n="citations": d[name].select(F.lit(name).alias("frame"), key.alias("key"), F.col(n).alias("citations"))
+    return row("by_engine", F.col("engine")).unionByName(row("top_cited_pages", F.col("url"))).unionByName(row("citation_rate", F.date_format("period", "yyyy-MM-dd"))).unionByName(row("total_citations", F.lit(None).cast("string"), "total_citations"))
+
+
 @query(f"WITH {o.CITATIONS}, c AS (SELECT engine, domain, count(*) AS citations FROM recent GROUP BY 1, 2) SELECT *, citations / sum(citations) OVER (PARTITION BY engine) AS share FROM c")
 def share_of_voice(spark: SparkSession, sf: str) -> DataFrame:
     return citations.share_of_voice(_recent(spark, sf))
@@ -534,7 +573,11 @@ def latency_report(spark: SparkSession, sf: str) -> DataFrame:
     return usage.latency_report(tables.requests(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {o.REQUESTS}, r AS (SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY ts, request_id) AS n FROM requests),
+s AS (SELECT api_key, n, request_id, ts, true AS ok, [ts] AS admitted FROM r WHERE n = 1
+UNION ALL SELECT api_key, n, request_id, ts, len(live) < 60, CASE WHEN len(live) < 60 THEN list_append(live, ts) ELSE live END
+FROM (SELECT r.api_key, r.n, r.request_id, r.ts, list_filter(s.admitted, lambda x: x > r.ts - INTERVAL 60 SECOND) AS live FROM s JOIN r ON r.api_key = s.api_key AND r.n = s.n + 1))
+SELECT request_id, api_key, ts FROM s WHERE NOT ok""")
 def rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
     return usage.rate_breaches(tables.requests(spark, sf))
 

@@ -15,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files, dealt to all cores: its rows cost far more to work on than to move. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def as_of(at: str = AS_OF) -> Column:
     """A fixed time, never the clock, so that runs repeat."""
     return F.lit(at).cast("timestamp")
@@ -28,7 +34,7 @@ def read_markdown(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled pages as HTML documents."""
-    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("content"), F.lit("html").alias("format"))
+    return spread(read(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("content"), F.lit("html").alias("format"))
 
 
 def _page_urls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -56,7 +62,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         every(9, F.lit("This is important because it means more")),
         body,
     )
-    made = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", content.alias("content"), (i % n).alias("page_id"))
+    made = spread(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", content.alias("content"), (i % n).alias("page_id"))
     return made.join(pages, "page_id", "left").select("doc_id", "url", "content", F.lit("markdown").alias("format"), "lang", "source")
 
 
