@@ -13,6 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.sources.tables import spread
+
 #: A word: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,7 +68,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def utf8(text: Column) -> Column:

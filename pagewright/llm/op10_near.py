@@ -27,7 +27,7 @@ BLOCK = 256
 #: Shingles among which a task counts those that come again.
 TOGETHER = 2_000_000
 #: Characters of texts that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

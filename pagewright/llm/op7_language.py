@@ -176,7 +176,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     def predict(texts: pd.Series) -> pd.DataFrame:
         return of(texts)
 
-    said = docs.withColumn("_li_of", predict(F.col(text_col)))
+    # Not deterministic to the optimiser: a user's filter on the result doesn't predict a second time.
+    said = docs.withColumn("_li_of", predict.asNondeterministic()(F.col(text_col)))
     if keep_cols:
         return said.select(*docs.columns, F.col("_li_of.lang_pred").alias("_li_lang"), F.col("_li_of.score").alias("_li_score"))
     return said.select(F.col(id_col), (crc_of_id(F.col(id_col)) % 4 == 2).alias("held_out"), "_li_of.lang_pred", "_li_of.score")
