@@ -38,6 +38,8 @@ SYLLABLES = {
 }
 #: A family name has so many syllables, and one more each time it is bumped, as far as PATTERNS["name"] finds it whole.
 FEWEST, MOST = 4, 15
+#: Between what a part of a name is and the part.
+PART = "\x1f"
 _HEX = "0123456789abcdef"
 
 
@@ -157,32 +159,83 @@ def _secret(v: Column, key: str, bump: Column) -> Column:
     return _let(body, lambda x: F.concat(head, F.when(head == "AKIA", F.upper(_letters(x))).when(capital, F.upper(x)).otherwise(x)))
 
 
+def _rest_of_97(v: Column) -> Column:
+    """An IBAN's letters and digits as a number, the first four of them last, modulo 97: 1 if it is valid."""
+    moved = F.concat(F.substr(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))
+
+    def digit(i: Column) -> Column:
+        c = F.substr(moved, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(moved)), digit), F.lit(0), lambda r, d: (r * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+
 def _iban(v: Column, key: str, bump: Column) -> Column:
-    """Country and layout stay; letters become letters and digits digits."""
+    """Country and layout stay, letters become letters and digits digits; its check digits are right if they were, and else wrong."""
+
+    def at(own: Column, mark: Column, i: Column) -> Column:
+        c, h = F.substr(own, i, F.lit(1)), F.substr(mark, i, F.lit(1))
+        return F.when(i <= 2, c).when(i <= 4, F.lit("0")).when(c.rlike("[0-9]"), F.translate(h, "abcdef", "123456")).otherwise(F.upper(_letters(h)))
 
-    def at(mark: Column, i: Column) -> Column:
-        c, h = F.substr(v, i, F.lit(1)), F.substr(mark, i, F.lit(1))
-        return F.when(i <= 2, c).when(c.rlike("[0-9]"), F.translate(h, "abcdef", "123456")).when(c.rlike("[A-Z]"), F.upper(_letters(h))).otherwise(c)
+    def checked(own: Column, blank: Column) -> Column:
+        right = 98 - _rest_of_97(blank)
+        digits = F.when(_rest_of_97(own) == 1, right).otherwise(F.when(right < 98, right + 1).otherwise(2))
+        return F.concat(F.substring(blank, 1, 2), F.lpad(digits.cast("string"), 2, "0"), F.substr(blank, F.lit(5), F.length(blank)))
 
-    mark = F.concat(_keyed(key, v, bump), _keyed(key, v, bump, F.lit(1)))
-    return _let(mark, lambda m: F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: at(m, i)), ""))
+    def spaced(new: Column) -> Column:
+        at = lambda i: F.when(F.substr(v, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substr(new, F.length(F.replace(F.substr(v, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), at), "")
+
+    def of(own: Column, mark: Column) -> Column:
+        blank = F.array_join(F.transform(F.sequence(F.lit(1), F.length(own)), lambda i: at(own, mark, i)), "")
+        return _let(_let(blank, lambda b: checked(own, b)), spaced)
+
+    plain = F.replace(v, F.lit(" "), F.lit(""))
+    return _let(plain, lambda own: _let(F.concat(_keyed(key, own, bump), _keyed(key, own, bump, F.lit(1))), lambda mark: of(own, mark)))
 
 
 def _pick(items: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), (F.pmod(n, F.lit(len(items))) + 1).cast("int"))
 
 
-def _name(v: Column, key: str, bump: Column) -> Column:
-    """The title stays; given and family name are of the title's gender and the name's script."""
-    title = F.regexp_extract(v, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
-    rest = F.substr(v, F.length(title) + 1, F.length(v))
-    script = lambda s, g: _pick(GIVEN[s, g], _number(key, v, bump, F.lit("given")))
-    last_one = F.least(bump + (FEWEST - 1), F.lit(MOST - 1))
-    family = lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), last_one), lambda i: _pick(SYLLABLES[s], _number(key, v, bump, i))), ""))
-    cyrillic, male = rest.rlike(r"\p{IsCyrillic}"), title.rlike(rf"^(?:{MALE})\b(?<!Señora)")
-    given = F.when(cyrillic & male, script("cyrillic", "m")).when(cyrillic, script("cyrillic", "f")).when(male, script("latin", "m")).otherwise(script("latin", "f"))
-    last = F.when(cyrillic, family("cyrillic")).otherwise(family("latin"))
-    return F.concat(title, F.when(F.contains(rest, F.lit(" ")), F.concat(given, F.lit(" "), last)).otherwise(last))
+def _title(v: Column) -> Column:
+    return F.regexp_extract(v, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
+
+
+def _name_keys(v: Column) -> Column:
+    """A name's parts, each with what it is: the family name and, if there is one, the given name with its gender."""
+
+    def of(title: Column, rest: Column) -> Column:
+        script = F.when(rest.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+        gender = F.when(title.rlike(rf"^(?:{MALE})\b(?<!Señora)"), F.lit("m")).otherwise(F.lit("f"))
+        part = lambda what, x: F.concat_ws(PART, F.lit(what), script, gender if what == "given" else F.lit("-"), F.lower(x))
+        family = F.array(part("family", F.regexp_replace(rest, "^[^ ]+ ", "")))
+        return F.when(F.contains(rest, F.lit(" ")), F.concat(family, F.array(part("given", F.substring_index(rest, " ", 1))))).otherwise(family)
+
+    return _let(_title(v), lambda title: of(title, F.substr(v, F.length(title) + 1, F.length(v))))
+
+
+def _part(k: Column, key: str, bump: Column) -> Column:
+    """The surrogate of a part of a name, of its script and gender. A given name that is bumped gets syllables."""
+    what = F.split(k, PART)
+    syllables = lambda s, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[s], _number(key, k, bump, i))), "")
+    out = F.when(F.lit(False), F.lit(""))
+    for (script, gender), names in GIVEN.items():
+        given = F.concat(_pick(names, _number(key, k, bump, F.lit("given"))), F.when(bump > 0, syllables(script, F.least(bump, F.lit(MOST - 5)))).otherwise(F.lit("")))
+        out = out.when((what[0] == "given") & (what[1] == script) & (what[2] == gender), given)
+    for script in SYLLABLES:
+        out = out.when(what[1] == script, F.initcap(syllables(script, F.least(bump + FEWEST, F.lit(MOST)))))
+    return out
+
+
+def _name(v: Column, key: str, bump_of: Callable[[Column], Column]) -> Column:
+    """The title stays; a given and a family name have their surrogates each, so a family name's is the same with and without a given name."""
+
+    def of(keys: Column) -> Column:
+        part = lambda i: _let(F.get(keys, F.lit(i)), lambda k: _part(k, key, bump_of(k)))
+        return F.concat(_title(v), F.when(F.size(keys) > 1, F.concat(part(1), F.lit(" "))).otherwise(F.lit("")), part(0))
+
+    return _let(_name_keys(v), of)
 
 
 def kind_of(v: Column) -> Column:
@@ -193,17 +246,35 @@ def kind_of(v: Column) -> Column:
     return out.otherwise(F.lit("phone"))
 
 
-def surrogate(v: Column, bump: Column, key: str) -> Column:
-    """The replacement of an entity. The same value, bump and key give the same one."""
-    makers = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "card": _card, "name": _name}
+def canonical(v: Column, kind: Column) -> Column:
+    """What is the same entity in other letters or layouts: addresses and hex secrets in small letters, IBANs and cards without gaps."""
+    small = (kind == "email") | ((kind == "secret") & ~v.rlike("^(AKIA|sk-|ghp_)"))
+    return F.when(small, F.lower(v)).when(kind == "iban", F.replace(v, F.lit(" "), F.lit(""))).when(kind == "card", _digits(v)).otherwise(v)
 
-    def of(kind: Column) -> Column:
+
+def keys_of(v: Column) -> Column:
+    """What an entity is known by: its canonical form, or the parts of a name."""
+    return _let(kind_of(v), lambda kind: F.when(kind == "name", _name_keys(v)).otherwise(F.array(canonical(v, kind))))
+
+
+def surrogate(v: Column, bump_of: Callable[[Column], Column], key: str) -> Column:
+    """The replacement of an entity, by the bumps of what it is known by. The same entity, bump and key give the same one."""
+    makers = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "card": _card}
+
+    def of(kind: Column, bump: Column) -> Column:
         out = F.when(kind == "ssn", _let(_permute_digits(_digits(v), key, bump), lambda d: _into_format(v, d)))
         for name, make in makers.items():
             out = out.when(kind == name, make(v, key, bump))
-        return out.otherwise(_phone(v, key, bump))
+        return out.when(kind == "name", _name(v, key, bump_of)).otherwise(_phone(v, key, bump))
+
+    return _let(kind_of(v), lambda kind: _let(bump_of(canonical(v, kind)), lambda bump: of(kind, bump)))
+
 
-    return _let(kind_of(v), of)
+def surrogate_key(k: Column, bump: Column, key: str) -> Column:
+    """What the surrogate of an entity is known by, from what the entity is: keys_of() of its replacement."""
+    name = F.concat(F.regexp_extract(k, f"^.*{PART}", 0), F.lower(_part(k, key, bump)))
+    other = _let(surrogate(k, lambda _: bump, key), lambda new: canonical(new, kind_of(k)))
+    return F.when(F.contains(k, F.lit(PART)), name).otherwise(other)
 
 
 def entities(text: Column) -> Column:
@@ -212,7 +283,7 @@ def entities(text: Column) -> Column:
 
 
 def find_collisions(values: DataFrame, key: str) -> DataFrame:
-    """(value, bump) of the values whose plain surrogate can't stand.
+    """(value, bump) of the values, as keys_of() has them, whose plain surrogate can't stand.
 
     It can't if another value has the same one, or if it is itself a value of the corpus. Such
     values are hashed anew with a counter until all surrogates differ from each other and from the
@@ -221,7 +292,7 @@ def find_collisions(values: DataFrame, key: str) -> DataFrame:
     """
     now = keep(values.select("value", F.lit(0).alias("bump")), "pii-values")
     while True:
-        made = keep(now.select("value", "bump", surrogate(F.col("value"), F.col("bump"), key).alias("new")), "pii-made")
+        made = keep(now.select("value", "bump", surrogate_key(F.col("value"), F.col("bump"), key).alias("new")), "pii-made")
         taken = made.select(F.col("value").alias("new"), F.lit(True).alias("real"))
         order = Window.partitionBy("new").orderBy("bump", "value")
         ranked = made.withColumn("rank", F.row_number().over(order)).join(taken, "new", "left")
@@ -234,27 +305,32 @@ def find_collisions(values: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = "corpus", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put surrogates in place of the personal data of all texts.
 
-    Returns the columns of `docs` with the text replaced, and n_entities. One value has one surrogate
-    in the whole corpus (coreference), two values never the same (distinctness). A null text stays
-    null with 0 entities. Rows with equal or null ids are handled each for itself.
+    Returns the columns of `docs` with the text replaced, and n_entities, in place of a column of that
+    name. One entity has one surrogate in the whole corpus (coreference), whatever the case of an
+    address or the gaps of an IBAN or card; a family name has one after any title, with a given name
+    or without. Two entities never have the same (distinctness). Names in scripts other than Latin
+    and Cyrillic get Latin ones, and names without a title aren't detected. A null text stays null
+    with 0 entities. Rows with equal or null ids are handled each for itself.
     """
     seen = docs.withColumn("_pii_found", entities(F.col(text_col)))
     found = F.col("_pii_found")
-    bumps = find_collisions(seen.select(F.explode(found).alias("value")).distinct(), key)
+    known = lambda values: F.array_distinct(F.flatten(F.transform(values, keys_of)))
+    each = seen.select(F.explode(found).alias("value")).distinct().select(F.explode(keys_of(F.col("value"))).alias("value")).distinct()
+    bumps = find_collisions(each, key)
 
     def rebuilt(rows: DataFrame) -> DataFrame:
         whole = F.zip_with(F.split(F.col(text_col), ANY, -1), "_pii_new", lambda p, s: F.concat(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))
         out = F.when(F.size("_pii_new") > 0, F.array_join(whole, "")).otherwise(F.col(text_col))
-        return rows.select(*(out.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.size("_pii_new").alias("n_entities"))
+        return rows.select(*(out.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "n_entities"), F.size("_pii_new").alias("n_entities"))
 
     if bumps.isEmpty():
-        return rebuilt(seen.withColumn("_pii_new", F.transform(found, lambda v: surrogate(v, F.lit(0), key))))
+        return rebuilt(seen.withColumn("_pii_new", F.transform(found, lambda v: surrogate(v, lambda _: F.lit(0), key))))
     # Texts with a bumped value get their counters by the text's own hash.
     version = F.sha2(F.col(text_col), 256)
-    hits = seen.select(version.alias("_pii_of"), F.explode(F.array_distinct(found)).alias("value")).distinct().join(bumps, "value")
+    hits = seen.select(version.alias("_pii_of"), F.explode(known(found)).alias("value")).distinct().join(bumps, "value")
     maps = hits.groupBy("_pii_of").agg(F.map_from_entries(F.collect_list(F.struct("value", "bump"))).alias("_pii_bumps"))
     joined = seen.withColumn("_pii_version", version).join(maps, F.col("_pii_version") == F.col("_pii_of"), "left")
-    return rebuilt(joined.withColumn("_pii_new", F.transform(found, lambda v: surrogate(v, F.coalesce(F.element_at("_pii_bumps", v), F.lit(0)), key))))
+    return rebuilt(joined.withColumn("_pii_new", F.transform(found, lambda v: surrogate(v, lambda k: F.coalesce(F.try_element_at("_pii_bumps", k), F.lit(0)), key))))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_distinct_values_stay_distinct(spark):
 
 
 def test_collisions_are_resolved(spark, monkeypatch):
-    monkeypatch.setattr(m, "surrogate", lambda v, bump, key: F.concat(F.lit("s"), (F.length(v) % 2 + bump).cast("string")))
+    monkeypatch.setattr(m, "surrogate_key", lambda v, bump, key: F.concat(F.lit("s"), (F.length(v) % 2 + bump).cast("string")))
     values = spark.createDataFrame([(v,) for v in ("aaaa", "bb", "c", "s1")], "value string")
     bumps = {r["value"]: r["bump"] for r in m.find_collisions(values, "k").collect()}
     made = {v: f"s{len(v) % 2 + bumps.get(v, 0)}" for v in ("aaaa", "bb", "c", "s1")}
@@ -64,10 +64,52 @@ def test_more_names_than_short_surrogates(spark, monkeypatch):
 
     monkeypatch.setattr(m, "keep", kept)
     names = [f"Mr {a}{b}" for a in ("Smith", "Jones", "Kent") for b in "abcdefghijklmnop"]
-    bumps = m.find_collisions(spark.createDataFrame([(v,) for v in names], "value string"), "k")
-    rows = spark.createDataFrame([(v,) for v in names], "value string").join(bumps, "value", "left").select("value", m.surrogate(F.col("value"), F.coalesce("bump", F.lit(0)), "k").alias("new")).collect()
-    assert len({r["new"] for r in rows}) == len(names)
-    assert not {r["new"] for r in rows} & set(names)
+    out = redact(spark, names)
+    assert len(set(out)) == len(names) and not set(out) & set(names)
+
+
+def test_one_entity_has_one_surrogate(spark):
+    a, b, mixed = redact(spark, ["Bob.Lee@mail.example.com", "bob.lee@mail.example.com", "bob.LEE@mail.example.com"])
+    assert a.lower() == b.lower() == mixed.lower()
+    a, b = redact(spark, ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"])
+    assert a.replace(" ", "") == b and a != b
+    a, b = redact(spark, ["4111 1111 1111 1111", "4111-1111-1111-1111"])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    full, short, lady, other, john = redact(spark, ["Mr John Smith", "Mr Smith", "Mrs Smith", "Mr Jack Smith", "Herr John Miller"])
+    family = full.split()[-1]
+    assert short == f"Mr {family}" and lady == f"Mrs {family}" and other.split()[-1] == family
+    assert full.split()[1] == john.split()[1] != other.split()[1] and john.split()[-1] != family
+
+
+def test_iban_check_digits(spark):
+    def rest(v):
+        v = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+
+    valid, wrong = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"], ["DE88 3704 0044 0532 0130 00"]
+    out = redact(spark, valid + wrong)
+    assert all(rest(v) == 1 for v in valid) and [rest(v) == 1 for v in out] == [True, True, True, False]
+    for before, after in zip(valid + wrong, out, strict=True):
+        assert before[:2] == after[:2] and re.sub("[0-9]", "9", re.sub("[A-Z]", "A", before)) == re.sub("[0-9]", "9", re.sub("[A-Z]", "A", after))
+
+
+def test_all_entities_against_brute_force(spark):
+    """Coreference and distinctness over all entities of a corpus, by comparing each entity with its replacement."""
+    docs = edge.table(spark, "documents", "sf0.01").select("doc_id", "text")
+    pairs = docs.withColumn("found", m.entities(F.col("text"))).join(m.replace_entities(docs, "k").select("doc_id", F.col("text").alias("after")), "doc_id").filter("size(found) > 0").toPandas()
+    whole, made = re.compile("|".join(r"[\w.%+-]+@[\w.-]+|\d{16}|\+\d \(\d{3}\) \d{3}-\d{4}|[0-9a-f]{40}|\d+\.\d+\.\d+\.\d+".split("|"))), {}
+    for before, after in zip(pairs["text"], pairs["after"], strict=True):
+        a, b = whole.findall(before), whole.findall(after)
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert made.setdefault(x.lower(), y.lower()) == y.lower() and x != y
+    assert len(made) > 50 and len(set(made.values())) == len(made) and not set(made) & set(made.values())
+
+
+def test_plan_has_no_python(spark):
+    out = m.replace_entities(edge.table(spark, "documents").select("doc_id", "text"))
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_clean_text_stays(spark):
@@ -89,6 +131,7 @@ def test_planted_values_are_gone(spark):
 def test_edges(spark):
     out = m.replace_entities(edge.docs(spark))
     assert out.columns == [*edge.docs(spark).columns, "n_entities"]
+    assert m.replace_entities(edge.docs(spark).withColumnRenamed("copies", "n_entities")).columns.count("n_entities") == 1
     assert out.count() == len(edge.ROWS)
     assert out.filter("text is null").count() == 2
     assert m.replace_entities(edge.empty(spark)).count() == 0
