@@ -58,19 +58,22 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent. y, 1 or -1, is that of the rows of x to learn from."""
-    n = len(rows)
-    w, alpha = np.zeros(x.shape[1] + 1, np.float32), np.zeros(n)
-    square = np.einsum("ij,ij->i", x, x)[rows] + 1 + 1 / (2 * cost)
+def linear_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int = DIMS, cost: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent.
+
+    A row of x has the places of its values and the values; y is 1 or -1.
+    """
+    n = len(x)
+    w, alpha = np.zeros(dims + 1, np.float32), np.zeros(n)
+    square = np.array([v @ v for _, v in x]) + 1 + 1 / (2 * cost)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(n):
-            of = x[rows[i]]
-            gradient = y[i] * (of @ w[:-1] + w[-1]) - 1 + alpha[i] / (2 * cost)
+            at, v = x[i]
+            gradient = y[i] * (w[at] @ v + w[-1]) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - gradient / square[i], 0.0)
             if step := (new - alpha[i]) * y[i]:
-                w[:-1] += np.float32(step) * of
+                w[at] += np.float32(step) * v
                 w[-1] += step
             alpha[i] = new
     return w
@@ -111,20 +114,18 @@ class LanguageModel:
         return out.tolist(), score
 
 
-def fit(counts: np.ndarray, langs: list[str]) -> LanguageModel:
-    """Machines for the languages that occur. Without any, all texts are `und`. `counts` is worked on in place."""
+def fit(grams: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> LanguageModel:
+    """Machines for the languages that occur, from each text's places and counts. Without any, all texts are `und`."""
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(family_of(lang), []).append(lang)
-    x, own = np.asarray(counts, np.float32), np.array(langs, object)
-    np.sqrt(x, out=x)
-    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    x, own = [(at, unit(n)) for at, n in grams], np.array(langs, object)
     kin = np.array([family_of(lang) for lang in langs], object)
-    columns = [linear_svm(x, np.arange(len(x)), np.where(kin == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.ones(DIMS + 1, np.float32) for _ in families]
+    columns = [linear_svm(x, np.where(kin == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.ones(DIMS + 1, np.float32) for _ in families]
     pairs = [p for members in families.values() for p in combinations(members, 2)]
     for a, b in pairs:
         rows = np.flatnonzero((own == a) | (own == b))
-        columns.append(linear_svm(x, rows, np.where(own[rows] == a, 1.0, -1.0)))
+        columns.append(linear_svm([x[i] for i in rows], np.where(own[rows] == a, 1.0, -1.0)))
     return LanguageModel(families, pairs, np.array(columns, np.float32).T if columns else np.zeros((DIMS + 1, 0), np.float32))
 
 
@@ -151,10 +152,7 @@ def learn(docs: DataFrame, most_rows: int = 3000) -> LanguageModel:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "lang": pdf["lang"].to_numpy(), "at": at, "n": [g[a] for g, a in zip(grams, at, strict=True)]})
 
     rows = chosen.mapInPandas(read, "doc_id long, lang string, at array<int>, n array<int>").toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
-    counts_of = np.zeros((len(rows), DIMS), np.float32)
-    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        counts_of[i, at] = n
-    return fit(counts_of, rows["lang"].tolist())
+    return fit(list(zip(rows["at"], rows["n"], strict=True)), rows["lang"].tolist())
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep_cols: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5)).astype(np.float32)
     y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
-    w = m.linear_svm(x, np.arange(len(x)), y)
+    w = m.linear_svm([(np.arange(5), v) for v in x], y, 5)
     assert (np.sign(x @ w[:-1] + w[-1]) == y).mean() > 0.97
 
 
@@ -24,8 +24,8 @@ def test_held_out(spark):
 
 def test_three_languages_of_a_family_vote():
     texts = [("en", "the and of with that this"), ("de", "der die und nicht eine mit"), ("nl", "het een van voor niet zijn"), ("xx", "qqq zzz xxq zqx")]
-    counts = np.stack([m.gram_counts(t) for _, t in texts for _ in range(20)])
-    model = m.fit(counts, [lang for lang, _ in texts for _ in range(20)])
+    counts = [m.gram_counts(t) for _, t in texts for _ in range(20)]
+    model = m.fit([(np.flatnonzero(c), c[c > 0]) for c in counts], [lang for lang, _ in texts for _ in range(20)])
     assert model.families == {"germanic": ["de", "en", "nl"], "xx": ["xx"]} and len(model.pairs) == 3
     assert model.predict(np.stack([m.gram_counts(t) for _, t in texts]))[0] == [lang for lang, _ in texts]
 
