@@ -134,7 +134,7 @@ def hot_limit(rows: int) -> int:
     return max(1000, rows // 2000)
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int) -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str | list[str], copies: str, rows: int) -> DataFrame:
     """Inner join of `left`, where one key may hold a third of all rows, with `right`, which has one row a key.
 
     `right.copies` is the number of rows that `left` has of the key and `rows` those of `left` in all.

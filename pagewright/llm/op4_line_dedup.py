@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, join_by_key, keep, table
 
 _LAST = (1 << 63) - 1
+_ANY_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _rolling(hashes: Column) -> Column:
@@ -17,7 +18,7 @@ def _rolling(hashes: Column) -> Column:
 
 
 def chunk_lines(docs: DataFrame, id_col: str, text_col: str, long_line: int) -> DataFrame:
-    """(doc, version, lines, starts): the lines of each text and the lines at which its chunks start.
+    """(doc, version, lines, hashes, wide, starts): the lines of each text and the lines at which its chunks start.
 
     A chunk starts where the rolling hash has a local minimum, so it has two lines or more and its
     bounds depend on five lines around them alone: text put in or taken out elsewhere doesn't shift
@@ -26,72 +27,118 @@ def chunk_lines(docs: DataFrame, id_col: str, text_col: str, long_line: int) ->
     text = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.split(text_col, "\n", -1).alias("lines"))
     wide = lambda x: (F.length(x) >= 2 * long_line - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_line)
     hashed = text.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", wide).alias("wide"))
-    rolled = hashed.select("doc", "version", "lines", "wide", _rolling(F.col("hashes")).alias("roll"))
+    rolled = hashed.select("*", _rolling(F.col("hashes")).alias("roll"))
     at = lambda i: F.get("roll", i)
     low = lambda i: (at(i) < at(i - 1)) & (at(i) < F.coalesce(at(i + 1), F.lit(_LAST)))
     cut = lambda i: (i == 0) | F.get("wide", i) | F.coalesce(F.get("wide", i - 1), F.lit(False)) | F.coalesce(low(i), F.lit(False))
-    return rolled.select("doc", "version", "lines", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut).alias("starts"))
+    return rolled.select("doc", "version", "lines", "hashes", "wide", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut).alias("starts"))
 
 
-def _pieces() -> Column:
-    """The chunks of (lines, starts) as an array of their text and whether they may be dropped: of two lines or more, or long."""
-    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
-    return F.transform("starts", lambda s, k: F.array_join(F.slice("lines", s + 1, end(k) - s), "\n"))
-
-
-def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """(hash, bytes_ok, owner, copies) of the chunks that come more than once.
+def line_units(chunked: DataFrame) -> DataFrame:
+    """(doc, version, at, n, h1, h2), a row a unit that may repeat: the chunks, then all pairs of adjacent lines.
 
-    The grouping is by the hash and the chunk's own bytes, which is the byte comparison. A hash that
-    two different chunks share has several rows before the second step, which marks it as not ok.
+    A chunk of `n` lines from line `at` has the hash `h1` of its lines' hashes and `n` as `h2`; it
+    counts if it has a word and two lines or more, or is one long line. A pair has n = 0 and its two
+    lines' hashes.
     """
-    same = chunks.groupBy("hash", "chunk").agg(F.count("*").alias("copies"), F.min("doc").alias("owner"))
-    return same.groupBy("hash").agg(F.count("*").alias("texts"), F.sum("copies").alias("copies"), F.min("owner").alias("owner")).filter("copies > 1 and texts = 1").drop("texts")
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
+    spans = F.transform("starts", lambda s, k: F.struct(s.alias("at"), (end(k) - s).alias("n")))
+    wordy = lambda c: F.exists(F.slice("lines", c["at"] + 1, c["n"]), lambda x: x.rlike(_ANY_WORD))
+    counts = lambda c: F.get("wide", c["at"]) | ((c["n"] > 1) & wordy(c))
+    unit = lambda at, n, h1, h2: F.struct(at.alias("at"), n.alias("n"), h1.alias("h1"), h2.alias("h2"))
+    chunk = lambda c: unit(c["at"], c["n"], F.xxhash64(F.slice("hashes", c["at"] + 1, c["n"])), c["n"].cast("long"))
+    pair = lambda h, i: unit(i, F.lit(0), h, F.get("hashes", i + 1))
+    spanned = chunked.select("*", F.filter(spans, counts).alias("spans"))
+    units = F.concat(F.transform("spans", chunk), F.transform(F.slice("hashes", F.lit(1), F.size("hashes") - 1), pair))
+    return spanned.select("doc", "version", F.explode(units).alias("u")).select("doc", "version", "u.*")
+
+
+def _order() -> Column:
+    """What tells which of equal units comes first: the document's id, nulls last, its text, the line."""
+    return F.struct(F.col("doc").isNull().alias("none"), "doc", "version", "at")
+
+
+def repeated_units(units: DataFrame) -> DataFrame:
+    """(doc, version, units): of each text the units that come more than once, with whether an earlier one `repeats` in them."""
+    twice = units.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(_order()).alias("first")).filter("copies > 1")
+    found = join_by_key(units, keep(twice, "lines-repeated"), ["h1", "h2"], "copies", units.count())
+    marked = F.struct("at", "n", "h1", "h2", (_order() > F.col("first")).alias("repeats"))
+    return found.groupBy("doc", "version").agg(F.collect_set(marked).alias("units"))
+
+
+def unlike_units(marked: DataFrame, text: str) -> DataFrame:
+    """(hash): hashes that byte comparison finds on different chunks or lines; `marked` has the texts beside their units."""
+    lines = marked.select(F.split(text, "\n", -1).alias("lines"), "units")
+    body = lambda at, n: F.array_join(F.slice("lines", at + 1, n), "\n")
+    chunks = F.transform(F.filter("units", lambda u: u["n"] > 0), lambda u: F.struct(u["h1"].alias("hash"), u["n"].alias("n"), body(u["at"], u["n"]).alias("bytes")))
+    pairs = F.filter("units", lambda u: u["n"] == 0)
+    numbers = F.array_distinct(F.flatten(F.transform(pairs, lambda u: F.array(F.struct(u["at"].alias("at"), u["h1"].alias("h")), F.struct((u["at"] + 1).alias("at"), u["h2"].alias("h"))))))
+    single = F.transform(numbers, lambda x: F.struct(x["h"].alias("hash"), F.lit(0).alias("n"), F.get("lines", x["at"]).alias("bytes")))
+    told = lines.select(F.explode(F.concat(chunks, single)).alias("b")).select("b.*").distinct()
+    return told.groupBy("hash", "n").agg(F.count("*").alias("texts")).filter("texts > 1").select("hash").distinct()
+
+
+def _settle(marked: DataFrame, unlike: DataFrame) -> DataFrame:
+    """Take back the repeats whose hash also belongs to other bytes."""
+    one = marked.filter(F.size("units") > 0).select("_ld_of", F.col("_ld_id").alias("doc"), F.explode("units").alias("u"))
+    hashes = F.when(F.col("u.n") > 0, F.array("u.h1")).otherwise(F.array("u.h1", "u.h2"))
+    wrong = one.select("_ld_of", "doc", "u", F.explode(hashes).alias("hash")).join(unlike, "hash", "left_semi")
+    back = wrong.groupBy(F.col("doc").alias("_ld_doc"), F.col("_ld_of").alias("_ld_version")).agg(F.collect_set("u").alias("_ld_back"))
+    joined = marked.join(back, F.col("_ld_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
+    left = F.when(F.col("_ld_back").isNull(), F.col("units")).otherwise(F.array_except("units", "_ld_back"))
+    return joined.withColumn("units", left).drop("_ld_doc", "_ld_version", "_ld_back")
+
+
+def _kept_text(cut: DataFrame, long_line: int) -> DataFrame:
+    """Add `new`: the text of (text, units) without the lines of repeated chunks and of long repeated runs."""
+    again = F.filter("units", lambda u: u["repeats"])
+    at = lambda wanted: F.transform(F.filter("again", wanted), lambda u: u["at"])
+    chunks = F.filter("again", lambda u: u["n"] > 0)
+    split = cut.withColumn("lines", F.split("text", "\n", -1)).withColumn("again", again)
+    split = split.withColumn("chunks", chunks).withColumn("pairs", F.array_sort(at(lambda u: u["n"] == 0)))
+    # A run is a maximal stretch of pairs that follow each other; it ends with the last pair's second line.
+    starts = F.filter("pairs", lambda x, i: F.coalesce(F.get("pairs", i - 1) != x - 1, F.lit(True)))
+    ends = F.filter("pairs", lambda x, i: F.coalesce(F.get("pairs", i + 1) != x + 1, F.lit(True)))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b - a + 2).alias("n")))
+    words = lambda r: F.aggregate(F.slice("lines", r["at"] + 1, r["n"]), F.lit(0), lambda sum_, x: sum_ + F.regexp_count(x, F.lit(WORD)))
+    long = F.filter(runs, lambda r: words(r) >= long_line)
+    dropped = F.flatten(F.transform(F.concat(F.transform("chunks", lambda u: F.struct(u["at"].alias("at"), u["n"].alias("n"))), long), lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), dropped)
+    return split.withColumn("left", left).withColumn("new", F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 50) -> DataFrame:
-    """Drop every chunk of lines that an earlier chunk of the corpus equals byte for byte.
-
-    The chunk in the document of the smallest id stays, and there the first one. Chunks are of two
-    lines or more, or one line of `long_line` words; a lone shorter line at an end, or one without
-    any word, stays. Returns the columns of `docs`, with the text cut. A null text stays null, an
-    empty one empty; a text whose chunks all go becomes empty, and its row stays. Rows equal in id
-    and text count as one document and get the same text; a row with a null id is never an owner
-    while others are. Columns of `docs` of any name pass through.
-    """
-    cut = chunk_lines(docs.filter(F.col(text_col).isNotNull()), id_col, text_col, long_line)
-    ends = F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), F.size("lines")) - s)
-    named = cut.select("doc", "version", _pieces().alias("chunks"), ends.alias("n"))
-    counts = lambda c, n: ((n > 1) & c.rlike(r"[^\x20\x09-\x0D]")) | ((F.length(c) >= 2 * long_line - 1) & (F.regexp_count(c, F.lit(WORD)) >= long_line))
-    rows = named.select("doc", "version", F.posexplode(F.zip_with("chunks", "n", lambda c, n: F.struct(c.alias("chunk"), counts(c, n).alias("counts")))).alias("k", "c")).filter("c.counts").select("doc", "version", "k", F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("hash"))
-    twice = keep(repeated_chunks(rows), "chunks-repeated")
-    marks = keep(rows.select("doc", "version", "k", "hash"), "chunks-marks")
-    found = join_by_key(marks, twice, "hash", "copies", marks.count())
-    # The first of a document's own copies is the one of its smallest k.
-    firsts = found.filter(F.col("doc") == F.col("owner")).groupBy("doc", "version", "hash").agg(F.min("k").alias("first"))
-    own = found.filter(F.col("doc") == F.col("owner")).join(firsts, ["doc", "version", "hash"]).filter("k > first").select("doc", "version", "k")
-    others = found.filter(~F.coalesce(F.col("doc") == F.col("owner"), F.lit(False)) & ~(F.col("doc").isNull() & F.col("owner").isNull())).select("doc", "version", "k")
-    drop = own.unionByName(others).groupBy(F.col("doc").alias("_ld_doc"), F.col("version").alias("_ld_version")).agg(F.collect_set("k").alias("_ld_drop"))
-    joined = docs.withColumn("_ld_of", F.xxhash64(text_col)).join(drop, F.col(id_col).eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
-    return _without(joined, docs.columns, text_col, long_line)
-
-
-def _without(joined: DataFrame, columns: list[str], text_col: str, long_line: int) -> DataFrame:
-    """Cut the marked chunks out of the texts that have any; the row and its marks ride along as the id.
-
-    The new text comes out of a generator, so that conditions a user sets on it are not computed
-    from the lines again.
+    """Drop the chunks of lines, and the long runs of lines, that come earlier in the corpus byte for byte.
+
+    Chunks are of two lines or more with a word, or one line of `long_line` words. Since a passage
+    of few lines has no chunk of its own and a longer one ends within chunks, pairs of adjacent
+    lines are compared as well: a stretch in which each pair of lines comes earlier goes if it has
+    `long_line` words or more. Earlier is by id, then place in the text, so the first of all equal
+    lines always stays. A lone shorter line stays.
+
+    Returns the columns of `docs`, with the text cut. A null text stays null, an empty one empty; a
+    text of which all goes becomes empty, and its row stays. Rows equal in id and text count as one
+    document and get the same text; a null id comes after all others, and texts of one id go by
+    their hash. Units whose 64-bit hash belongs to other bytes too stay. Columns of `docs` of any
+    name pass through.
     """
-    row = F.struct(F.struct(*columns).alias("row"), F.col("_ld_drop").alias("drop"))
-    carried = joined.select(row.alias("of"), F.when(F.col("_ld_drop").isNotNull(), F.col(text_col)).alias("text"))
-    cut = chunk_lines(carried, "of", "text", long_line).select("doc", "lines", "starts").select("doc", _pieces().alias("chunks"))
-    kept = F.array_join(F.filter("chunks", lambda c, k: ~F.array_contains(F.col("doc.drop"), k)), "\n")
-    text = F.when(F.col("doc.drop").isNotNull(), kept).otherwise(F.col("doc.row")[text_col])
-    out = cut.select("doc", F.explode(F.array(text)).alias("_ld_text")).select("doc.row.*", "_ld_text")
-    return out.select(*(F.col("_ld_text").alias(c) if c == text_col else F.col(c) for c in columns))
+    units = keep(line_units(chunk_lines(docs.filter(F.col(text_col).isNotNull()), id_col, text_col, long_line)), "lines-units")
+    found = repeated_units(units).select(F.col("doc").alias("_ld_doc"), F.col("version").alias("_ld_version"), F.col("units").alias("_ld_units"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_ld_id"), F.xxhash64(text_col).alias("_ld_of"))
+    joined = rows.join(found, F.col("_ld_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
+    marked = keep(joined.select("row", "_ld_id", "_ld_of", F.col("_ld_units").alias("units")), "lines-marked")
+    unlike = keep(unlike_units(marked.filter("units is not null").select("row", "units"), f"row.`{text_col}`"), "lines-unlike")
+    if not unlike.isEmpty():
+        marked = _settle(marked, unlike)
+    some = F.exists("units", lambda u: u["repeats"])
+    cut = _kept_text(marked.select("row", F.when(some, F.col("units")).alias("units")).withColumn("text", F.when(F.col("units").isNotNull(), F.col("row")[text_col])), long_line)
+    text = F.when(F.col("units").isNotNull(), F.col("new")).otherwise(F.col("row")[text_col])
+    # The new text comes out of a generator, so conditions that a user sets on it aren't computed from the lines again.
+    out = cut.select("row", F.explode(F.array(text)).alias("_ld_text")).select("row.*", "_ld_text")
+    return out.select(*(F.col("_ld_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the line chunks that earlier documents have: doc_id, text, chars_before, chars_after."""
+    """All documents without the lines that earlier documents have as chunks or long runs: doc_id, text, chars_before, chars_after."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("chars_before"))
     return dedup_lines(docs).withColumn("chars_after", F.length("text"))
