@@ -1,7 +1,8 @@
 """The ten pattern detectors, and a registry to which a user adds more.
 
 A detector takes no frame: it is a function from nothing to a struct column over the columns of
-parse_corpus() and text_lc. All of a registry are applied in one select.
+parse_corpus(), text_lc and the counts in COUNTS. All of a registry are applied in one select. Each
+count is a column of its own below that select, so its patterns run once a text.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ def _total(text: str, patterns: list[str]) -> Column:
     return out
 
 
+#: What detectors share: the column of each count, the text it is of, and its patterns.
+COUNTS = {"n_hooks": ("text_lc", CITATION_HOOKS), "n_dates": ("text", TEMPORAL), "n_definitions": ("text", DEFINITIONS), "n_steps": ("text", STEPS), "n_meta": ("text", META)}
+
+
 def _per_word(count: Column, by: int) -> Column:
     return F.when(F.col("word_count") > 0, count / F.col("word_count") * by).otherwise(F.lit(0.0))
 
@@ -60,7 +65,7 @@ def entity_density(mode: str = "off") -> Detector:
 
 
 def citation_hooks() -> Column:
-    count = _total("text_lc", CITATION_HOOKS)
+    count = F.col("n_hooks")
     return _scored(r1(F.least(F.lit(10.0), _per_word(count, 1000) / 2 * 10)), 10, count > 0, citation_count=count)
 
 
@@ -71,7 +76,7 @@ def recursive_depth() -> Column:
 
 
 def temporal_anchoring() -> Column:
-    count = _total("text", TEMPORAL)
+    count = F.col("n_dates")
     return _scored(F.least(F.lit(10), count * 2), 10, count > 0, date_count=count)
 
 
@@ -81,12 +86,12 @@ def comparison_tables() -> Column:
 
 
 def definitional_precision() -> Column:
-    count = _total("text", DEFINITIONS)
+    count = F.col("n_definitions")
     return _scored(F.least(F.lit(10), count * 2), 10, count > 0, definition_count=count)
 
 
 def procedural_clarity() -> Column:
-    steps = _total("text", STEPS)
+    steps = F.col("n_steps")
     ordered = F.filter("lists", lambda x: x["type"] == "ordered")
     items = F.aggregate(ordered, F.lit(0), lambda s, x: s + x["item_count"])
     return _scored(r1(F.least(F.lit(3.0), steps * 0.5) + F.least(F.lit(2.0), items / 5)), 5, (steps > 0) | (F.size(ordered) > 0), step_count=steps, ordered_items=items)
@@ -99,7 +104,7 @@ def faq_injection() -> Column:
 
 
 def meta_context() -> Column:
-    count = _total("text", META)
+    count = F.col("n_meta")
     return _scored(F.least(F.lit(10), count * 2), 10, count > 0, meta_count=count)
 
 
@@ -113,6 +118,7 @@ PATTERNS = list(registry())
 def detect(parsed: DataFrame, detectors: dict[str, Detector] | None = None) -> DataFrame:
     """Add a struct column for each detector: score, max, detected and its evidence."""
     ready = parsed.withColumn("text_lc", F.lower("text"))
+    ready = ready.withColumns({name: _total(text, patterns) for name, (text, patterns) in COUNTS.items()})
     return ready.select(*parsed.columns, *(d().alias(n) for n, d in (detectors or registry()).items()))
 
 

@@ -287,7 +287,7 @@ _BOTH = f"""WITH {o.ARTICLES}, originals AS (SELECT doc_id, text AS content FROM
 
 
 def _uplift(spark: SparkSession, sf: str) -> DataFrame:
-    before = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    before = tables.spread(tables.read(spark, sf, "documents")).select("doc_id", F.col("text").alias("content"))
     return compare.uplift(before, tables.articles(spark, sf))
 
 
@@ -545,7 +545,7 @@ _RUNS = "SELECT {0} AS id, unnest(list_distinct(list_transform(range(1, greatest
 @query(f"""WITH a AS ({_RUNS.format('doc_id', o.words('lower(text)'), 'documents')}), p AS ({_RUNS.format('item_id', o.words('lower(text)'), 'benchmark')}), s AS (SELECT id, count(*) AS runs FROM p GROUP BY 1), h AS (SELECT a.id AS answer_id, p.id AS passage_id, count(*) AS hits FROM a JOIN p ON a.r = p.r GROUP BY 1, 2)
 SELECT answer_id, passage_id, hits / runs::DOUBLE AS containment FROM h JOIN s ON s.id = passage_id WHERE hits / runs::DOUBLE >= 0.5""")
 def quoted_passages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), "text")
+    docs = tables.spread(tables.read(spark, sf, "documents")).select(F.col("doc_id").alias("answer_id"), "text")
     return citations.quoted_passages(docs, tables.read(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text"))
 
 
@@ -632,7 +632,7 @@ def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH n AS (SELECT doc_id, len({o.words('text')}) AS words, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences, len(regexp_extract_all(lower(text), {o.rx(tier2.VOWELS)})) AS syllables FROM documents) SELECT *, CASE WHEN words > 0 THEN round(0.39::DOUBLE * words / sentences + 11.8::DOUBLE * syllables / words - 15.59::DOUBLE, 4) ELSE 0.0 END AS grade FROM n""")
 def readability(spark: SparkSession, sf: str) -> DataFrame:
-    return tier2.readability(tables.read(spark, sf, "documents"))
+    return tier2.readability(tables.spread(tables.read(spark, sf, "documents")))
 
 
 @query(f"WITH {o.CITATIONS} SELECT count(*) FILTER (confidence >= 0.5 AND verified) / count(*) FILTER (confidence >= 0.5)::DOUBLE AS precision, count(*) FILTER (confidence >= 0.5 AND verified) / count(*) FILTER (verified)::DOUBLE AS recall FROM citations")
