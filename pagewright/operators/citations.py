@@ -62,9 +62,13 @@ def citation_trend(df: DataFrame, at: Column, days: int = 30, grain: str = "day"
 
 
 def share_of_voice(df: DataFrame, by: str = "engine") -> DataFrame:
-    """(by, domain, citations, share): a domain's part of all citations of an engine or prompt category."""
+    """(by, domain, citations, share): a domain's part of all citations of an engine or prompt category.
+
+    The sums are joined instead of windowed, so that the domains of one engine needn't be in one task.
+    """
     counts = df.groupBy(by, "domain").agg(F.count("*").alias("citations"))
-    return counts.withColumn("share", F.col("citations") / F.sum("citations").over(Window.partitionBy(by)))
+    sums = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("citations").alias("_all"))
+    return counts.join(sums, F.col(by).eqNullSafe(F.col("_by"))).select(by, "domain", "citations", (F.col("citations") / F.col("_all")).alias("share"))
 
 
 def voice_cube(df: DataFrame) -> DataFrame:
