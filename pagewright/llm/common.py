@@ -99,6 +99,8 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: Column, out:
     the buckets' sums and one over the rows of a bucket, so no task holds more than about the square
     root of the largest group. `group` must not be null.
     """
+    if isinstance(order, str):
+        raise TypeError("order must be a list of columns")
     buckets = max(1, math.isqrt(max(rows, 1)))
     b, s, f = f"_{out}_bucket", f"_{out}_inner", f"_{out}_offset"
     cut = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))

@@ -91,7 +91,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     Returns the id, size (UTF-8 bytes and `overhead`), text_crc32, shard and slot (gapless from 0 in
     each shard). A null text counts as empty, and so is in one group with empty texts. Rows with the
-    same or a null id are documents of their own. A table without rows gives no rows.
+    same or a null id are documents of their own, in slots by id, size and crc; columns of `docs` of other
+    names, whatever they are, don't enter. A table without rows gives no rows.
     """
     rows = docs.select(F.col(id_col).alias(id_col), (F.length(utf8(F.col(text_col))) + overhead).cast("long").alias("size"), F.crc32(utf8(F.col(text_col))).alias("text_crc32"), F.unhex(F.sha2(utf8(F.col(text_col)), 256)).alias("grp"))
     rows = keep(rows, "shard-rows")
@@ -99,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     total = rows.count()
     placed = join_by_key(rows, assign_groups(groups, shards).select("grp", "copies", F.col("part").alias("shard")), "grp", "copies", total)
     placed = keep(placed.select(id_col, "size", "text_crc32", "shard"), "shard-placed")
-    return running_sum(placed, "shard", id_col, F.lit(1), "slot", max(1, total // shards))
+    return running_sum(placed, "shard", [id_col, "size", "text_crc32"], F.lit(1), "slot", max(1, total // shards))
 
 
 def op5_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
