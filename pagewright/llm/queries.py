@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _WHERE = {
     "op10_simhash_groups": "op10_simhash",
     "op11_whiten": "op11_whitening",
+    "op12_repair": "op12_repair",
     "op1_mix_sources": "op1_mixing",
     "op2_pii_surrogates": "op2_pii",
     "op3_interleaved_media": "op3_media",
