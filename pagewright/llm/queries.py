@@ -11,6 +11,7 @@ _WHERE = {
     "op10_simhash_groups": "op10_simhash",
     "op11_whiten": "op11_whitening",
     "op12_repair": "op12_repair",
+    "op13_extract_html": "op13_html",
     "op1_mix_sources": "op1_mixing",
     "op2_pii_surrogates": "op2_pii",
     "op3_interleaved_media": "op3_media",

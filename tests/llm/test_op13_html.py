@@ -1,0 +1,100 @@
+import html
+import random
+import re
+
+import pytest
+
+from pagewright.llm import op13_html as m
+from tests.llm import edge
+
+SCHEMA = "page_id long, url string, html string, text string, host string, boxes int, _salt int"
+WORDS = "river stone cloud maple lantern harbor willow ember copper meadow".split()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "h", 1, 2) for r in rows], SCHEMA)
+
+
+def texts(spark, rows):
+    return [r["text"] for r in m.extract(frame(spark, rows)).orderBy("page_id").collect()]
+
+
+def article(source):
+    """The article element's blocks by another way, for pages of the driver's form."""
+    body = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|br)>", body)
+    return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"</?b>", "", q)).split()) for q in parts) if x)
+
+
+def test_query_returns_the_articles(spark):
+    got = m.op13_extract_html(spark, "/root/testdata/sf0.01").toPandas().set_index("page_id")
+    pages = edge.table(spark, "pages", "sf0.01").toPandas().set_index("page_id")
+    assert sorted(got.index) == sorted(pages.index) and got.columns.tolist() == ["url", "text", "n_chars"]
+    for i, p in pages.iterrows():
+        assert got.text[i] == article(p["html"]) and got.n_chars[i] == len(got.text[i]) and got.url[i] == p["url"]
+
+
+def sentence(rng, n=12):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(n)) + "."
+
+
+def layouts(rng, kind):
+    """(html, main text) of a page of a site of one of several layouts; the words differ from page to page."""
+    title, paras = sentence(rng, 4), [sentence(rng) for _ in range(rng.randrange(2, 6))]
+    main = "\n".join([title, *paras])
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+    links = "".join(f'<li><a href="/{i}">{sentence(rng, 2)}</a></li>' for i in range(rng.randrange(3, 7)))
+    comments = "".join(f'<div class="comment"><p>{sentence(rng)}</p></div>' for _ in range(rng.randrange(4)))
+    if kind == 0:  # everything named
+        return f"<html><body><header>Site</header><nav><ul>{links}</ul></nav><div class='cookie-notice'>We use cookies</div><main><article>{body}<aside>{sentence(rng)}</aside><form><p>Sign up</p><input></form></article></main><section id='comments'><h2>Comments</h2>{comments}</section><footer>{sentence(rng, 5)}</footer></body></html>", main
+    if kind == 1:  # no article element; what is fixed isn't named
+        return f"<html><body><div class=top><p>Welcome to the best site of all sites on this planet</p></div><div class=links><ul>{links}</ul></div><div class=content>{body}<p>Thank you for reading this story to its very end</p></div><div class=bottom><p>All rights belong to whoever wrote the words above here</p></div></body></html>", main
+    if kind == 2:  # tables, capital letters and unclosed tags
+        rows = "".join(f"<TR><TD>{p}" for p in paras)
+        return f"<HTML><BODY><TABLE><TR><TD class=nav>{links}</TD><TD id=story-{rng.randrange(99)}><H1>{title}</H1><TABLE>{rows}</TABLE></TD></TR></TABLE><div class='adBox'>{sentence(rng)}</div>", main
+    teasers = "".join(f"<article class=teaser><h2>{sentence(rng, 2)}</h2></article>" for _ in range(3))  # other articles beside
+    return f"<body><form id=all><div role='navigation'>{links}</div><article class='post post-{rng.randrange(9)}'><header>{'<h1>' + title + '</h1>'}</header>{body.split('</h1>')[1]}</article><div>{teasers}</div><div class='comments'><article class='comment'><p>{sentence(rng)}</p></article></div></form><script>var a='<p>no</p>';</script><style>p</style><!-- <p>none</p> --></body>", main
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3])
+def test_layouts(spark, kind):
+    rng = random.Random(kind)
+    made = [layouts(rng, kind) for _ in range(12)]
+    got = texts(spark, [(i, f"http://user@Host{kind}.example.org:80/{i}", h) for i, (h, _) in enumerate(made)])
+    assert got == [t for _, t in made]
+    if kind != 1:  # a single page has no template: its own tags tell
+        assert texts(spark, [(1, "http://one.example/1", made[0][0])]) == [made[0][1]]
+
+
+def test_mixed_sites_and_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(m, "SALT_ROWS", 3)
+    monkeypatch.setattr(m, "hot_limit", lambda rows: 5)
+    rng = random.Random(7)
+    made = [(k, *layouts(rng, k)) for k in [0] * 40 + [1] * 8 + [3] * 8]
+    rows = [(i, f"http://s{k}.org/{i}", h) for i, (k, h, _) in enumerate(made)]
+    assert texts(spark, rows) == [t for _, _, t in made]
+
+
+def test_copies_are_no_template(spark):
+    rng = random.Random(3)
+    page, main = layouts(rng, 1)
+    # Copies of one page count once, so their text doesn't look fixed.
+    got = texts(spark, [(i, "http://a.org/x", page) for i in range(9)])
+    assert set(got) == {got[0]} and main in got[0]
+
+
+def test_classes_are_ordered():
+    a, b = (m.parse(f"<body><div class=a>{x}</div><p>the longest</p><div class=b>z</div></body>") for x in "12")
+    assert m.tokens(a)[2][0] == m.tokens(b)[2][0] and m.tokens(a)[0] == m.tokens(b)[0]
+    kinds = {t["kind"] for t in m.tokens(m.parse("<body><article><p>one two</p></article><p>x</p></body>"))[1]}
+    assert kinds == {0, 1, 2, 3}
+
+
+def test_edges(spark):
+    rows = [(1, None, None), (2, None, ""), (3, "not a url", "no tags &amp; &eacute;&#x41;&nbsp; here"), (None, "http://x.org", "<p>a<br>b <b>c</p>d"), (4, "http://x.org", "<article>" + "<p>long words here</p>" * 20_000), (4, "http://x.org", "<div>" * 3000 + "deep"), (5, "http://x.org", "<"), (6, "http://x.org", "<script>x"), (7, "http://x.org", "a < b <3 <p"), (8, "http://x.org", "\x00\U0001f44d<p>")]
+    got = {(r["page_id"], r["url"], r["text"]): r["n_chars"] for r in m.extract(frame(spark, rows)).collect()}
+    long = "\n".join(["long words here"] * 20_000)
+    assert set(got) == {(1, None, ""), (2, None, ""), (3, "not a url", "no tags & éA here"), (None, "http://x.org", "a b c\nd"), (4, "http://x.org", long), (4, "http://x.org", "deep"), (5, "http://x.org", "<"), (6, "http://x.org", ""), (7, "http://x.org", "a < b <3"), (8, "http://x.org", "\x00\U0001f44d")}
+    assert all(n == len(k[2]) for k, n in got.items())
+    assert m.extract(frame(spark, rows).limit(0)).count() == 0
+    assert texts(spark, [(1, "http://x.org", "<p>same</p>")] * 5) == ["same"] * 5
