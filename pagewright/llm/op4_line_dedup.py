@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .common import WORD, join_by_key, keep, table
 
 _LAST = (1 << 63) - 1
-_ANY_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _rolling(hashes: Column) -> Column:
@@ -18,38 +17,49 @@ def _rolling(hashes: Column) -> Column:
 
 
 def chunk_lines(docs: DataFrame, id_col: str, text_col: str, long_line: int) -> DataFrame:
-    """(doc, version, lines, hashes, wide, starts): the lines of each text and the lines at which its chunks start.
+    """(doc, version, lines, hashes, words, starts): the lines of each text, their words and the lines at which its chunks start.
 
     A chunk starts where the rolling hash has a local minimum, so it has two lines or more and its
     bounds depend on five lines around them alone: text put in or taken out elsewhere doesn't shift
     them. A line of `long_line` words or more is a passage itself and so a chunk of its own.
     """
     text = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.split(text_col, "\n", -1).alias("lines"))
-    wide = lambda x: (F.length(x) >= 2 * long_line - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_line)
-    hashed = text.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", wide).alias("wide"))
+    hashed = text.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
     rolled = hashed.select("*", _rolling(F.col("hashes")).alias("roll"))
     at = lambda i: F.get("roll", i)
     low = lambda i: (at(i) < at(i - 1)) & (at(i) < F.coalesce(at(i + 1), F.lit(_LAST)))
-    cut = lambda i: (i == 0) | F.get("wide", i) | F.coalesce(F.get("wide", i - 1), F.lit(False)) | F.coalesce(low(i), F.lit(False))
-    return rolled.select("doc", "version", "lines", "hashes", "wide", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut).alias("starts"))
+    wide = lambda i: F.coalesce(F.get("words", i), F.lit(0)) >= long_line
+    cut = lambda i: (i == 0) | wide(i) | wide(i - 1) | F.coalesce(low(i), F.lit(False))
+    return rolled.select("doc", "version", "lines", "hashes", "words", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), cut).alias("starts"))
 
 
-def line_units(chunked: DataFrame) -> DataFrame:
-    """(doc, version, at, n, h1, h2), a row a unit that may repeat: the chunks, then all pairs of adjacent lines.
+def line_units(chunked: DataFrame, long_line: int) -> DataFrame:
+    """(doc, version, at, n, hash), a row a stretch of `n` lines from line `at` that may repeat: chunks and passages.
 
-    A chunk of `n` lines from line `at` has the hash `h1` of its lines' hashes and `n` as `h2`; it
-    counts if it has a word and two lines or more, or is one long line. A pair has n = 0 and its two
-    lines' hashes.
+    A chunk counts if it has a word and two lines or more, or is one long line. A passage begins at
+    a line with words and has as few lines as make `long_line` words, so equal text from a line on
+    has equal passages whatever is around it. Lines without words within count by their bytes.
     """
     end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
     spans = F.transform("starts", lambda s, k: F.struct(s.alias("at"), (end(k) - s).alias("n")))
-    wordy = lambda c: F.exists(F.slice("lines", c["at"] + 1, c["n"]), lambda x: x.rlike(_ANY_WORD))
-    counts = lambda c: F.get("wide", c["at"]) | ((c["n"] > 1) & wordy(c))
-    unit = lambda at, n, h1, h2: F.struct(at.alias("at"), n.alias("n"), h1.alias("h1"), h2.alias("h2"))
-    chunk = lambda c: unit(c["at"], c["n"], F.xxhash64(F.slice("hashes", c["at"] + 1, c["n"])), c["n"].cast("long"))
-    pair = lambda h, i: unit(i, F.lit(0), h, F.get("hashes", i + 1))
-    spanned = chunked.select("*", F.filter(spans, counts).alias("spans"))
-    units = F.concat(F.transform("spans", chunk), F.transform(F.slice("hashes", F.lit(1), F.size("hashes") - 1), pair))
+    wordy = lambda c: F.exists(F.slice("words", c["at"] + 1, c["n"]), lambda x: x > 0)
+    counts = lambda c: (F.get("words", c["at"]) >= long_line) | ((c["n"] > 1) & wordy(c))
+    hashed = lambda c, mark: F.xxhash64(F.slice("hashes", c["at"] + 1, c["n"]), F.lit(mark))
+    unit = lambda mark: lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), hashed(c, mark).alias("hash"))
+
+    # Each line here has a word, so a passage has `long_line` of them at most; mostly a few will do.
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    more = lambda s, w: F.when(s["words"] >= long_line, s).otherwise(F.struct((s["words"] + w).alias("words"), (s["n"] + 1).alias("n")))
+    reach = lambda k, most: F.aggregate(F.slice("full_words", k + 1, most), none, more)
+    far = lambda k: F.get(F.transform(F.array(reach(k, 8)), lambda s: F.when(s["words"] >= long_line, s).otherwise(reach(k, long_line))), F.lit(0))
+    full = chunked.select("*", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("words", i) > 0).alias("full"))
+    reached = full.select("*", F.transform("full", lambda i: F.get("words", i)).alias("full_words"))
+    # The last lines have no passage: too few words follow.
+    found = reached.select("*", F.transform("full", lambda i, k: F.struct(i.alias("at"), k.alias("k"), far(k).alias("to"))).alias("reach"))
+    passage = lambda x: F.struct(x["at"].alias("at"), (F.get("full", x["k"] + x["to"]["n"] - 1) - x["at"] + 1).alias("n"))
+    passages = F.transform(F.filter("reach", lambda x: x["to"]["words"] >= long_line), passage)
+    spanned = found.select("doc", "version", "hashes", F.filter(spans, counts).alias("spans"), passages.alias("passages"))
+    units = F.concat(F.transform("spans", unit("chunk")), F.transform("passages", unit("passage")))
     return spanned.select("doc", "version", F.explode(units).alias("u")).select("doc", "version", "u.*")
 
 
@@ -60,28 +70,33 @@ def _order() -> Column:
 
 def repeated_units(units: DataFrame) -> DataFrame:
     """(doc, version, units): of each text the units that come more than once, with whether an earlier one `repeats` in them."""
-    twice = units.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(_order()).alias("first")).filter("copies > 1")
-    found = join_by_key(units, keep(twice, "lines-repeated"), ["h1", "h2"], "copies", units.count())
-    marked = F.struct("at", "n", "h1", "h2", (_order() > F.col("first")).alias("repeats"))
+    twice = units.groupBy("hash").agg(F.count("*").alias("copies"), F.min(_order()).alias("first")).filter("copies > 1")
+    found = join_by_key(units, keep(twice, "lines-repeated"), "hash", "copies", units.count())
+    marked = F.struct("at", "n", "hash", (_order() > F.col("first")).alias("repeats"))
     return found.groupBy("doc", "version").agg(F.collect_set(marked).alias("units"))
 
 
+def _hashes(text: Column | str) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
+
+
 def unlike_units(marked: DataFrame, text: str) -> DataFrame:
-    """(hash): hashes that byte comparison finds on different chunks or lines; `marked` has the texts beside their units."""
-    lines = marked.select(F.split(text, "\n", -1).alias("lines"), "units")
-    body = lambda at, n: F.array_join(F.slice("lines", at + 1, n), "\n")
-    chunks = F.transform(F.filter("units", lambda u: u["n"] > 0), lambda u: F.struct(u["h1"].alias("hash"), u["n"].alias("n"), body(u["at"], u["n"]).alias("bytes")))
-    pairs = F.filter("units", lambda u: u["n"] == 0)
-    numbers = F.array_distinct(F.flatten(F.transform(pairs, lambda u: F.array(F.struct(u["at"].alias("at"), u["h1"].alias("h")), F.struct((u["at"] + 1).alias("at"), u["h2"].alias("h"))))))
-    single = F.transform(numbers, lambda x: F.struct(x["h"].alias("hash"), F.lit(0).alias("n"), F.get("lines", x["at"]).alias("bytes")))
-    told = lines.select(F.explode(F.concat(chunks, single)).alias("b")).select("b.*").distinct()
-    return told.groupBy("hash", "n").agg(F.count("*").alias("texts")).filter("texts > 1").select("hash").distinct()
-
-
-def _settle(marked: DataFrame, unlike: DataFrame) -> DataFrame:
-    """Take back the repeats whose hash also belongs to other bytes."""
-    one = marked.filter(F.size("units") > 0).select("_ld_of", F.col("_ld_id").alias("doc"), F.explode("units").alias("u"))
-    hashes = F.when(F.col("u.n") > 0, F.array("u.h1")).otherwise(F.array("u.h1", "u.h2"))
+    """(hash): hashes of lines that belong to different bytes and of units that belong to different lines; `marked` has the texts beside their units.
+
+    A line is compared once a text, however many units it is in.
+    """
+    both = marked.select(F.split(text, "\n", -1).alias("lines"), "units").withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    numbers = F.array_distinct(F.flatten(F.transform("units", lambda u: F.sequence(u["at"], u["at"] + u["n"] - 1))))
+    lines = F.transform(numbers, lambda i: F.struct(F.get("hashes", i).alias("hash"), F.encode(F.get("lines", i), "UTF-8").alias("bytes")))
+    units = F.transform("units", lambda u: F.struct(u["hash"].alias("hash"), F.encode(F.array_join(F.transform(F.slice("hashes", u["at"] + 1, u["n"]), lambda h: h.cast("string")), ","), "UTF-8").alias("bytes")))
+    told = lambda what: both.select(F.explode(what).alias("b")).select("b.*").distinct().groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    return told(lines).unionByName(told(units)).distinct()
+
+
+def _settle(marked: DataFrame, unlike: DataFrame, text: str) -> DataFrame:
+    """Take back the repeats whose hash, or that of one of their lines, also belongs to other bytes."""
+    one = marked.filter(F.size("units") > 0).select("_ld_of", F.col("_ld_id").alias("doc"), _hashes(F.col(text)).alias("hashes"), F.explode("units").alias("u"))
+    hashes = F.array_append(F.slice("hashes", F.col("u.at") + 1, F.col("u.n")), F.col("u.hash"))
     wrong = one.select("_ld_of", "doc", "u", F.explode(hashes).alias("hash")).join(unlike, "hash", "left_semi")
     back = wrong.groupBy(F.col("doc").alias("_ld_doc"), F.col("_ld_of").alias("_ld_version")).agg(F.collect_set("u").alias("_ld_back"))
     joined = marked.join(back, F.col("_ld_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
@@ -89,32 +104,23 @@ def _settle(marked: DataFrame, unlike: DataFrame) -> DataFrame:
     return joined.withColumn("units", left).drop("_ld_doc", "_ld_version", "_ld_back")
 
 
-def _kept_text(cut: DataFrame, long_line: int) -> DataFrame:
-    """Add `new`: the text of (text, units) without the lines of repeated chunks and of long repeated runs."""
-    again = F.filter("units", lambda u: u["repeats"])
-    at = lambda wanted: F.transform(F.filter("again", wanted), lambda u: u["at"])
-    chunks = F.filter("again", lambda u: u["n"] > 0)
-    split = cut.withColumn("lines", F.split("text", "\n", -1)).withColumn("again", again)
-    split = split.withColumn("chunks", chunks).withColumn("pairs", F.array_sort(at(lambda u: u["n"] == 0)))
-    # A run is a maximal stretch of pairs that follow each other; it ends with the last pair's second line.
-    starts = F.filter("pairs", lambda x, i: F.coalesce(F.get("pairs", i - 1) != x - 1, F.lit(True)))
-    ends = F.filter("pairs", lambda x, i: F.coalesce(F.get("pairs", i + 1) != x + 1, F.lit(True)))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b - a + 2).alias("n")))
-    words = lambda r: F.aggregate(F.slice("lines", r["at"] + 1, r["n"]), F.lit(0), lambda sum_, x: sum_ + F.regexp_count(x, F.lit(WORD)))
-    long = F.filter(runs, lambda r: words(r) >= long_line)
-    dropped = F.flatten(F.transform(F.concat(F.transform("chunks", lambda u: F.struct(u["at"].alias("at"), u["n"].alias("n"))), long), lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
+def _kept_text(cut: DataFrame) -> DataFrame:
+    """Add `new`: the text of (text, units) without the lines of repeated units."""
+    split = cut.withColumn("lines", F.split("text", "\n", -1)).withColumn("again", F.filter("units", lambda u: u["repeats"]))
+    dropped = F.flatten(F.transform("again", lambda u: F.sequence(u["at"], u["at"] + u["n"] - 1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), dropped)
     return split.withColumn("left", left).withColumn("new", F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 50) -> DataFrame:
-    """Drop the chunks of lines, and the long runs of lines, that come earlier in the corpus byte for byte.
+    """Drop the chunks and passages of lines that come earlier in the corpus byte for byte.
 
-    Chunks are of two lines or more with a word, or one line of `long_line` words. Since a passage
-    of few lines has no chunk of its own and a longer one ends within chunks, pairs of adjacent
-    lines are compared as well: a stretch in which each pair of lines comes earlier goes if it has
-    `long_line` words or more. Earlier is by id, then place in the text, so the first of all equal
-    lines always stays. A lone shorter line stays.
+    Chunks are of two lines or more with a word, or one line of `long_line` words. Since a repeated
+    text of few lines has no chunk of its own and a longer one ends within chunks, passages are
+    compared as well: the fewest lines from a line on that make `long_line` words. So all lines of a
+    repeated stretch of `long_line` words go, and each that goes is in a chunk or passage that came
+    before as a whole; lines whose neighbours alone came before stay. Earlier is by id, then place in
+    the text, so the first of all equal lines always stays. A shorter stretch that is no chunk stays.
 
     Returns the columns of `docs`, with the text cut. A null text stays null, an empty one empty; a
     text of which all goes becomes empty, and its row stays. Rows equal in id and text count as one
@@ -122,16 +128,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their hash. Units whose 64-bit hash belongs to other bytes too stay. Columns of `docs` of any
     name pass through.
     """
-    units = keep(line_units(chunk_lines(docs.filter(F.col(text_col).isNotNull()), id_col, text_col, long_line)), "lines-units")
+    units = keep(line_units(chunk_lines(docs.filter(F.col(text_col).isNotNull()), id_col, text_col, long_line), long_line), "lines-units")
     found = repeated_units(units).select(F.col("doc").alias("_ld_doc"), F.col("version").alias("_ld_version"), F.col("units").alias("_ld_units"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_ld_id"), F.xxhash64(text_col).alias("_ld_of"))
     joined = rows.join(found, F.col("_ld_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
     marked = keep(joined.select("row", "_ld_id", "_ld_of", F.col("_ld_units").alias("units")), "lines-marked")
     unlike = keep(unlike_units(marked.filter("units is not null").select("row", "units"), f"row.`{text_col}`"), "lines-unlike")
     if not unlike.isEmpty():
-        marked = _settle(marked, unlike)
+        marked = _settle(marked, unlike, f"row.`{text_col}`")
     some = F.exists("units", lambda u: u["repeats"])
-    cut = _kept_text(marked.select("row", F.when(some, F.col("units")).alias("units")).withColumn("text", F.when(F.col("units").isNotNull(), F.col("row")[text_col])), long_line)
+    cut = _kept_text(marked.select("row", F.when(some, F.col("units")).alias("units")).withColumn("text", F.when(F.col("units").isNotNull(), F.col("row")[text_col])))
     text = F.when(F.col("units").isNotNull(), F.col("new")).otherwise(F.col("row")[text_col])
     # The new text comes out of a generator, so conditions that a user sets on it aren't computed from the lines again.
     out = cut.select("row", F.explode(F.array(text)).alias("_ld_text")).select("row.*", "_ld_text")
@@ -139,6 +145,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that earlier documents have as chunks or long runs: doc_id, text, chars_before, chars_after."""
+    """All documents without the lines that earlier documents have as chunks or passages: doc_id, text, chars_before, chars_after."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("chars_before"))
     return dedup_lines(docs).withColumn("chars_after", F.length("text"))

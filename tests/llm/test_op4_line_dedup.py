@@ -25,29 +25,34 @@ def chunks_of(text, long_line=50):
     return out
 
 
-def brute(texts, long_line=50, runs=True):
-    """What goes: chunks seen before, and stretches of 50 words or more in which each pair of lines was seen before."""
-    chunks, pairs, out = set(), set(), {}
+def passages_of(lines, long_line=50):
+    """(line, lines) of the fewest lines from each line with words on that make `long_line` words."""
+    count = [len(x.encode().split()) for x in lines]
+    for i in range(len(lines)):
+        total = 0
+        for j in range(i, len(lines)):
+            total += count[j]
+            if count[i] and total >= long_line:
+                yield i, j - i + 1
+                break
+
+
+def brute(texts, long_line=50, bad=None):
+    """What goes: chunks and passages that came before as a whole. `bad`: a line that is in none of them."""
+    seen, out = set(), {}
     for doc in sorted(texts):
-        lines, at, gone, again = texts[doc].split("\n"), 0, set(), []
+        lines, at, gone, units = texts[doc].split("\n"), 0, set(), []
         for body, counts in chunks_of(texts[doc], long_line):
             n = body.count("\n") + 1
-            if counts and body in chunks:
-                gone |= set(range(at, at + n))
             if counts:
-                chunks.add(body)
+                units.append((at, n, "chunk"))
             at += n
-        for i in range(len(lines) - 1):
-            again.append((lines[i], lines[i + 1]) in pairs)
-            pairs.add((lines[i], lines[i + 1]))
-        i = 0
-        while i < len(again):
-            j = i
-            while j < len(again) and again[j]:
-                j += 1
-            if runs and j > i and sum(len(x.encode().split()) for x in lines[i : j + 1]) >= long_line:
-                gone |= set(range(i, j + 1))
-            i = max(j, i + 1)
+        units += [(i, n, "passage") for i, n in passages_of(lines, long_line)]
+        for i, n, kind in sorted(units):
+            body = (kind, *lines[i : i + n])
+            if body in seen and bad not in body:
+                gone |= set(range(i, i + n))
+            seen.add(body)
         out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -129,8 +134,8 @@ def test_equal_hashes_of_other_bytes_stay(spark, monkeypatch):
         return real(marked, text).unionByName(spark.range(1).select(line.alias("hash")))
 
     monkeypatch.setattr(m, "unlike_units", clash)
-    # The line is in every pair of the passage, so only chunks go.
-    assert {r["doc_id"]: r["text"] for r in m.dedup_lines(df).collect()} == brute(texts, runs=False) != brute(texts)
+    # The line in the middle is in both passages of the three, so only chunks without it could go.
+    assert {r["doc_id"]: r["text"] for r in m.dedup_lines(df).collect()} == brute(texts, bad=shared.split("\n")[1]) != brute(texts)
 
 
 def test_null_ids_come_last_and_texts_of_one_id_are_apart(spark):
@@ -142,6 +147,28 @@ def test_null_ids_come_last_and_texts_of_one_id_are_apart(spark):
     assert len(set(whole)) == 1 and whole[0][0] in "de"
 
 
+def test_a_chain_of_known_pairs_is_no_repeat(spark):
+    for words in (12, 24):  # two lines have fewer than 50 words, three or five have more
+        a, b, c, d = (" ".join(f"{x}{i}" for i in range(words)) for x in "abcd")
+        texts = {1: f"p1\n{a}\n{b}\nq1", 2: f"p2\n{b}\n{c}\nq2", 3: f"p3\n{c}\n{d}\nq3", 4: f"p4\n{a}\n{b}\n{c}\n{d}\nq4"}
+        assert brute(texts)[4] == texts[4]
+        assert run(spark, texts) == texts
+    rng = random.Random(8)  # dialogue of few lines
+    pool = [" ".join(f"{i}w{j}" for j in range(rng.choice([3, 9, 20]))) for i in range(7)] + ["", " "]
+    texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))) for i in range(80)}
+    got = run(spark, texts)
+    assert got == brute(texts)
+
+
+def test_both_sides_of_the_limit(spark):
+    own = lambda i, x: f"{i} own\n{x}\n{i} end"
+    short, long = (" ".join(f"w{j}" for j in range(n)) for n in (49, 50))
+    got = run(spark, {1: own(1, short), 2: own(2, short), 3: own(3, long), 4: own(4, long)})
+    assert short in got[2] and long in got[3] and long not in got[4]
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": [1, 2], "text": [own(1, "a b c"), own(2, "a b c")]}))
+    assert [r["text"] for r in m.dedup_lines(df, long_line=3).orderBy("doc_id").collect()] == ["1 own\na b c\n1 end", "2 own\n2 end"]
+
+
 def test_no_python(spark):
     plan = m.dedup_lines(edge.docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
