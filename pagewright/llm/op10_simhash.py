@@ -321,14 +321,18 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
 
     component_id is the smallest id that links reach, the row's own included. Work is on distinct
     fingerprints; a row that many share counts once. Rows with a null id have a fingerprint and a
-    null component, and link nothing. Rows with the same id are linked each by its own text.
+    null component, and link nothing. Rows with the same id are linked each by its own text, so one id
+    may be in several groups. Other columns of `docs` don't enter, whatever their names.
     """
     rows = keep(fingerprints(docs, width, id_col, text_col), "simhash-fingerprints")
     named = rows.filter(F.col("doc_id").isNotNull())
-    nodes = keep(named.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("copies")), "simhash-nodes")
-    roots = components(links_of(keyed(nodes)))
-    placed = nodes.join(roots, "node", "left").select("fp", "copies", F.coalesce("root", "node").alias("component_id"))
-    return join_by_key(named, placed, "fp", "copies", named.count()).drop("copies").select("doc_id", "fp", "component_id").unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
+    least = keep(named.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-nodes")
+    # A node is its fingerprint, since one id may have several.
+    roots = components(links_of(keyed(least.select("fp", F.col("fp").alias("node")))))
+    placed = keep(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root")), "simhash-placed")
+    groups = placed.groupBy("root").agg(F.min("least").cast("long").alias("component_id"), F.count("*").alias("members"))
+    grouped = join_by_key(placed, groups, "root", "members", placed.count()).select("fp", "copies", "component_id")
+    return join_by_key(named, grouped, "fp", "copies", named.count()).drop("copies").select("doc_id", "fp", "component_id").unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,3 +202,13 @@ def test_rows_of_one_id_are_told_apart(spark):
     docs = spark.createDataFrame([(4, a), (4, b), (2, b + " more"), (9, a + " more"), (None, a), (5, None), (6, "")], "doc_id long, text string")
     out = [(r["doc_id"], r["component_id"]) for r in op10_near.near_duplicates(docs).collect()]
     assert sorted(out, key=str) == sorted([(4, 4), (4, 2), (2, 2), (9, 4), (None, None), (5, 5), (6, 5)], key=str)
+
+
+def test_two_texts_of_one_id_are_two_nodes(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 4000)]
+    a, near, b = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in rng.integers(0, 10**6, 400))
+    assert (fingerprint(a) ^ fingerprint(near)).bit_count() <= 3 < (fingerprint(a) ^ fingerprint(b)).bit_count()
+    df = spark.createDataFrame([(4, a), (4, b), (2, near), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in m.simhash_groups(df).collect())
+    assert got == [(2, 2), (4, 2), (4, 4), (9, 4)]
