@@ -1,11 +1,7 @@
-"""Two versions of the same documents: uplift and differences."""
+"""Two versions of the same documents: uplift and differences as multisets; edits.py has them in sequence."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +43,3 @@ def text_diff_stats(pairs: DataFrame) -> DataFrame:
     sizes = pairs.select("doc_id", F.size(words(F.col("original"))).alias("n1"), F.size(words(F.col("optimized"))).alias("n2"))
     share = F.when(F.col("n1") + F.col("n2") > 0, 2 * F.coalesce("common", F.lit(0)) / F.nullif(F.col("n1") + F.col("n2"), F.lit(0))).otherwise(F.lit(1.0))
     return sizes.join(common, "doc_id", "left").select("doc_id", (F.col("n2") - F.col("n1")).alias("added_words"), share.alias("similarity"))
-
-
-def sequence_stats(pairs: DataFrame) -> DataFrame:
-    """(doc_id, similarity, changed_blocks, edited_blocks) by matching words in sequence; costs the square of a text's words."""
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, a, b in zip(pdf["doc_id"], pdf["original"], pdf["optimized"], strict=True):
-                m = SequenceMatcher(None, (a or "").split(), (b or "").split())
-                codes = m.get_opcodes()
-                out.append((doc, m.ratio(), len(codes), sum(c[0] != "equal" for c in codes)))
-            yield pd.DataFrame(out, columns=["doc_id", "similarity", "changed_blocks", "edited_blocks"])
-
-    return pairs.select("doc_id", "original", "optimized").mapInPandas(make, "doc_id long, similarity double, changed_blocks int, edited_blocks int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import domain
-from pagewright.operators import benchmarks, cache, citations, compare, detectors, gaps, scoring, structure, tier2, usage, validate
+from pagewright.operators import benchmarks, cache, citations, compare, detectors, edits, gaps, scoring, structure, tier2, usage, validate
 from pagewright.plans import oracle as o
 from pagewright.sources import tables
 from pagewright.streaming import streams
@@ -317,6 +317,34 @@ def text_diff_stats(spark: SparkSession, sf: str) -> DataFrame:
     return compare.text_diff_stats(_pairs(spark, sf))
 
 
+def moved_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Originals and articles whose last lines, none to two by id, moved to the top."""
+    lines, k = F.split("optimized", "\n", -1), (F.col("doc_id") % 3).cast("int")
+    turned = F.concat(F.slice(lines, F.size(lines) - k + 1, k), F.slice(lines, F.lit(1), F.size(lines) - k))
+    return tables.spread(_pairs(spark, sf)).select("doc_id", "original", F.array_join(turned, "\n").alias("optimized"))
+
+
+_WITH_ENDS = "list_transform(string_split({0}, chr(10)), lambda x, i: CASE WHEN i < len(string_split({0}, chr(10))) THEN x || chr(10) ELSE x END)"
+_MOVED = f"""WITH {o.ARTICLES}, turned AS (SELECT doc_id, list_concat(l[len(l) - doc_id % 3 + 1:], l[:len(l) - doc_id % 3]) AS l FROM (SELECT doc_id, string_split(content, chr(10)) AS l FROM articles)),
+pairs AS (SELECT doc_id, list_filter({_WITH_ENDS.format('d.text')}, lambda x: x <> '') AS a, list_filter({_WITH_ENDS.format("array_to_string(l, chr(10))")}, lambda x: x <> '') AS b FROM documents d JOIN turned USING (doc_id))"""
+
+
+@query(f"""{_MOVED}, common AS (SELECT doc_id, len(a) AS n, len(b) AS m, list_reduce(a, lambda above, x: list_reduce(range(1, len(b) + 1), lambda row, j: list_append(row, CASE WHEN b[j] = x THEN above[j] + 1 ELSE greatest(above[j + 1], row[j]) END), [0::BIGINT]), list_transform(range(0, len(b) + 1), lambda i: 0::BIGINT))[-1] AS kept FROM pairs)
+SELECT doc_id, kept, n - kept AS removed, m - kept AS added FROM common""")
+def edit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return edits.edit_summary(moved_pairs(spark, sf)).drop("hunks")
+
+
+@query()
+def edit_script(spark: SparkSession, sf: str) -> DataFrame:
+    return edits.edit_script(moved_pairs(spark, sf))
+
+
+@query()
+def word_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return edits.sequence_stats(moved_pairs(spark, sf))
+
+
 # ---- benchmarks and cache ----
 
 

@@ -1,0 +1,125 @@
+import random
+from difflib import SequenceMatcher, unified_diff
+
+import numpy as np
+import pytest
+
+from pagewright.operators import edits
+from pagewright.plans import registry
+
+SF = "/root/testdata/sf0.01"
+
+
+def longest(a, b):
+    """The length of a longest common subsequence by its table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+    return row[-1]
+
+
+def some_pairs(rng, size, kinds):
+    a = [rng.randrange(kinds) for _ in range(rng.randrange(size))]
+    b = [x for x in a if rng.random() > 0.2]
+    for _ in range(rng.randrange(6)):
+        b.insert(rng.randrange(len(b) + 1), rng.randrange(kinds))
+    if rng.random() < 0.5 and b:  # some lines move
+        i, n = rng.randrange(len(b)), rng.randrange(1, 9)
+        moved = b[i : i + n]
+        del b[i : i + n]
+        at = rng.randrange(len(b) + 1)
+        b[at:at] = moved
+    return a, b
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_lines_are_a_longest_common_subsequence(monkeypatch, bits):
+    monkeypatch.setattr(edits, "MOST_BITS", bits)
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = some_pairs(rng, rng.choice([8, 60, 200]), rng.choice([2, 5, 1000]))
+        blocks = edits.line_blocks(np.array(a, np.int64), np.array(b, np.int64))
+        assert sum(n for _, _, n in blocks) == longest(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(blocks, blocks[1:], strict=False))
+
+
+def test_words_are_those_of_the_recursion():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = some_pairs(rng, rng.choice([9, 80, 700]), rng.choice([2, 4, 30, 3000]))
+        want = [tuple(x) for x in SequenceMatcher(None, a, b).get_matching_blocks()[:-1]]
+        assert edits.word_blocks(np.array(a, np.int64), np.array(b, np.int64)) == want
+
+
+def unified(a, b):
+    """(type, shown, text) of the lines of a unified diff, counted as they are shown."""
+    at, out = 0, []
+    for x in list(unified_diff(a, b, lineterm="", n=3))[2:]:
+        if x.startswith("-"):
+            out.append(("remove", at, x[1:]))
+        elif not x.startswith("@@"):
+            if x.startswith("+"):
+                out.append(("add", at, x[1:]))
+            at += 1
+    return out
+
+
+def test_script_against_unified_diff(spark):
+    rng = random.Random(3)
+    rows = []
+    for doc in range(60):
+        # Lines differ from each other and none moves, so there is one shortest script.
+        a = [f"line {doc} {i}" for i in range(rng.randrange(60))]
+        b = [x for x in a if rng.random() > 0.1]
+        for i in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), f"new {i}" + rng.choice(["", "++", "\t"]))
+        rows.append((doc, "".join(x + "\n" for x in a), "\r\n".join(b)))
+    rows += [(100, None, "x\n"), (101, "a\n", None), (102, "same", "same"), (103, "a\nb", "a\nb\n"), (104, "a\x85b c\x0bd\re", "a\x85b d\re")]
+    got = {}
+    for r in edits.edit_script(spark.createDataFrame(rows, "doc_id long, original string, optimized string")).orderBy("doc_id", "seq").collect():
+        got.setdefault(r["doc_id"], []).append((r["type"], r["shown"], r["text"]))
+    for doc, a, b in rows:
+        assert got.get(doc, []) == unified((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True)), doc
+
+
+def test_scripts_make_the_new_version(spark):
+    pairs = registry.moved_pairs(spark, "/root/testdata/sf0.001")
+    texts = {r["doc_id"]: (r["original"], r["optimized"]) for r in pairs.collect()}
+    script = {}
+    for r in edits.edit_script(pairs).collect():
+        script.setdefault(r["doc_id"], []).append(r)
+    moved = 0
+    for doc, (a, b) in texts.items():
+        a, b = (x.splitlines(keepends=True) for x in (a, b))
+        gone = {r["line"]: r["text"] for r in script.get(doc, []) if r["type"] == "remove"}
+        come = {r["line"]: r["text"] for r in script.get(doc, []) if r["type"] == "add"}
+        assert all(a[i - 1] == t for i, t in gone.items())
+        stay = iter([x for i, x in enumerate(a, 1) if i not in gone])
+        assert [come.get(i) or next(stay) for i in range(1, len(b) + 1)] == b
+        assert len(a) - len(gone) == longest(a, b)
+        moved += bool(set(gone.values()) & set(come.values()))
+    assert moved > 20  # a moved line is removed and added
+
+
+def test_word_sequences(spark):
+    got = {r["doc_id"]: r for r in registry.queries()["word_sequences"](spark, "/root/testdata/sf0.001").collect()}
+    for r in registry.moved_pairs(spark, "/root/testdata/sf0.001").collect():
+        a, b = r["original"].split(), r["optimized"].split()
+        m = SequenceMatcher(None, a, b)
+        have = got[r["doc_id"]]
+        assert have["similarity"] == m.ratio() and have["changed_blocks"] == len(m.get_opcodes()) and have["added_words"] == len(b) - len(a)
+    odd = spark.createDataFrame([(1, None, None), (2, " ", "a"), (2, "a b", "a b")], "doc_id long, original string, optimized string")
+    assert sorted((r["doc_id"], r["similarity"], r["changed_blocks"], r["edited_blocks"]) for r in edits.sequence_stats(odd).collect()) == [(1, 1.0, 0, 0), (2, 0.0, 1, 1), (2, 1.0, 1, 0)]
+
+
+def test_long_texts_with_few_changes():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 5000, 200_000)
+    b = np.concatenate([a[50_000:120_000], rng.integers(0, 5000, 30), a[120_000:], a[:50_000]])
+    blocks = edits.word_blocks(a, b)
+    assert sum(n for _, _, n in blocks) >= 150_000
+    lines = np.arange(100_000)
+    assert edits.line_changes(lines, np.roll(lines, 1)) == [(1, 0, 0, 0, 1, 0), (2, 99_999, 1, 100_000, 0, 7)]

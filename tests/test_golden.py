@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import domain, word_count
-from pagewright.operators import benchmarks, citations, compare, detectors, gaps, scoring, structure, usage, validate
+from pagewright.operators import benchmarks, citations, compare, detectors, edits, gaps, scoring, structure, usage, validate
 from pagewright.operators.usage import admit
 
 CASES = [
@@ -133,7 +133,7 @@ def test_line_diff(spark):
     pairs = spark.createDataFrame([(1, "a\nb\nb", "b\nc\na"), (2, "x", "x"), (3, None, "--y")], "doc_id long, original string, optimized string")
     rows = sorted((r["doc_id"], r["type"], r["line"], r["text"]) for r in compare.line_diff(pairs).collect())
     assert rows == [(1, "add", 2, "c"), (1, "remove", 3, "b"), (3, "add", 1, "--y"), (3, "remove", 1, "")]
-    exact = {r["doc_id"]: r for r in compare.sequence_stats(pairs).collect()}
+    exact = {r["doc_id"]: r for r in edits.sequence_stats(pairs).collect()}
     assert exact[2]["changed_blocks"] == 1 and exact[2]["edited_blocks"] == 0
 
 
