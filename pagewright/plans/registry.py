@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import domain
-from pagewright.operators import benchmarks, cache, citations, compare, detectors, edits, gaps, scoring, structure, tier2, usage, validate
+from pagewright.operators import benchmarks, cache, citations, compare, detectors, edits, gaps, nearest, scoring, structure, tier2, usage, validate
 from pagewright.plans import oracle as o
 from pagewright.sources import tables
 from pagewright.streaming import streams
@@ -372,11 +372,21 @@ def language_percentile(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT q.vec_id AS query_id, t.vec_id AS vec_id, round(list_cosine_similarity(q.e, t.e), 6) AS similarity FROM v q JOIN top t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 5""")
 def similar_top_scored(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.similar_top_scored(*_top_scored(spark, sf), 5)
+
+
+def _top_scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors divisible by 50 as queries, and those of well scored articles."""
     vectors = tables.read(spark, sf, "embeddings")
     articles = tables.articles(spark, sf).join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     scored = scoring.score_parsed(structure.parse_markdown(articles)).select(F.col("doc_id").alias("vec_id"), F.explode(F.array("score")).alias("score"))
     good = scored.filter("score >= 10").select("vec_id")  # behind the generator, so an audit isn't computed again for the condition
-    return benchmarks.similar_top_scored(vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors.join(good, "vec_id"), 5)
+    return vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors.join(good, "vec_id")
+
+
+@query()
+def similar_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.similar_indexed(*_top_scored(spark, sf), 5)
 
 
 def _kept_audits(spark: SparkSession, sf: str) -> DataFrame:
