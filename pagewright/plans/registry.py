@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import domain
-from pagewright.operators import benchmarks, cache, citations, compare, detectors, edits, gaps, nearest, scoring, structure, tier2, usage, validate
+from pagewright.operators import benchmarks, cache, citations, compare, detectors, edits, entities, gaps, nearest, ranks, scoring, structure, tier2, usage, validate
 from pagewright.plans import oracle as o
 from pagewright.sources import tables
 from pagewright.streaming import streams
@@ -180,6 +180,32 @@ for _p in detectors.PATTERNS:
     _detector(_p)
 
 
+_EDGES = o.q(entities.EDGES)
+_NAMES = " UNION ".join(f"SELECT {c} AS name, '{t}' AS kind FROM {t}" for t, c in tables.NAMED.items())
+
+
+def _plain(ws: str) -> str:
+    return f"list_transform({ws}, lambda w: regexp_replace(w, {_EDGES}, '', 'g'))"
+
+
+_MENTIONING = f"""WITH {o.ARTICLES}, told AS (SELECT doc_id, url, format, concat_ws(chr(10) || chr(10), content, '(A ' || p_name || ', by ' || s_name || '; of ' || n_name || ', ' || r_name || '.)') AS content FROM articles
+  LEFT JOIN supplier ON s_suppkey = doc_id % (SELECT count(*) FROM supplier) LEFT JOIN part ON p_partkey = doc_id % (SELECT count(*) FROM part) LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey),
+{o.parsed_of('told')}, names AS (SELECT DISTINCT array_to_string(list_filter({_plain(o.words('name'))}, lambda w: w <> ''), ' ') AS entity, kind FROM ({_NAMES})),
+plain AS (SELECT doc_id, wc, {_plain(o.words('text'))} AS w FROM parsed), sizes AS (SELECT DISTINCT len(string_split(entity, ' ')) AS n FROM names),
+runs AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS entity FROM plain CROSS JOIN sizes), found AS (SELECT doc_id, entity, kind, count(*) AS mentions FROM runs JOIN names USING (entity) GROUP BY ALL)"""
+
+
+@query(f"{_MENTIONING} SELECT * FROM found")
+def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.mentions(structure.parse_markdown(tables.mentioning(spark, sf)), tables.names(spark, sf))
+
+
+@query(f"""{_MENTIONING}, u AS (SELECT doc_id, count(DISTINCT entity) AS n FROM found GROUP BY 1), e AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN wc > 0 THEN coalesce(n, 0) / wc::DOUBLE * 100 ELSE 0.0::DOUBLE END AS rate FROM parsed LEFT JOIN u USING (doc_id))
+SELECT doc_id, {o.r1('least(15.0::DOUBLE, rate / 3 * 15)')} AS score, rate >= 2 AS detected, n AS entity_count FROM e""")
+def entity_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.entity_scores(structure.parse_markdown(tables.mentioning(spark, sf)), tables.names(spark, sf))
+
+
 @query(name="entity_surface")
 def _entity_surface(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.detect(_parsed(spark, sf), {"entity_density": detectors.entity_density("surface")}).select("doc_id", "entity_density.score", "entity_density.entity_count")
@@ -673,6 +699,24 @@ def readability(spark: SparkSession, sf: str) -> DataFrame:
     return tier2.readability(tables.spread(tables.read(spark, sf, "documents")))
 
 
+_GRADED = f"WITH n AS (SELECT doc_id, lang, len({o.words('text')}) AS words, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences, len(regexp_extract_all(lower(text), {o.rx(tier2.VOWELS)})) AS syllables FROM documents), g AS (SELECT doc_id, lang, CASE WHEN words > 0 THEN round(0.39::DOUBLE * words / sentences + 11.8::DOUBLE * syllables / words - 15.59::DOUBLE, 4) ELSE 0.0 END AS grade FROM n)"
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.spread(tables.read(spark, sf, "documents"))
+    return tier2.readability(docs).select("doc_id", "grade").join(docs.select("doc_id", "lang"), "doc_id")
+
+
+@query(f"{_GRADED} SELECT doc_id, grade, percent_rank() OVER (ORDER BY grade) AS corpus_percentile FROM g")
+def readability_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return ranks.percent_ranks(_graded(spark, sf).select("doc_id", "grade"), "grade", bucket=500)
+
+
+@query(f"{_GRADED} SELECT doc_id, lang, percent_rank() OVER (PARTITION BY lang ORDER BY grade) AS corpus_percentile FROM g")
+def readability_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    return ranks.percent_ranks(_graded(spark, sf), "grade", "lang", bucket=500).select("doc_id", "lang", "corpus_percentile")
+
+
 @query(f"WITH {o.CITATIONS} SELECT count(*) FILTER (confidence >= 0.5 AND verified) / count(*) FILTER (confidence >= 0.5)::DOUBLE AS precision, count(*) FILTER (confidence >= 0.5 AND verified) / count(*) FILTER (verified)::DOUBLE AS recall FROM citations")
 def detection_quality(spark: SparkSession, sf: str) -> DataFrame:
     return tier2.detection_quality(tables.citations(spark, sf))

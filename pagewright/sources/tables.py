@@ -95,6 +95,32 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), engine.alias("engine"), text.alias("text"))
 
 
+#: Name columns of the tables that make up the dictionary of entities.
+NAMED = {"supplier": "s_name", "part": "p_name", "nation": "n_name", "customer": "c_name", "region": "r_name"}
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, kind): the names of suppliers, parts, nations, customers and regions, each once."""
+    some = [read(spark, sf_dir, t).select(F.col(c).alias("name"), F.lit(t).alias("kind")) for t, c in NAMED.items()]
+    out = some[0]
+    for df in some[1:]:
+        out = out.unionByName(df)
+    return out.distinct()
+
+
+def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a last line that names a supplier, a part of it, its nation and a region, by the document's id."""
+    count = lambda t: max(1, read(spark, sf_dir, t).count())
+    supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_sk"), "s_name", F.col("s_nationkey").alias("_nk"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pk"), "p_name")
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_nk"), "n_name", F.col("n_regionkey").alias("_rk"))
+    region = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("_rk"), "r_name")
+    made = articles(spark, sf_dir).withColumn("_sk", F.col("doc_id") % count("supplier")).withColumn("_pk", F.col("doc_id") % count("part"))
+    told = made.join(supplier, "_sk", "left").join(part, "_pk", "left").join(nation, "_nk", "left").join(region, "_rk", "left")
+    line = F.concat(F.lit("(A "), "p_name", F.lit(", by "), "s_name", F.lit("; of "), "n_name", F.lit(", "), "r_name", F.lit(".)"))
+    return told.select("doc_id", "url", F.concat_ws("\n\n", "content", line).alias("content"), "format")
+
+
 # ---- sinks ----
 
 
