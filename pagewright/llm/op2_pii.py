@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from .common import keep, table
 
 #: What is detected, in the order in which alternatives are tried.
-MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа"
+MALE, FEMALE = "Mr|Mister|Sir|Lord|Herr|Monsieur|Señor|Don|Господин", "Mrs|Ms|Miss|Lady|Dame|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа"
+TITLE = rf"(?:{MALE}|{FEMALE}|Dr|Doctor|Doktor|Prof|Professor|Доктор|Профессор)"
+#: Given names that begin a name without a title. None of them is a common word.
+KNOWN = {
+    "m": "Alexander Andrew Anthony Antonio Arthur Benjamin Brian Bruno Carlos Charles Christopher Daniel David Edward Emil Enrique Felix Francisco Georg George Gregory Günther Hans Heinrich Henry Hugo James Javier Jean Jürgen John Johann José Joseph Juan Jacques Karl Kevin Klaus Leonard Louis Ludwig Luis Manuel Martin Matthew Michael Miguel Nicholas Oliver Pablo Patrick Paul Pedro Peter Philippe Pierre Rafael Richard Robert Ronald Samuel Stefan Stephen Steven Thomas Timothy Vincent Walter Werner William Wolfgang Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Михаил Николай Павел Пётр Сергей".split(),
+    "f": "Alexandra Alice Amanda Andrea Angela Anna Anne Barbara Beatriz Brigitte Camille Carmen Caroline Catherine Charlotte Christine Claudia Deborah Dolores Dorothy Elena Elisabeth Elizabeth Emily Emma Françoise Gertrud Hannah Heidi Helen Helga Ingrid Isabel Isabelle Jennifer Jessica Johanna Julia Karen Katharina Laura Linda Lisa Louise Lucía Margaret Margarita María Maria Marie Mary Monika Nathalie Nicole Patricia Petra Pilar Rebecca Rosa Sabine Sandra Sarah Sophie Stephanie Susan Susanne Teresa Ursula Valérie Victoria Анастасия Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
+}
+#: Words between names that stay as they are.
+PARTICLES = "von van vom zu zur der den de del della di da dos du la le ter ten".split()
+#: A word of a name, after initials and particles if there are any.
+WORD_OF_NAME = rf"(?:(?:{'|'.join(PARTICLES)}) |\p{{Lu}}\.? )*(?:\p{{Ll}}{{1,3}}['’-])?\p{{Lu}}[\p{{L}}'’-]{{0,40}}\p{{L}}"
+_FIRST = rf"(?=\p{{Lu}})(?:{'|'.join(KNOWN['m'] + KNOWN['f'])})"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -19,11 +30,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
+    "name": rf"(?<!\p{{L}})(?:{TITLE}\.? {WORD_OF_NAME}(?: {WORD_OF_NAME})*|{_FIRST}(?: {WORD_OF_NAME})+)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLE}\.?|{_FIRST}) \p{{Lu}}"
 
 #: Given names by script and gender, and syllables that make up family names.
 GIVEN = {
@@ -38,6 +49,8 @@ SYLLABLES = {
 }
 #: A family name has so many syllables, and one more each time it is bumped, as far as PATTERNS["name"] finds it whole.
 FEWEST, MOST = 4, 15
+#: Codes of countries after the +, fixed values: one digit, two, and otherwise three.
+CALLING = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: Between what a part of a name is and the part.
 PART = "\x1f"
 _HEX = "0123456789abcdef"
@@ -122,9 +135,13 @@ def _card(v: Column, key: str, bump: Column) -> Column:
 
 
 def _phone(v: Column, key: str, bump: Column) -> Column:
-    code = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = lambda c: F.substr(v, F.length(c) + 1, F.length(v))
-    return _let(code, lambda c: F.concat(c, _let(rest(c), lambda r: _let(_permute_digits(_digits(r), key, bump), lambda d: _into_format(r, d)))))
+    """The country's code stays, however the number is written; all other digits change."""
+    code = F.regexp_extract(F.concat(F.regexp_extract(v, r"^\+", 0), _digits(v)), rf"^\+({CALLING})", 1)
+
+    def of(c: Column, d: Column) -> Column:
+        return _let(_permute_digits(F.substr(d, F.length(c) + 1, F.length(d)), key, bump), lambda new: _let(F.concat(c, new), lambda x: _into_format(v, x)))
+
+    return _let(code, lambda c: _let(_digits(v), lambda d: of(c, d)))
 
 
 def _ip(v: Column, key: str, bump: Column) -> Column:
@@ -199,18 +216,24 @@ def _pick(items: list[str], n: Column) -> Column:
 
 
 def _title(v: Column) -> Column:
-    return F.regexp_extract(v, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
+    return F.regexp_extract(v, rf"^{TITLE}\.? ", 0)
 
 
 def _name_keys(v: Column) -> Column:
-    """A name's parts, each with what it is: the family name and, if there is one, the given name with its gender."""
+    """A name's parts, each with what it is: the family name, which is the last word, and then each word before with the gender.
+
+    The gender is the title's or, if it has none, that of a known given name; `n` is for neither.
+    """
 
     def of(title: Column, rest: Column) -> Column:
         script = F.when(rest.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-        gender = F.when(title.rlike(rf"^(?:{MALE})\b(?<!Señora)"), F.lit("m")).otherwise(F.lit("f"))
-        part = lambda what, x: F.concat_ws(PART, F.lit(what), script, gender if what == "given" else F.lit("-"), F.lower(x))
-        family = F.array(part("family", F.regexp_replace(rest, "^[^ ]+ ", "")))
-        return F.when(F.contains(rest, F.lit(" ")), F.concat(family, F.array(part("given", F.substring_index(rest, " ", 1))))).otherwise(family)
+        gender = F.when(title.rlike(rf"^(?:{MALE})\.? $"), "m").when(title.rlike(rf"^(?:{FEMALE})\.? $"), "f")
+        for g, known in KNOWN.items():
+            gender = gender.when(rest.rlike(rf"^(?:{'|'.join(known)}) "), g)
+        part = lambda what, x, g: F.concat_ws(PART, F.lit(what), script, g, F.lower(x))
+        words = F.split(rest, " ")
+        family = F.array(part("family", F.element_at(words, -1), F.lit("-")))
+        return _let(gender.otherwise("n"), lambda g: F.concat(family, F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda x: part("given", x, g))))
 
     return _let(_title(v), lambda title: of(title, F.substr(v, F.length(title) + 1, F.length(v))))
 
@@ -220,7 +243,8 @@ def _part(k: Column, key: str, bump: Column) -> Column:
     what = F.split(k, PART)
     syllables = lambda s, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[s], _number(key, k, bump, i))), "")
     out = F.when(F.lit(False), F.lit(""))
-    for (script, gender), names in GIVEN.items():
+    either = {(script, "n"): GIVEN[script, "m"] + GIVEN[script, "f"] for script in SYLLABLES}
+    for (script, gender), names in (GIVEN | either).items():
         given = F.concat(_pick(names, _number(key, k, bump, F.lit("given"))), F.when(bump > 0, syllables(script, F.least(bump, F.lit(MOST - 5)))).otherwise(F.lit("")))
         out = out.when((what[0] == "given") & (what[1] == script) & (what[2] == gender), given)
     for script in SYLLABLES:
@@ -229,13 +253,19 @@ def _part(k: Column, key: str, bump: Column) -> Column:
 
 
 def _name(v: Column, key: str, bump_of: Callable[[Column], Column]) -> Column:
-    """The title stays; a given and a family name have their surrogates each, so a family name's is the same with and without a given name."""
+    """The title stays; each given name and the family name have their surrogates, so a family name's is the same with and without given names.
+
+    An initial becomes one letter, that of its surrogate.
+    """
+    initial = rf"{PART}\p{{L}}\.?$"
 
-    def of(keys: Column) -> Column:
-        part = lambda i: _let(F.get(keys, F.lit(i)), lambda k: _part(k, key, bump_of(k)))
-        return F.concat(_title(v), F.when(F.size(keys) > 1, F.concat(part(1), F.lit(" "))).otherwise(F.lit("")), part(0))
+    def put(k: Column) -> Column:
+        dot = F.when(F.endswith(k, F.lit(".")), ".").otherwise("")
+        own = F.element_at(F.split(k, PART), -1)
+        return _let(_part(k, key, bump_of(k)), lambda new: F.when(own.isin(PARTICLES), own).when(k.rlike(initial), F.concat(F.substring(new, 1, 1), dot)).otherwise(new))
 
-    return _let(_name_keys(v), of)
+    words = lambda keys: F.concat(F.slice(keys, F.lit(2), F.size(keys) - 1), F.slice(keys, 1, 1))
+    return F.concat(_title(v), _let(_name_keys(v), lambda keys: F.array_join(F.transform(words(keys), put), " ")))
 
 
 def kind_of(v: Column) -> Column:
@@ -247,9 +277,9 @@ def kind_of(v: Column) -> Column:
 
 
 def canonical(v: Column, kind: Column) -> Column:
-    """What is the same entity in other letters or layouts: addresses and hex secrets in small letters, IBANs and cards without gaps."""
+    """What is the same entity in other letters or layouts: addresses and hex secrets in small letters, IBANs, cards and phones without gaps and marks."""
     small = (kind == "email") | ((kind == "secret") & ~v.rlike("^(AKIA|sk-|ghp_)"))
-    return F.when(small, F.lower(v)).when(kind == "iban", F.replace(v, F.lit(" "), F.lit(""))).when(kind == "card", _digits(v)).otherwise(v)
+    return F.when(small, F.lower(v)).when(kind == "iban", F.replace(v, F.lit(" "), F.lit(""))).when(kind == "card", _digits(v)).when(kind == "phone", F.concat(F.regexp_extract(v, r"^\+", 0), _digits(v))).otherwise(v)
 
 
 def keys_of(v: Column) -> Column:
@@ -307,10 +337,11 @@ def replace_entities(docs: DataFrame, key: str = "corpus", id_col: str = "doc_id
 
     Returns the columns of `docs` with the text replaced, and n_entities, in place of a column of that
     name. One entity has one surrogate in the whole corpus (coreference), whatever the case of an
-    address or the gaps of an IBAN or card; a family name has one after any title, with a given name
-    or without. Two entities never have the same (distinctness). Names in scripts other than Latin
-    and Cyrillic get Latin ones, and names without a title aren't detected. A null text stays null
-    with 0 entities. Rows with equal or null ids are handled each for itself.
+    address or the layout of an IBAN, card or phone; a family name has one after any title, with given
+    names or without, and each given name one for its gender. A name is a title or a known given name
+    and all words with capitals that follow; other names aren't detected. Two entities never have the
+    same surrogate (distinctness). Names in scripts other than Latin and Cyrillic get Latin ones. A
+    null text stays null with 0 entities. Rows with equal or null ids are handled each for itself.
     """
     seen = docs.withColumn("_pii_found", entities(F.col(text_col)))
     found = F.col("_pii_found")

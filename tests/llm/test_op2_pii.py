@@ -106,6 +106,34 @@ def test_all_entities_against_brute_force(spark):
     assert len(made) > 50 and len(set(made.values())) == len(made) and not set(made) & set(made.values())
 
 
+def test_planted_names_are_gone(spark):
+    """Names of many forms in real texts: no word of them is left, and each has the same replacement everywhere."""
+    names = ["Mr John Ronald Smith", "Dr Smith", "John Smith", "Prof. Anne-Marie O'Brien", "Mrs. J. R. Smith", "Herr Karl Heinz von-Berg", "Мария Петрова", "Señora Isabel García Márquez", "Doctor John Smith", "Dame Elizabeth"]
+    base = [r["text"] for r in edge.table(spark, "documents").select("text").limit(40).collect()]
+    texts = [f"{t[:200]}\nwith {names[i % len(names)]}, who said so.\n{t[200:]}" for i, t in enumerate(base)]
+    out = redact(spark, texts)
+    real = {w for n in names for w in re.findall(r"[\w'-]{3,}", n)} - {"Prof", "Mrs", "Herr", "Señora", "Doctor", "Dame"}
+    seen = {}
+    for i, (before, after) in enumerate(zip(texts, out, strict=True)):
+        found = re.search(r"with (.*), who said so\.", after)[1]
+        assert not real & set(re.findall(r"[\w'-]+", found)) and len(found.split()) == len(names[i % len(names)].split())
+        assert seen.setdefault(names[i % len(names)], found) == found
+        assert before.split("\nwith")[0].count(" ") == after.split("\nwith")[0].count(" ")
+    assert len(set(seen.values())) == len(names)
+    family = seen["Dr Smith"].split()[1]
+    assert [seen[n].split()[-1] for n in ("Mr John Ronald Smith", "John Smith", "Mrs. J. R. Smith", "Doctor John Smith")] == [family] * 4
+    assert seen["John Smith"].split()[0] == seen["Doctor John Smith"].split()[1] == seen["Mr John Ronald Smith"].split()[1]
+    assert re.fullmatch(r"Mrs\. [A-Z]\. [A-Z]\. \w+", seen["Mrs. J. R. Smith"]) and re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+", seen["Мария Петрова"])
+
+
+def test_phones_in_any_layout_are_one(spark):
+    out = redact(spark, ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1.555.123.4567", "+49 30 901820", "+4930901820", "(555) 123-4567", "555-123-4567", "555-123-4568"])
+    digits = [re.sub(r"[^0-9+]", "", x) for x in out]
+    assert len({*digits[:4]}) == 1 and digits[0][:2] == "+1" and digits[0] != "+15551234567"
+    assert digits[4] == digits[5] and digits[4].startswith("+49") and digits[6] == digits[7] != digits[8]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[2])
+
+
 def test_plan_has_no_python(spark):
     out = m.replace_entities(edge.table(spark, "documents").select("doc_id", "text"))
     plan = out._jdf.queryExecution().toString()
