@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A table of few files, dealt to all cores: its rows cost far more to work on than to move. Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def as_of(at: str = AS_OF) -> Column:
@@ -124,10 +124,15 @@ def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sinks ----
 
 
-def write_audits(audits: DataFrame, path: str, at: Column) -> None:
-    """Append audits by day, each to expire after 24 hours."""
+def dated_audits(audits: DataFrame, at: Column) -> DataFrame:
+    """Audits with when they were made and, 24 hours later, expire."""
     out = audits.withColumn("created_at", at).withColumn("expires_at", at + F.expr("INTERVAL 24 HOURS"))
-    out.withColumn("audit_date", F.to_date("created_at")).write.mode("append").partitionBy("audit_date").parquet(path)
+    return out.withColumn("audit_date", F.to_date("created_at"))
+
+
+def write_audits(audits: DataFrame, path: str, at: Column) -> None:
+    """Append audits by day. A batch that may come twice goes through streams.audit_sink()."""
+    dated_audits(audits, at).write.mode("append").partitionBy("audit_date").parquet(path)
 
 
 def store_citations(rows: DataFrame, at: Column) -> DataFrame:
