@@ -81,9 +81,9 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8"))
 
 
-def hash_place(col: Column, salt: str) -> Column:
-    """A pseudorandom place of an id in 0..2^62 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(col, F.lit(salt)), 2)
+def hash_place(salt: str, *cols: str) -> Column:
+    """A pseudorandom place of a row, by an id and a text as it were, in 0..2^62 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(salt)), 2)
 
 
 def hash_bound(wanted: int, rows: int) -> int:

@@ -172,7 +172,7 @@ def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = pixmap(payload(F.col("body")))
     store = keep(docs.select(F.sha2(media, 256).alias("digest"), media.alias("media")), "media-store")
     escaped = F.replace(F.replace(F.coalesce("body", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    html = F.concat(F.lit("<article><p>"), escaped, F.lit('</p><figure><img src="sha256:'), F.sha2(media, 256), F.lit('"><figcaption>Document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
+    html = F.concat(F.lit("<article><p>"), escaped, F.lit('</p><figure><img src="sha256:'), F.sha2(media, 256), F.lit('"><figcaption>Document of '), F.length(utf8(F.col("body"))).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     pages = docs.select("doc_id", F.length(utf8(F.col("body"))).cast("long").alias("n_bytes"), html.alias("html"))
     found = resolve(interleave(pages), keep(media_features(store), "media-features"), ["doc_id", "n_bytes"])
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("media_pos"), "caption")

@@ -145,23 +145,24 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, bin
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> AdditiveModel:
-    """Fit on labelled documents of the learning folds: about `most_rows`, chosen by a hash of the id (the documented bound).
+    """Fit on labelled documents of the learning folds: about `most_rows`, chosen by a hash of id and text (the documented bound).
 
-    Null ids and labels are left out. A repeated id is learnt once for each of its rows and labels; a
-    text's null counts as empty. Without labels the model scores 0.5. Only doc_id, text and quality
+    Null ids and labels are left out. A repeated id is learnt once for each of its different texts and
+    labels, and all of them count for the bound; rows of equal values tie, as one. A text's null
+    counts as empty. Without labels the model scores 0.5. Only doc_id, text and quality
     are read, so other columns may have any name.
     """
     ship(docs.sparkSession)
-    known = labels.filter((crc_of_id(F.col("doc_id")) % 5 != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
-    below = hash_bound(most_rows, known.count())
-    known = known.filter(hash_place(F.col("doc_id"), "quality") < below)
-    chosen = docs.filter(hash_place(F.col("doc_id"), "quality") < below).select("doc_id", "text").join(known, "doc_id")
+    known = labels.filter((crc_of_id(F.col("doc_id")) % 5 != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y")).distinct()
+    below = hash_bound(most_rows, docs.select("doc_id").join(known, "doc_id").count())
+    chosen = docs.filter(hash_place("quality", "doc_id", "text") < below).select("doc_id", "text").join(known, "doc_id").distinct()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [text_features(t) for t in pdf["text"]]})
 
-    rows = chosen.mapInPandas(read, "doc_id long, y double, x array<double>").toPandas().sort_values(["doc_id", "y"], ignore_index=True)
+    rows = chosen.mapInPandas(read, "doc_id long, y double, x array<double>").toPandas()
+    rows = rows.assign(_by=[tuple(v) for v in rows["x"]]).sort_values(["doc_id", "y", "_by"], ignore_index=True)
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["y"].to_numpy(float))
 

@@ -24,6 +24,8 @@ FAMILIES = {
     "uralic": ["fi", "et", "hu"],
 }
 DIMS = 8192
+#: Texts of a language that a machine is learnt from at least, where there are as many.
+LEAST_EACH = 20
 _letters: np.ndarray | None = None
 
 
@@ -130,17 +132,19 @@ def fit(grams: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Languag
 
 
 def learn(docs: DataFrame, most_rows: int = 3000) -> LanguageModel:
-    """Fit on documents of the learning folds with a language: about most_rows / languages of each, by a hash of the id (the documented bound).
+    """Fit on documents of the learning folds with a language: about most_rows / languages of each, by a hash of id and text (the documented bound).
 
-    Null ids count as a language's others, repeats as rows of their own; texts without a letter are
-    left out. An empty table gives a model that knows no language.
+    Of more than most_rows / LEAST_EACH languages the most frequent are learnt, of equally frequent
+    ones the first by name, so dirty values don't make the sample or the machines grow. Null ids
+    count as others do, rows equal in id, language and text as one; texts without a letter are left
+    out. An empty table gives a model that knows no language. Other columns may have any name.
     """
     ship(docs.sparkSession)
     known = docs.filter((crc_of_id(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    each = max(20, most_rows // max(1, len(counts)))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, most_rows // LEAST_EACH)).collect()}
+    each = most_rows // max(1, len(counts))
     below = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, hash_bound(each, n)))) if counts else F.create_map().cast("map<string,long>")
-    chosen = known.filter(hash_place(F.col("doc_id"), "language") < F.element_at(below, F.col("lang"))).select("doc_id", "lang", "text")
+    chosen = known.filter(hash_place("language", "doc_id", "text") < F.try_element_at(below, F.col("lang"))).select("doc_id", "lang", "text").distinct()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,7 +155,8 @@ def learn(docs: DataFrame, most_rows: int = 3000) -> LanguageModel:
             at = [np.flatnonzero(g) for g in grams]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "lang": pdf["lang"].to_numpy(), "at": at, "n": [g[a] for g, a in zip(grams, at, strict=True)]})
 
-    rows = chosen.mapInPandas(read, "doc_id long, lang string, at array<int>, n array<int>").toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
+    rows = chosen.mapInPandas(read, "doc_id long, lang string, at array<int>, n array<int>").toPandas()
+    rows = rows.assign(_by=[(tuple(a), tuple(n)) for a, n in zip(rows["at"], rows["n"], strict=True)]).sort_values(["doc_id", "lang", "_by"], ignore_index=True)
     return fit(list(zip(rows["at"], rows["n"], strict=True)), rows["lang"].tolist())
 
 

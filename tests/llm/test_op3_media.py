@@ -25,7 +25,7 @@ def test_query(spark):
         stored = b"P6\n64 %d\n255\n" % (len(data) // 192) + data
         assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
         assert (row.media_bytes, row.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-        assert (row.media_pos >= 1 or not text.strip()) and row.caption == f"Document {row.doc_id}"
+        assert (row.media_pos >= 1 or not text.strip()) and row.caption == f"Document of {row.n_bytes} bytes"
     assert p.assign(t=d["text"]).groupby("t")["feature"].nunique().max() == 1
 
 

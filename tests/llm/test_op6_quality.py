@@ -46,3 +46,14 @@ def test_edges(spark):
     assert {r["score"] for r in m.score_quality(docs, none).collect()} == {0.5}
     assert m.score_quality(edge.empty(spark), none).count() == 0
     assert set(m.text_features(None)) == {0.0}
+
+
+def test_repeated_ids_dont_grow_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(900)] + [(7, "the same")] * 900 + [(i, f"own {i}") for i in range(100, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, 1)] + [(i, i % 2) for i in range(100, 200)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(m, "fit", lambda x, y: seen.update(n=len(x)))
+    m.learn(docs, labels, most_rows=300)
+    assert 50 < seen["n"] < 450
+    m.learn(docs, labels, most_rows=10**6)
+    assert seen["n"] > 1800  # each text with each label, the repeated row once

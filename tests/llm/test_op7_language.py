@@ -50,3 +50,11 @@ def test_sample_does_not_empty_with_size():
     assert hash_bound(750, 700) == hash_bound(750, 750) == 1 << 62
     for rows in (10**6, 10**10, 10**13):
         assert abs(hash_bound(750, rows) / (1 << 62) * rows - 750) < 1
+
+
+def test_dirty_languages_and_repeats_dont_grow_the_sample(spark, monkeypatch):
+    rows = [(i, f"some words of text {i}", f"x{i % 300}") for i in range(1200)] + [(7, "the same row", "en")] * 2000 + [(None, f"a row {i}", "de") for i in range(500)]
+    seen = {}
+    monkeypatch.setattr(m, "fit", lambda grams, langs: seen.update(n=len(grams), langs=set(langs)))
+    m.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=100)
+    assert seen["n"] <= 120 and "de" in seen["langs"] and len(seen["langs"]) <= 5  # the repeated row is one, in the sample or not
