@@ -121,20 +121,53 @@ def detect_citations(answers: DataFrame, tracked: DataFrame) -> DataFrame:
     return hit.select("answer_id", "engine", "url", "domain", F.when(F.col("t_url").isNotNull(), "url").otherwise("domain").alias("match"), "position", F.substr(F.col("text"), F.greatest(at - 40, F.lit(1)), F.lit(80)).alias("excerpt"))
 
 
+def _runs(text_col: str, n: int) -> Column:
+    """Hashes of all runs of n lower-case words of a text."""
+    from pagewright.functions.text import words
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
+
+    return F.get(F.transform(F.array(words(F.lower(text_col))), of), F.lit(0))
+
+
 def shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, h): the distinct runs of n lower-case words of each text."""
-    from pagewright.functions.text import words
+    return docs.select(id_col, F.explode(F.array_distinct(_runs(text_col, n))).alias("h"))
+
+
+def bits_of(hashes: DataFrame, longs: int) -> DataFrame:
+    """One row with `bits`: a bitmap of so many longs in which the bit of each hash of hashes(h) is set."""
+    own = hashes.groupBy(_long_of(F.col("h"), longs).alias("i")).agg(F.bit_or(_mask_of(F.col("h"))).alias("v"))
+    full = hashes.sparkSession.range(longs).select(F.col("id").cast("int").alias("i")).join(own, "i", "left").select("i", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("bits"))
 
-    split = docs.select(F.col(id_col), words(F.lower(text_col)).alias("_w"))
-    last = F.size("_w") - n + 1
-    runs = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "))))
-    return split.withColumn("_n", F.size("_w")).select(id_col, F.explode(F.array_distinct(runs)).alias("h"))
+
+def _long_of(h: Column, longs: int) -> Column:
+    return F.pmod(F.shiftright(h, 6), F.lit(longs)).cast("int")
+
+
+def _mask_of(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sifted(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
+    """(id, h): the distinct runs of each text that may be in wanted(h): all that are, and of others about one in sixteen or less.
+
+    A bitmap of the wanted hashes, 16 bits each within 8 KB and 8 MB, is asked within the row, so
+    texts that share nothing give no rows.
+    """
+    longs = 1 << max(10, min(20, (wanted.count() // 4).bit_length()))
+    kept = lambda h: F.get("_bits", _long_of(h, longs)).bitwiseAND(_mask_of(h)) != 0
+    asked = docs.select(id_col, _runs(text_col, n).alias("_runs"), bits_of(wanted, longs).scalar().alias("_bits"))
+    return asked.select(id_col, F.explode(F.array_distinct(F.filter("_runs", kept))).alias("h"))
 
 
 def quoted_passages(answers: DataFrame, passages: DataFrame, n: int = 8, least: float = 0.5) -> DataFrame:
     """(answer_id, passage_id, containment): the share of a passage's n-word runs that an answer has, where it is `least` or more."""
     p = shingles(passages, "passage_id", "text", n)
     sizes = p.groupBy("passage_id").agg(F.count("*").alias("runs"))
-    hits = shingles(answers, "answer_id", "text", n).join(p, "h").groupBy("answer_id", "passage_id").agg(F.count("*").alias("hits"))
+    hits = sifted(answers, "answer_id", "text", n, p.select("h")).join(p, "h").groupBy("answer_id", "passage_id").agg(F.count("*").alias("hits"))
     share = hits.join(sizes, "passage_id").withColumn("containment", F.col("hits") / F.col("runs"))
     return share.filter(F.col("containment") >= least).select("answer_id", "passage_id", "containment")

@@ -28,6 +28,7 @@ HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</
 HEAD = r"(?is)<head\b.*?</head\s*>"
 TAG = r"(?s)<[^>]*>"
 LIST_TAG = r"(?i)</?[uo]l\b[^>]*>"
+TABLE_TAG = r"(?i)</?table\b[^>]*>"
 REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
 
@@ -94,20 +95,32 @@ def html_text(clean: Column) -> Column:
     return F.array_join(F.filter(runs, lambda x: x != ""), " ")
 
 
-def html_lists(clean: Column) -> Column:
-    """(type, inner) of each list, nested ones too, in the order in which they open: the HTML up to its own end, inner lists' tags left out."""
-    tags, parts = F.regexp_extract_all(clean, F.lit(LIST_TAG), F.lit(0)), F.split(clean, LIST_TAG, -1)
+def nested(clean: Column, pattern: str) -> Column:
+    """(tag, inner) of each element that the tags of `pattern` open, nested ones too, in the order in which they open.
+
+    inner is the HTML up to the element's own end, the inner ones' tags left out. One fold over the
+    tags with a stack of those that are open finds all ends; what is never closed ends with the page.
+    """
+    tags, parts = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)), F.split(clean, pattern, -1)
 
     def of(tags: Column, parts: Column) -> Column:
-        def end(i: Column) -> Column:
-            start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over"))
-            depth = lambda a, t: a["depth"] + F.when(t.startswith("</"), -1).otherwise(1)
-            step = lambda a, t: F.when(a["over"], a).otherwise(F.struct(depth(a, t).alias("depth"), (a["n"] + 1).alias("n"), (depth(a, t) == 0).alias("over")))
-            last = F.aggregate(F.slice(tags, i + 1, F.size(tags)), start, step)
-            return last["n"] - F.when(last["over"], 1).otherwise(0)
+        pair = "array<struct<at: int, end: int>>"
+        start = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("open"), F.array().cast(pair).alias("made"))
+        top = lambda a: F.struct(F.element_at(a["open"], -1).alias("at"), a["i"].alias("end"))
+        popped = lambda a: F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)
+
+        def step(a: Column, tag: Column) -> Column:
+            opens, none = ~tag.startswith("</"), F.size(a["open"]) == 0
+            now = F.when(opens, F.array_append(a["open"], a["i"])).when(none, a["open"]).otherwise(popped(a))
+            made = F.when(opens | none, a["made"]).otherwise(F.array_append(a["made"], top(a)))
+            return F.struct((a["i"] + 1).alias("i"), now.alias("open"), made.alias("made"))
+
+        def finish(a: Column) -> Column:
+            rest = F.transform(a["open"], lambda at: F.struct(at.alias("at"), a["i"].alias("end")))
+            return F.array_sort(F.concat(a["made"], rest))
 
-        each = F.transform(tags, lambda t, i: F.when(~t.startswith("</"), F.struct(F.when(F.lower(F.substring(t, 2, 2)) == "ol", F.lit("ordered")).otherwise(F.lit("unordered")).alias("type"), F.array_join(F.slice(parts, i + 2, F.greatest(end(i), F.lit(1))), "\n").alias("inner"))))
-        return F.filter(each, lambda x: x.isNotNull())
+        inner = lambda x: F.array_join(F.slice(parts, x["at"] + 2, F.greatest(x["end"] - x["at"], F.lit(1))), "\n")
+        return F.transform(F.aggregate(tags, start, step, finish), lambda x: F.struct(F.get(tags, x["at"]).alias("tag"), inner(x).alias("inner")))
 
     return F.get(F.transform(F.array(F.struct(tags.alias("t"), parts.alias("p"))), lambda x: of(x["t"], x["p"])), F.lit(0))
 
@@ -117,18 +130,19 @@ def parse_html(docs: DataFrame) -> DataFrame:
 
     Scripts, styles, templates and comments are cut out before tags are looked at. A list nested in
     another is a list of its own, and its items are the outer one's too; an item's text ends where
-    the next item begins.
+    the next item begins. So it is with tables, their rows and their cells.
     """
     clean = docs.withColumn("_clean", F.regexp_replace(F.coalesce("content", F.lit("")), HIDDEN, ""))
     inner = lambda x: html_text(x)
     whole = lambda p: F.regexp_extract_all("_clean", F.lit(p), F.lit(0))
     headers = F.transform(whole(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"), lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), inner(h).alias("text")))
-    cell = r"(?is)<t[dh]\b[^>]*>.*?(?:</t[dh]\s*>|$)"
-    rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?(?:</tr\s*>|$)"), F.lit(0)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(0)), inner)), lambda r: F.size(r) > 0)
-    tables = F.filter(F.transform(whole(r"(?is)<table\b.*?</table\s*>"), lambda t: F.struct(rows(t).alias("rows"))), lambda t: F.size(t["rows"]) > 0)
+    cell = r"(?is)<t[dh]\b[^>]*>.*?(?=<t[dhr]\b|</t[dhr]\s*>|$)"
+    rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|$)"), F.lit(0)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(0)), inner)), lambda r: F.size(r) > 0)
+    tables = F.filter(F.transform(nested(F.col("_clean"), TABLE_TAG), lambda t: F.struct(rows(t["inner"]).alias("rows"))), lambda t: F.size(t["rows"]) > 0)
     sized = lambda t: F.struct(t["rows"].alias("rows"), F.array_max(F.transform(t["rows"], lambda r: F.size(r))).alias("column_count"), F.size(t["rows"]).alias("row_count"))
     items = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<li\b[^>]*>.*?(?=<li\b|</li\s*>|$)"), F.lit(0)), inner)
-    lists = F.transform(html_lists(F.col("_clean")), lambda x: F.struct(x["type"].alias("type"), items(x["inner"]).alias("items"), F.size(items(x["inner"])).alias("item_count")))
+    kind = lambda tag: F.when(F.lower(F.substring(tag, 2, 2)) == "ol", F.lit("ordered")).otherwise(F.lit("unordered"))
+    lists = F.transform(nested(F.col("_clean"), LIST_TAG), lambda x: F.struct(kind(x["tag"]).alias("type"), items(x["inner"]).alias("items"), F.size(items(x["inner"])).alias("item_count")))
     url = lambda x: F.concat(*(F.regexp_extract(x, HREF, i) for i in (1, 2, 3)))
     links = F.transform(whole(HREF), lambda x: F.struct(inner(x).alias("text"), decoded(url(x)).alias("url")))
     body = html_text(F.regexp_replace("_clean", HEAD, ""))
@@ -157,4 +171,4 @@ def structure_report(parsed: DataFrame) -> DataFrame:
     """Counts of each document and, in the row without an id, of the corpus."""
     n = parsed.select("doc_id", F.size("headers").alias("headers"), F.size("tables").alias("tables"), F.size("lists").alias("lists"), F.size("links").alias("links"), F.char_length("text").alias("text_length"))
     sums = [F.sum(c).cast("long").alias(c) for c in ("headers", "tables", "lists", "links", "text_length")]
-    return n.groupBy("doc_id").agg(*sums).unionByName(n.groupBy().agg(*sums).withColumn("doc_id", F.lit(None).cast("long")))
+    return n.groupingSets([["doc_id"], []], "doc_id").agg(*sums)

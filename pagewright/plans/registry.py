@@ -127,23 +127,30 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return structure.parse_html(tables.read_pages(spark, sf)).select("doc_id", F.explode("links").alias("l")).select("doc_id", "l.text", "l.url")
 
 
-#: Every third page gets a table and a list in a list, of which the given pages have none.
-_RICHER = "<table class='t'><tr><th>Name</th><th>Size &lt;cm&gt;</th></tr><tr><td>A&nbsp;B</td><td>&#49;&#x30;</td></tr><tr><td>C</td></tr></table><ol><li>one<ul><li>two</li><li>three</li></ul></li><li>four</li></ol><a href='/x?a=1&amp;b=2'>single</a> <a href=/plain>plain</a>"
+def _richer_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a table of the title's words, two a row, and a list of them in which the inner ones are a list of their own."""
+    pages = tables.read_pages(spark, sf).withColumn("w", F.filter(F.split(F.regexp_extract("content", "<title>([^<]*)</title>", 1), " "), lambda x: x != ""))
+    cell = lambda i: F.coalesce(F.concat(F.lit("<td>"), F.get("w", i), F.lit("</td>")), F.lit(""))
+    row = lambda i: F.concat(F.lit("<tr>"), cell(i * 2), cell(i * 2 + 1), F.lit("</tr>"))
+    table = F.when(F.size("w") > 0, F.concat(F.lit("<table class='t'>"), F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 2).cast("int")), row), ""), F.lit("</table>")))
+    item = lambda x: F.concat(F.lit("<li>"), x)
+    inner = F.array_join(F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), item), "")
+    lists = F.when(F.size("w") > 2, F.concat(F.lit("<ol>"), item(F.get("w", F.lit(0))), F.lit("<UL id=u>"), inner, F.lit("</UL></li>"), item(F.element_at("w", -1)), F.lit("</ol>")))
+    return structure.parse_html(pages.withColumn("content", F.concat_ws("", "content", table, lists)).drop("w"))
 
 
-def _richer_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.parse_html(tables.read_pages(spark, sf).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.lit(_RICHER)).otherwise(F.col("content"))))
+_TITLE = f"WITH {o.PAGES}, w AS (SELECT page_id AS doc_id, list_transform(list_filter(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' '), lambda x: x <> ''), lambda x: {o.decoded('x')}) AS w FROM pages)"
 
 
-@query("SELECT page_id AS doc_id, 2 AS column_count, 3 AS row_count, 'Name|Size <cm>;A' || chr(160) || 'B|10;C' AS cells FROM pages WHERE page_id % 3 = 0")
+@query(f"""{_TITLE} SELECT doc_id, least(len(w), 2) AS column_count, (len(w) + 1) // 2 AS row_count, array_to_string(list_transform(range(1, len(w) + 1, 2), lambda i: array_to_string(w[i:i + 1], '|')), ';') AS cells FROM w WHERE len(w) > 0""")
 def page_tables(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), ";")
     return _richer_pages(spark, sf).select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.column_count", "t.row_count", cells.alias("cells"))
 
 
-@query(f"""WITH {o.PAGES}, l AS (SELECT doc_id, unnest(regexp_extract_all(c, {o.q(o.L)})) AS x FROM page_parsed WHERE doc_id % 3 <> 0)
+@query(f"""{_TITLE}, l AS (SELECT doc_id, unnest(regexp_extract_all(c, {o.q(o.L)})) AS x FROM page_parsed)
 SELECT doc_id, CASE WHEN lower(x[2:3]) = 'ol' THEN 'ordered' ELSE 'unordered' END AS type, len(regexp_extract_all(x, '(?i)<li\\b')) AS item_count FROM l WHERE regexp_matches(x, '(?i)<li\\b')
-UNION ALL SELECT page_id, type, n FROM pages CROSS JOIN (VALUES ('ordered', 4), ('unordered', 2)) v(type, n) WHERE page_id % 3 = 0""")
+UNION ALL SELECT doc_id, 'ordered', len(w) FROM w WHERE len(w) > 2 UNION ALL SELECT doc_id, 'unordered', len(w) - 2 FROM w WHERE len(w) > 2""")
 def page_lists(spark: SparkSession, sf: str) -> DataFrame:
     return _richer_pages(spark, sf).select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.type", "l.item_count")
 

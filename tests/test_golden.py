@@ -176,3 +176,14 @@ def test_scores_stay_in_bounds(spark):
 def test_scoring_does_not_shuffle(spark):
     plan = scoring.audit_corpus(docs(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_only_runs_that_may_be_quoted_leave_their_rows(spark):
+    passages = spark.createDataFrame([(1, " ".join(f"p{i}" for i in range(40))), (2, "too short"), (3, None)], "passage_id long, text string")
+    texts = [" ".join(f"a{k}x{i}" for i in range(300)) for k in range(50)] + [" ".join(["q"] * 9 + [f"P{i}" for i in range(35)]), None, ""]
+    answers = spark.createDataFrame(list(enumerate(texts)), "answer_id long, text string")
+    runs = citations.shingles(passages, "passage_id", "text", 8).select("h")
+    kept = citations.sifted(answers, "answer_id", "text", 8, runs).collect()
+    assert sum(r["answer_id"] == 50 for r in kept) >= 28 and len(kept) < 28 + 0.07 * 50 * 293
+    got = citations.quoted_passages(answers, passages).collect()
+    assert [(r["answer_id"], r["passage_id"], round(r["containment"], 6)) for r in got] == [(50, 1, round(28 / 33, 6))]
