@@ -29,6 +29,8 @@ HEAD = r"(?is)<head\b.*?</head\s*>"
 TAG = r"(?s)<[^>]*>"
 LIST_TAG = r"(?i)</?[uo]l\b[^>]*>"
 TABLE_TAG = r"(?i)</?table\b[^>]*>"
+#: Characters of tags, and code points that are no characters to stand for them.
+OF_TAGS, MARKS = "<>\"'", "\ufdd0\ufdd1\ufdd2\ufdd3"
 REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
 
@@ -75,7 +77,11 @@ def parse_markdown(docs: DataFrame) -> DataFrame:
 
 
 def decoded(x: Column) -> Column:
-    """A text with its character references, named or numeric, replaced. Unknown ones stay; known ones need no semicolon at their end."""
+    """HTML with its character references, named or numeric, replaced. Unknown ones stay; known ones need no semicolon at their end.
+
+    The characters that make up tags are replaced by MARKS, which plain() turns back once the tags are
+    gone: so a page is decoded once, whatever is taken from it.
+    """
     names = F.create_map(*(F.lit(v) for name, char in sorted(html5.items()) if name.endswith(";") for v in (name[:-1], char)))
 
     def one(piece: Column) -> Column:
@@ -83,15 +89,19 @@ def decoded(x: Column) -> Column:
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).try_cast("int")
         real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
         point = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        char = F.when(name.startswith("#"), point).otherwise(F.try_element_at(names, name))
+        char = F.translate(F.when(name.startswith("#"), point).otherwise(F.try_element_at(names, name)), OF_TAGS, MARKS)
         return F.coalesce(F.concat(char, F.regexp_replace(piece, REFERENCE, "")), piece)
 
     return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&)", -1), one), "")).otherwise(x)
 
 
+def plain(x: Column) -> Column:
+    return F.translate(x, MARKS, OF_TAGS)
+
+
 def html_text(clean: Column) -> Column:
-    """Text between tags, each run stripped, joined by spaces; newlines within a run stay."""
-    runs = F.transform(F.split(clean, TAG, -1), lambda x: F.regexp_replace(decoded(x), f"^{WS}|{WS}$", ""))
+    """Text between the tags of decoded() HTML, each run stripped, joined by spaces; newlines within a run stay."""
+    runs = F.transform(F.split(clean, TAG, -1), lambda x: F.regexp_replace(plain(x), f"^{WS}|{WS}$", ""))
     return F.array_join(F.filter(runs, lambda x: x != ""), " ")
 
 
@@ -132,7 +142,9 @@ def parse_html(docs: DataFrame) -> DataFrame:
     another is a list of its own, and its items are the outer one's too; an item's text ends where
     the next item begins. So it is with tables, their rows and their cells.
     """
-    clean = docs.withColumn("_clean", F.regexp_replace(F.coalesce("content", F.lit("")), HIDDEN, ""))
+    bare = docs.withColumn("_bare", F.regexp_replace(F.coalesce("content", F.lit("")), HIDDEN, ""))
+    # Behind a generator, so that a page is decoded once and not wherever its text is used.
+    clean = bare.select(*docs.columns, F.explode(F.array(decoded(F.col("_bare")))).alias("_clean"))
     inner = lambda x: html_text(x)
     whole = lambda p: F.regexp_extract_all("_clean", F.lit(p), F.lit(0))
     headers = F.transform(whole(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"), lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), inner(h).alias("text")))
@@ -144,7 +156,7 @@ def parse_html(docs: DataFrame) -> DataFrame:
     kind = lambda tag: F.when(F.lower(F.substring(tag, 2, 2)) == "ol", F.lit("ordered")).otherwise(F.lit("unordered"))
     lists = F.transform(nested(F.col("_clean"), LIST_TAG), lambda x: F.struct(kind(x["tag"]).alias("type"), items(x["inner"]).alias("items"), F.size(items(x["inner"])).alias("item_count")))
     url = lambda x: F.concat(*(F.regexp_extract(x, HREF, i) for i in (1, 2, 3)))
-    links = F.transform(whole(HREF), lambda x: F.struct(inner(x).alias("text"), decoded(url(x)).alias("url")))
+    links = F.transform(whole(HREF), lambda x: F.struct(inner(x).alias("text"), plain(url(x)).alias("url")))
     body = html_text(F.regexp_replace("_clean", HEAD, ""))
     return clean.select(*docs.columns, html_text(F.col("_clean")).alias("text"), _ordered(headers).alias("headers"), F.transform(tables, sized).alias("tables"), F.filter(lists, lambda x: x["item_count"] > 0).alias("lists"), links.alias("links"), word_count(body).alias("word_count"), F.char_length(body).alias("char_count"), content_hash(F.col("content")).alias("content_hash"))
 
