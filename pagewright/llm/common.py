@@ -136,13 +136,16 @@ def hot_limit(rows: int) -> int:
     return max(1000, rows // 2000)
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str | list[str], copies: str, rows: int) -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str | list[str], copies: str, rows: int, merge: bool = False) -> DataFrame:
     """Inner join of `left`, where one key may hold a third of all rows, with `right`, which has one row a key.
 
     `right.copies` is the number of rows that `left` has of the key and `rows` those of `left` in all.
-    Hot keys, of which there are 2,000 at most, are sent to all tasks; the rest is shuffled.
+    Hot keys, of which there are 2,000 at most, are sent to all tasks; the rest is shuffled. With
+    `merge` it is so for small tables too: a broadcast's hash table takes 64 MB of the driver, however
+    small the table is.
     """
     limit = hot_limit(rows)
     hot = F.broadcast(right.filter(F.col(copies) > limit))
     cold = right.filter(F.col(copies) <= limit)
+    cold = cold.hint("merge") if merge else cold
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))

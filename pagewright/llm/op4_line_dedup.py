@@ -71,7 +71,7 @@ def _order() -> Column:
 def repeated_units(units: DataFrame) -> DataFrame:
     """(doc, version, units): of each text the units that come more than once, with whether an earlier one `repeats` in them."""
     twice = units.groupBy("hash").agg(F.count("*").alias("copies"), F.min(_order()).alias("first")).filter("copies > 1")
-    found = join_by_key(units, keep(twice, "lines-repeated"), "hash", "copies", units.count())
+    found = join_by_key(units, keep(twice, "lines-repeated"), "hash", "copies", units.count(), merge=True)
     marked = F.struct("at", "n", "hash", (_order() > F.col("first")).alias("repeats"))
     return found.groupBy("doc", "version").agg(F.collect_set(marked).alias("units"))
 
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = keep(line_units(chunk_lines(docs.filter(F.col(text_col).isNotNull()), id_col, text_col, long_line), long_line), "lines-units")
     found = repeated_units(units).select(F.col("doc").alias("_ld_doc"), F.col("version").alias("_ld_version"), F.col("units").alias("_ld_units"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_ld_id"), F.xxhash64(text_col).alias("_ld_of"))
-    joined = rows.join(found, F.col("_ld_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
+    joined = rows.join(found.hint("merge"), F.col("_ld_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_of") == F.col("_ld_version")), "left")
     marked = keep(joined.select("row", "_ld_id", "_ld_of", F.col("_ld_units").alias("units")), "lines-marked")
     unlike = keep(unlike_units(marked.filter("units is not null").select("row", "units"), f"row.`{text_col}`"), "lines-unlike")
     if not unlike.isEmpty():
