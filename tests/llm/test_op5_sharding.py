@@ -22,6 +22,31 @@ def test_differencing():
     assert m.difference(np.array([[5, 3, 1]]))[0].tolist() == [[0, 1, 2]]
 
 
+def plain(loads):
+    """The parts' loads by Karmarkar-Karp over plain lists: the two of largest spread, the earlier first, again and again."""
+    todo = [(i, sorted(map(int, row), reverse=True)) for i, row in enumerate(loads)]
+    made = len(todo)
+    while len(todo) > 1:
+        todo.sort(key=lambda x: (-(x[1][0] - x[1][-1]), x[0]))
+        (_, a), (_, b), *todo = todo
+        todo.append((made, sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)))
+        made += 1
+    return todo[0][1]
+
+
+def test_differencing_against_plain_lists():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 30)), int(rng.integers(1, 6))
+        loads = np.zeros((n, k), np.int64)
+        loads[:, : int(rng.integers(1, k + 1))] = rng.integers(0, 50, (n, 1))
+        part, sums = m.difference(loads)
+        assert sums.tolist() == plain(loads)
+        own = np.zeros(k, np.int64)
+        np.add.at(own, part.ravel(), loads.ravel())  # each item's columns go to different parts
+        assert own.tolist() == sums.tolist() and all(sorted(p) == list(range(k)) for p in part.tolist())
+
+
 def check(p, shards):
     assert sorted(p["shard"].unique()) <= list(range(shards))
     for _, g in p.groupby("shard"):
