@@ -200,7 +200,7 @@ def mixed_text(mixed: Mix, docs: DataFrame, id_col: str = "doc_id", text_col: st
 def taken(mixed: Mix) -> DataFrame:
     """A row a document: doc_id, size, source_size, target, taken."""
     per = mixed.spans.groupBy("src", "start").agg(F.sum("n").alias("taken"))
-    some = mixed.packed.filter("size > 0").join(per, ["src", "start"], "left").select("src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    some = mixed.packed.filter("size > 0").join(per.hint("merge"), ["src", "start"], "left").select("src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     none = mixed.packed.filter("size = 0").select("src", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     facts = mixed.packed.sparkSession.createDataFrame([(i, int(s), float(t)) for i, (s, t) in enumerate(zip(mixed.plan.sizes, mixed.plan.targets, strict=True))], "src int, source_size long, target double")
     return some.unionByName(none).join(F.broadcast(facts), "src").select("doc_id", "size", "source_size", "target", "taken")

@@ -56,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     took = op1_mixing.taken(op1_mixing.mix(keyed, id_col="_mix_key")).filter("taken > 0")
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     times = took.groupBy(F.col("doc_id").alias("_mix_of")).agg(F.max(F.floor(F.col("taken") / F.col("size") + chance).cast("int")).alias("_mix_times")).filter("_mix_times > 0")
-    chosen = keyed.join(times, F.col("_mix_key") == F.col("_mix_of")).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    chosen = keyed.join(times.hint("merge"), F.col("_mix_key") == F.col("_mix_of")).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     return chosen.select(*docs.columns)
 
 
