@@ -19,9 +19,9 @@ def total_score(weights: dict[str, float] | None = None, cap: float | None = Non
     """Sum of score / max * weight, to one decimal. It can pass 100; `cap` stops it."""
     out = F.lit(0.0)
     for p in weights or WEIGHTS:
-        own = (weights or WEIGHTS)[p]
         part = F.col(f"{p}.score")
-        out = out + (part if WEIGHTS.get(p) == own else part / F.col(f"{p}.max") * own)
+        # Divided even where a given weight is the maximum: x / 10 * 10 can differ from x in its last bit, and so its rounding.
+        out = out + (part / F.col(f"{p}.max") * weights[p] if weights else part)
     out = r1(out)
     return F.least(out, F.lit(float(cap))) if cap is not None else out
 
@@ -45,7 +45,7 @@ def with_stuffing(parsed: DataFrame, text_col: str = "text", share: float = 0.05
     In the sorted words, one comes more than m times if it equals the word m places on: no shuffle.
     """
     split = parsed.withColumn("_words", words(F.lower(text_col)))
-    long = split.withColumn("_long", F.array_sort(F.filter("_words", lambda w: F.char_length(w) > length))).withColumn("_most", F.floor(F.size("_words") * share).cast("int"))
+    long = split.withColumn("_long", F.sort_array(F.filter("_words", lambda w: F.char_length(w) > length))).withColumn("_most", F.floor(F.size("_words") * share).cast("int"))
     same = F.exists(F.zip_with("_long", F.slice("_long", F.col("_most") + 1, F.greatest(F.size("_long"), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
     return long.withColumn("penalty_stuffing", F.when(same, 15).otherwise(0)).drop("_words", "_long", "_most")
 
@@ -83,7 +83,7 @@ def keyword_density(parsed: DataFrame, length: int = 4, share: float = 0.05) ->
     the one some places on. Only they are counted and become rows, so words aren't shuffled.
     """
     split = parsed.select("doc_id", words(F.lower("text")).alias("w")).withColumn("total", F.size("w"))
-    long = split.select("doc_id", "total", F.array_sort(F.filter("w", lambda w: F.char_length(w) > length)).alias("w"), F.floor(F.col("total") * share).cast("int").alias("most"))
+    long = split.select("doc_id", "total", F.sort_array(F.filter("w", lambda w: F.char_length(w) > length)).alias("w"), F.floor(F.col("total") * share).cast("int").alias("most"))
     often = F.filter("w", lambda w, i: F.coalesce(F.get("w", i + F.col("most")) == w, F.lit(False)))
     counted = long.withColumn("word", F.explode(F.array_distinct(often))).withColumn("n", F.size(F.filter("w", lambda w: w == F.col("word"))).cast("long"))
     return counted.select("doc_id", "word", "n", (F.col("n") / F.col("total")).alias("share"))
