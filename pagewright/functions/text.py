@@ -9,9 +9,30 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+#: The same set, where most letters are ruled out by the first class: two comparisons instead of one a range.
+_WS = rf"[[^!-~\x{{a1}}-\x{{167f}}]&&{WS[:-1]}]+"
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WS, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _WS, -1), "")
+
+
+#: Letters that equal an ASCII letter where case is ignored, besides those that lower() turns into one.
+FOLDS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+
+
+def folded(text: Column) -> Column:
+    """Lower case such that a pattern of ASCII letters finds in it what it finds in `text` if case is ignored."""
+    for letter, plain in FOLDS.items():
+        text = F.when(F.contains(text, F.lit(letter)), F.replace(text, F.lit(letter), F.lit(plain))).otherwise(text)
+    return F.lower(text)
+
+
+def times(text: Column, part: str) -> Column:
+    """How often `part`, in ASCII, comes in a text; matches of it don't overlap."""
+    rest = F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    return F.when(F.contains(text, F.lit(part)), ((F.octet_length(text) - rest) / len(part)).cast("int")).otherwise(0)
 
 
 def word_count(text: Column) -> Column:

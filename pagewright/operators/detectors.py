@@ -1,8 +1,10 @@
 """The ten pattern detectors, and a registry to which a user adds more.
 
 A detector takes no frame: it is a function from nothing to a struct column over the columns of
-parse_corpus(), text_lc and the counts in COUNTS. All of a registry are applied in one select. Each
-count is a column of its own below that select, so its patterns run once a text.
+parse_corpus(), text_lc, the counts in COUNTS and what detect() adds to them. All of a registry are
+applied in one select. Each count is a column of its own below that select, so its patterns run once
+a text: words by searching for them in the text with its case folded, other patterns only in texts
+that have their words.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import contains_any, matches, r1
+from pagewright.functions.text import contains_any, folded, matches, r1, times
 
 # What the detectors look for.
 CITATION_HOOKS = [r"according to", r"research (from|by|at)", r"study (found|shows|indicates)", r"\[.*\]\(.*\)", r"source:", r"references?:"]
@@ -33,15 +35,45 @@ def _scored(score: Column, most: int, detected: Column, **evidence: Column) -> C
     return F.struct(*fields, *(c.alias(n) for n, c in evidence.items()))
 
 
+#: In place of a pattern, over the folded text: what it needs at least one of, and a pattern with the same number of matches.
+NEEDS = {
+    CITATION_HOOKS[1]: (["research "], None),
+    CITATION_HOOKS[2]: (["study "], None),
+    # These three match a line once, from the first of their parts to the last, so each line is looked at once.
+    CITATION_HOOKS[3]: (["]("], r"(?m)^(?>.*?\[)(?>.*?\]\().*?\)"),
+    DEFINITIONS[5]: (["**"], r"(?m)^(?>.*?\*\*)(?>.*?\*\*).*?is"),
+    STEPS[2]: (["first"], r"(?m)^(?>.*?first)(?>.*?second).*?third"),
+    CITATION_HOOKS[5]: (["reference"], None),
+    TEMPORAL[1]: (["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"], None),
+    TEMPORAL[4]: (["version"], None),
+    STEPS[0]: (["step"], None),
+    STEPS[1]: (["step"], None),
+}
+#: Patterns that begin with a number look at the text's numbers alone, each with a `v` before and a space behind.
+NUMBERS, NUMERIC = r"(?U)v?\d[\d.]*\s?", [TEMPORAL[0], TEMPORAL[5], STEPS[3]]
+#: NESTED, of which the first word and the first mark after it decide, so a line is looked at once.
+NESTED_ONCE = r"(?dU)^(?>.*?(?:what|how|why|when|where|which))(?>.*?\?).*?(?:but|however|additionally|furthermore|moreover)"
+
+
+def _matches(text: str, pattern: str) -> Column:
+    """matches() of a text whose case is folded in the column `text`, with the numbers in it in `numbers`."""
+    if pattern in NUMERIC:
+        return F.regexp_count(F.col("numbers"), F.lit("(?dU)" + pattern))
+    if pattern not in NEEDS:
+        return times(F.col(text), pattern)
+    parts, other = NEEDS[pattern]
+    return F.when(contains_any(F.col(text), parts), matches(F.col(text), other or pattern, ignore_case=False)).otherwise(0)
+
+
 def _total(text: str, patterns: list[str]) -> Column:
-    out = matches(F.col(text), patterns[0])
+    out = _matches(text, patterns[0])
     for p in patterns[1:]:
-        out = out + matches(F.col(text), p)
+        out = out + _matches(text, p)
     return out
 
 
-#: What detectors share: the column of each count, the text it is of, and its patterns.
-COUNTS = {"n_hooks": ("text_lc", CITATION_HOOKS), "n_dates": ("text", TEMPORAL), "n_definitions": ("text", DEFINITIONS), "n_steps": ("text", STEPS), "n_meta": ("text", META)}
+#: What detectors share: the column of each count, the text it is of (in detect()), and its patterns.
+COUNTS = {"n_hooks": ("folded_lc", CITATION_HOOKS), "n_dates": ("folded", TEMPORAL), "n_definitions": ("folded", DEFINITIONS), "n_steps": ("folded", STEPS), "n_meta": ("folded", META)}
 
 
 def _per_word(count: Column, by: int) -> Column:
@@ -74,7 +106,7 @@ def citation_hooks() -> Column:
 
 def recursive_depth() -> Column:
     marks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("?"), F.lit("")))
-    asked, nested = F.floor(marks / 2).cast("int"), F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("(?diuU)" + NESTED)))
+    asked, nested = F.floor(marks / 2).cast("int"), F.col("n_nested")
     return _scored(F.least(F.lit(7.5), asked * 1.5) + F.least(F.lit(7.5), nested * 2.5), 15, (asked > 0) | (nested > 0), question_count=asked, nested_count=nested)
 
 
@@ -84,7 +116,7 @@ def temporal_anchoring() -> Column:
 
 
 def comparison_tables() -> Column:
-    tables, words = F.size("tables"), contains_any(F.col("text_lc"), COMPARISON)
+    tables, words = F.size("tables"), F.col("compares")
     return _scored(F.least(F.lit(10), tables * 5) + F.when(words, 5).otherwise(0), 15, (tables > 0) | words, table_count=tables, has_keywords=words)
 
 
@@ -101,7 +133,7 @@ def procedural_clarity() -> Column:
 
 
 def faq_injection() -> Column:
-    section = F.col("text").rlike("(?iu)" + FAQ)
+    section = F.col("has_faq")
     asking = F.size(F.filter("headers", lambda h: F.contains(h["text"], F.lit("?"))))
     return _scored(F.when(section, 10).otherwise(0) + F.least(F.lit(5), asking), 15, section | (asking > 0), has_section=section, question_headers=asking)
 
@@ -120,8 +152,12 @@ PATTERNS = list(registry())
 
 def detect(parsed: DataFrame, detectors: dict[str, Detector] | None = None) -> DataFrame:
     """Add a struct column for each detector: score, max, detected and its evidence."""
-    ready = parsed.withColumn("text_lc", F.lower("text"))
+    ready = parsed.withColumn("text_lc", F.lower("text")).withColumn("folded", folded(F.col("text")))
+    ready = ready.withColumns({"folded_lc": folded(F.col("text_lc")), "numbers": F.array_join(F.regexp_extract_all("folded", F.lit(NUMBERS), F.lit(0)), "|")})
     ready = ready.withColumns({name: _total(text, patterns) for name, (text, patterns) in COUNTS.items()})
+    lines = F.size(F.filter(F.split("folded", "\n", -1), lambda x: x.rlike(NESTED_ONCE)))
+    shared = {"n_nested": F.when(F.contains("folded", F.lit("?")), lines).otherwise(0), "compares": contains_any(F.col("text_lc"), COMPARISON), "has_faq": contains_any(F.col("folded"), FAQ.split("|"))}
+    ready = ready.withColumns(shared)
     return ready.select(*parsed.columns, *(d().alias(n) for n, d in (detectors or registry()).items()))
 
 

@@ -16,9 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of few files, dealt to all cores: its rows cost far more to work on than to move. Larger tables stay as they are."""
+    """A table of few files, dealt to all cores: its rows cost far more to work on than to move. Larger tables stay as they are.
+
+    Files count, not the plan's partitions: a file is cut into ranges of bytes, but all of a row group
+    falls to one of them, so a file of one row group is one task's work whatever the plan says.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= 2 * cores:
+        return df
+    return df.repartition(max(2 * cores, df._jdf.queryExecution().toRdd().getNumPartitions()))
 
 
 def as_of(at: str = AS_OF) -> Column:
