@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import words
+from pagewright.functions.ship import ship
 from pagewright.operators.scoring import audit_corpus
 
 
@@ -37,9 +40,22 @@ def line_diff(pairs: DataFrame) -> DataFrame:
 
 
 def text_diff_stats(pairs: DataFrame) -> DataFrame:
-    """(doc_id, added_words, similarity): similarity is 2 * common / all words, as multisets."""
-    count = lambda c, n: pairs.select("doc_id", F.explode(words(F.col(c))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias(n))
-    common = count("original", "a").join(count("optimized", "b"), ["doc_id", "word"]).groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("common"))
-    sizes = pairs.select("doc_id", F.size(words(F.col("original"))).alias("n1"), F.size(words(F.col("optimized"))).alias("n2"))
-    share = F.when(F.col("n1") + F.col("n2") > 0, 2 * F.coalesce("common", F.lit(0)) / F.nullif(F.col("n1") + F.col("n2"), F.lit(0))).otherwise(F.lit(1.0))
-    return sizes.join(common, "doc_id", "left").select("doc_id", (F.col("n2") - F.col("n1")).alias("added_words"), share.alias("similarity"))
+    """(doc_id, added_words, similarity): similarity is 2 * common / all words, as multisets.
+
+    The words of a pair are counted within its row, so they aren't shuffled. Python splits at the white
+    space that functions.text.words() does.
+    """
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("struct<n1: int, n2: int, common: long>")
+    def counted(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = x.split(), y.split()
+            out.append((len(p), len(q), sum((Counter(p) & Counter(q)).values())))
+        return pd.DataFrame(out, columns=["n1", "n2", "common"])
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    sizes = pairs.select("doc_id", counted(text("original"), text("optimized")).alias("c")).select("doc_id", "c.*")
+    share = F.when(F.col("n1") + F.col("n2") > 0, 2 * F.col("common") / F.nullif(F.col("n1") + F.col("n2"), F.lit(0))).otherwise(F.lit(1.0))
+    return sizes.select("doc_id", (F.col("n2") - F.col("n1")).alias("added_words"), share.alias("similarity"))
