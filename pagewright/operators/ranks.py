@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 BUCKET, MOST = 200_000, 2_000
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """Rows that are computed here and now, and not again wherever they are used."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
 def ranked(rows: DataFrame, keys: list[str], value: str, bucket: int = BUCKET) -> DataFrame:
     """(keys, value, equal, below, total): each distinct value of each group, with how many rows have it, less, and any.
 
@@ -24,6 +29,7 @@ def ranked(rows: DataFrame, keys: list[str], value: str, bucket: int = BUCKET) -
     """
     at = F.col(value).cast("double")
     counts = rows.filter(at.isNotNull() & ~F.isnan(at)).groupBy(*keys, at.alias(value)).agg(F.count("*").alias("equal"))
+    counts = once(counts)  # its number, its bounds, its sums and its rows are asked for
     parts = min(MOST, -(-counts.count() // bucket))
     if parts > 1:
         bounds = sorted({x for x in counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.2 / parts) if abs(x) < float("inf")})

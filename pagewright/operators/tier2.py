@@ -42,9 +42,9 @@ def ab_compare(rows: DataFrame, value: str) -> DataFrame:
     return s.select("n_t", "n_c", F.round("mean_t", 6).alias("mean_t"), F.round("mean_c", 6).alias("mean_c"), F.round(F.col("mean_t") - F.col("mean_c"), 6).alias("difference"), F.round(t, 6).alias("t"))
 
 
-def readability(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, words, sentences, syllables, grade): Flesch-Kincaid, with runs of vowels as syllables."""
-    n = docs.select("doc_id", word_count(F.col(text_col)).alias("words"), F.greatest(F.regexp_count(text_col, F.lit(r"[.!?]+")), F.lit(1)).alias("sentences"), F.regexp_count(F.lower(text_col), F.lit(VOWELS)).alias("syllables"))
+def readability(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep, words, sentences, syllables, grade): Flesch-Kincaid, with runs of vowels as syllables."""
+    n = docs.select(*keep, word_count(F.col(text_col)).alias("words"), F.greatest(F.regexp_count(text_col, F.lit(r"[.!?]+")), F.lit(1)).alias("sentences"), F.regexp_count(F.lower(text_col), F.lit(VOWELS)).alias("syllables"))
     return n.withColumn("grade", F.when(F.col("words") > 0, F.round(0.39 * F.col("words") / F.col("sentences") + 11.8 * F.col("syllables") / F.nullif(F.col("words"), F.lit(0)) - 15.59, 4)).otherwise(F.lit(0.0)))
 
 
