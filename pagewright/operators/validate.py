@@ -16,12 +16,14 @@ URL = r"(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.
 
 def sanitize(content: Column) -> Column:
     """Without NUL characters, cut to the largest size."""
-    return F.substring(F.translate(content, "\x00", ""), 1, MAX_CHARS)
+    bare = F.when(F.contains(content, F.lit("\x00")), F.translate(content, "\x00", "")).otherwise(content)
+    return F.substring(bare, 1, MAX_CHARS)
 
 
 def size_error(content: Column) -> Column:
-    """CONTENT_TOO_LARGE or null."""
-    return F.when((word_count(content) > MAX_WORDS) | (F.char_length(content) > MAX_CHARS), F.lit(TOO_LARGE))
+    """CONTENT_TOO_LARGE or null. Words are counted where there are characters enough for so many, each but the last with a space."""
+    chars = F.char_length(content)
+    return F.when(chars > MAX_CHARS, F.lit(TOO_LARGE)).when(chars > 2 * MAX_WORDS, F.when(word_count(content) > MAX_WORDS, F.lit(TOO_LARGE)))
 
 
 def is_valid_url(url: Column) -> Column:
