@@ -91,14 +91,20 @@ def _number(x: Column) -> Column:
 
 
 def recommendations(scores: DataFrame) -> DataFrame:
-    """Up to three high gaps among a document's first ten, then the first three patterns below half their maximum."""
+    """Up to three high gaps among a document's first ten, then the first three patterns below half their maximum.
+
+    High gaps come first in the ranks, so a gap's rank is its number among them. Both kinds come from
+    one pass over the scores: an audit isn't run twice.
+    """
+    dim = F.broadcast(gap_dim(scores.sparkSession))
+    each = scores.join(dim, "pattern", "left").withColumn("_gap", ~F.col("detected") & F.col("sev_rank").isNotNull()).withColumn("_weak", F.coalesce(F.col("score") / F.col("max") < 0.5, F.lit(False)))
     per_doc = Window.partitionBy("doc_id")
-    high = gaps(scores).filter((F.col("rank") <= 10) & (F.col("severity") == "high")).withColumn("n", F.row_number().over(per_doc.orderBy("rank"))).filter("n <= 3")
-    first = high.select("doc_id", "n", F.lit("high").alias("priority"), "category", F.concat(F.lit("Fix "), F.initcap(_spaced(F.col("category"))), F.lit(" Gap")).alias("title"), "description", F.lit("High citation boost (+20-30%)").alias("expected_impact"), F.lit("Medium").alias("effort"))
-    low = scores.filter(F.col("score") / F.col("max") < 0.5).withColumn("n", F.row_number().over(per_doc.orderBy("ord"))).filter("n <= 3")
+    numbered = each.withColumn("_rank", F.row_number().over(per_doc.orderBy(F.desc("_gap"), "sev_rank", "ord"))).withColumn("_n", F.row_number().over(per_doc.orderBy(F.desc("_weak"), "ord")))
     said = F.concat(F.lit("Current score: "), _number(F.col("score")), F.lit("/"), F.col("max").cast("string"), F.lit(". Increase "), _spaced(F.col("pattern")), F.lit(" to boost citations."))
-    second = low.select("doc_id", F.col("n") + 3, F.lit("medium"), "pattern", F.concat(F.lit("Improve "), F.initcap(_spaced(F.col("pattern")))), said, F.lit("Medium citation boost (+10-20%)"), F.lit("Low"))
-    return first.union(second)
+    row = lambda n, priority, category, title, description, impact, effort: F.struct(n.alias("n"), F.lit(priority).alias("priority"), F.col(category).alias("category"), title.alias("title"), description.alias("description"), F.lit(impact).alias("expected_impact"), F.lit(effort).alias("effort"))
+    high = F.when(F.col("_gap") & (F.col("severity") == "high") & (F.col("_rank") <= 3), row(F.col("_rank"), "high", "category", F.concat(F.lit("Fix "), F.initcap(_spaced(F.col("category"))), F.lit(" Gap")), F.col("description"), "High citation boost (+20-30%)", "Medium"))
+    low = F.when(F.col("_weak") & (F.col("_n") <= 3), row(F.col("_n") + 3, "medium", "pattern", F.concat(F.lit("Improve "), F.initcap(_spaced(F.col("pattern")))), said, "Medium citation boost (+10-20%)", "Low"))
+    return numbered.select("doc_id", F.explode(F.array(high, low)).alias("r")).filter("r is not null").select("doc_id", "r.*")
 
 
 def gap_arrays(found: DataFrame, n: int) -> DataFrame:
