@@ -51,6 +51,7 @@ NEEDS = {
 }
 #: Patterns that begin with a number look at the text's numbers alone, each with a `v` before and a space behind.
 NUMBERS, NUMERIC = r"(?U)v?\d[\d.]*\s?", [TEMPORAL[0], TEMPORAL[5], STEPS[3]]
+DAY_YEAR = r"(?U)(?:^|\|)\d{1,2}\s?\|\d{4}"
 #: NESTED, of which the first word and the first mark after it decide, so a line is looked at once.
 NESTED_ONCE = r"(?dU)^(?>.*?(?:what|how|why|when|where|which))(?>.*?\?).*?(?:but|however|additionally|furthermore|moreover)"
 
@@ -62,7 +63,10 @@ def _matches(text: str, pattern: str) -> Column:
     if pattern not in NEEDS:
         return times(F.col(text), pattern)
     parts, other = NEEDS[pattern]
-    return F.when(contains_any(F.col(text), parts), matches(F.col(text), other or pattern, ignore_case=False)).otherwise(0)
+    needed = contains_any(F.col(text), parts)
+    if r"\d" in pattern:  # a date has a day and a year next to each other among the numbers
+        needed = (F.col("numbers").rlike(DAY_YEAR) if pattern == TEMPORAL[1] else F.col("numbers") != "") & needed
+    return F.when(needed, matches(F.col(text), other or pattern, ignore_case=False)).otherwise(0)
 
 
 def _total(text: str, patterns: list[str]) -> Column:
@@ -152,8 +156,9 @@ PATTERNS = list(registry())
 
 def detect(parsed: DataFrame, detectors: dict[str, Detector] | None = None) -> DataFrame:
     """Add a struct column for each detector: score, max, detected and its evidence."""
-    ready = parsed.withColumn("text_lc", F.lower("text")).withColumn("folded", folded(F.col("text")))
-    ready = ready.withColumns({"folded_lc": folded(F.col("text_lc")), "numbers": F.array_join(F.regexp_extract_all("folded", F.lit(NUMBERS), F.lit(0)), "|")})
+    lower = F.col("text_lc")  # its own lower case, too
+    ready = parsed.withColumn("text_lc", F.lower("text")).withColumn("folded", folded(F.col("text"), lower))
+    ready = ready.withColumns({"folded_lc": folded(lower, lower), "numbers": F.array_join(F.regexp_extract_all("folded", F.lit(NUMBERS), F.lit(0)), "|")})
     ready = ready.withColumns({name: _total(text, patterns) for name, (text, patterns) in COUNTS.items()})
     lines = F.size(F.filter(F.split("folded", "\n", -1), lambda x: x.rlike(NESTED_ONCE)))
     shared = {"n_nested": F.when(F.contains("folded", F.lit("?")), lines).otherwise(0), "compares": contains_any(F.col("text_lc"), COMPARISON), "has_faq": contains_any(F.col("folded"), FAQ.split("|"))}

@@ -59,7 +59,8 @@ def score_parsed(parsed: DataFrame, detectors: dict[str, Detector] | None = None
     """Add the detectors' structs, total, the three penalties, score, grade, percentile and the engines' scores."""
     found = with_stuffing(detect(parsed, detectors))
     sums = found.withColumns({"total": total_score(weights, cap), "penalty_density": penalty_density(), "penalty_structure": penalty_structure()})
-    final = sums.withColumn("score", F.greatest(F.lit(0.0), F.col("total") - F.col("penalty_density") - F.col("penalty_stuffing") - F.col("penalty_structure")))
+    score = F.greatest(F.lit(0.0), F.col("total") - F.col("penalty_density") - F.col("penalty_stuffing") - F.col("penalty_structure"))
+    final = sums.select("*", F.explode(F.array(score)).alias("score"))  # behind a generator, so an audit isn't computed again for a condition on it
     return final.withColumns({"grade": grade(F.col("score")), "percentile": percentile_band(F.col("score")), "engine_scores": engine_scores(F.col("score"))})
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import contains_any
+
 AS_OF = "2024-01-31 00:00:00"
 
 #: Which engine each kind of event stands for.
@@ -54,7 +56,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     every = lambda k, text: F.when(i % k == 0, text)
     table = F.lit("| Item | Value |\n|---|---|\n| A | 1 |\n| B | 2 |\n\nItem A vs Item B")
-    body = F.translate("text", "#|*_[]`", "       ")
+    marks = "#|*_[]`"
+    body = F.when(contains_any(F.col("text"), list(marks)), F.translate("text", marks, " " * len(marks))).otherwise(F.col("text"))
     content = F.concat_ws(
         "\n\n",
         F.concat(F.lit("# "), "source", F.lit(" report")),
