@@ -212,3 +212,31 @@ def test_two_texts_of_one_id_are_two_nodes(spark):
     df = spark.createDataFrame([(4, a), (4, b), (2, near), (9, b)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"]) for r in m.simhash_groups(df).collect())
     assert got == [(2, 2), (4, 2), (4, 4), (9, 4)]
+
+
+def test_groups_of_links_take_few_jobs(spark):
+    rng = np.random.default_rng(13)
+    chain = np.stack([np.arange(1, 1500), np.arange(1500 - 1)], axis=1)
+    pairs = np.concatenate([chain, rng.integers(2000, 6000, (2500, 2)), [[-5, 7000], [7000, -9], [8000, 8000]]])
+    pairs = np.concatenate([pairs, pairs[::3, ::-1]])[rng.permutation(len(pairs) + len(pairs[::3]))]
+    links, root = spark.createDataFrame(pairs.tolist(), "a long, b long"), {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs.tolist():
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    want = sorted((x, top(x)) for x in list(root))
+    spark.sparkContext.setJobGroup("few-jobs", "groups")
+    got = m.components(links)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Links of one piece are one task's work: however long the chain, no rounds of jobs.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 6
+    assert sorted((r["node"], r["root"]) for r in got.collect()) == want
+    some = links.filter("abs(a) < 40 or abs(b) < 40")
+    small = sorted((r["node"], r["root"]) for r in m.components(some).collect())
+    assert len(small) > 40 and sorted((r["node"], r["root"]) for r in m.components(some, 20).collect()) == small
