@@ -152,6 +152,11 @@ def _mask_of(h: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def has_bit(bits: Column, h: Column, longs: int) -> Column:
+    """Whether the bit of a hash is set in a bitmap of so many longs."""
+    return F.get(bits, _long_of(h, longs)).bitwiseAND(_mask_of(h)) != 0
+
+
 def sifted(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
     """(id, h): the distinct runs of each text that may be in wanted(h): all that are, and of others about one in sixteen or less.
 
@@ -159,7 +164,7 @@ def sifted(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFram
     texts that share nothing give no rows.
     """
     longs = 1 << max(10, min(20, (wanted.count() // 4).bit_length()))
-    kept = lambda h: F.get("_bits", _long_of(h, longs)).bitwiseAND(_mask_of(h)) != 0
+    kept = lambda h: has_bit(F.col("_bits"), h, longs)
     asked = docs.select(id_col, _runs(text_col, n).alias("_runs"), bits_of(wanted, longs).scalar().alias("_bits"))
     return asked.select(id_col, F.explode(F.array_distinct(F.filter("_runs", kept))).alias("h"))
 

@@ -50,15 +50,14 @@ def _page_urls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return pages, max(1, pages.count())
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as Markdown articles, with the structures that their id calls for."""
-    pages, n = _page_urls(spark, sf_dir)
+def _content() -> Column:
+    """The article of a document: its text and the structures that its id calls for."""
     i = F.col("doc_id")
     every = lambda k, text: F.when(i % k == 0, text)
     table = F.lit("| Item | Value |\n|---|---|\n| A | 1 |\n| B | 2 |\n\nItem A vs Item B")
     marks = "#|*_[]`"
     body = F.when(contains_any(F.col("text"), list(marks)), F.translate("text", marks, " " * len(marks))).otherwise(F.col("text"))
-    content = F.concat_ws(
+    return F.concat_ws(
         "\n\n",
         F.concat(F.lit("# "), "source", F.lit(" report")),
         every(2, F.concat(F.lit("Updated "), (i % 25 + 2000).cast("string"), F.lit(", version "), (i % 9).cast("string"))),
@@ -71,7 +70,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         every(9, F.lit("This is important because it means more")),
         body,
     )
-    made = spread(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", content.alias("content"), (i % n).alias("page_id"))
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as Markdown articles, with the structures that their id calls for."""
+    pages, n = _page_urls(spark, sf_dir)
+    made = spread(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", _content().alias("content"), (F.col("doc_id") % n).alias("page_id"))
     return made.join(pages, "page_id", "left").select("doc_id", "url", "content", F.lit("markdown").alias("format"), "lang", "source")
 
 
@@ -118,16 +122,28 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with a last line that names a supplier, a part of it, its nation and a region, by the document's id."""
+    """Articles with a last line that names a supplier, a part of it, its nation and a region, by the document's id.
+
+    What an id calls for is looked up for the ids alone, so that however large the tables are, texts
+    are moved once: when they are dealt out by id, to meet it.
+    """
     count = lambda t: max(1, read(spark, sf_dir, t).count())
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_sk"), "s_name", F.col("s_nationkey").alias("_nk"))
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pk"), "p_name")
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_nk"), "n_name", F.col("n_regionkey").alias("_rk"))
     region = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("_rk"), "r_name")
-    made = articles(spark, sf_dir).withColumn("_sk", F.col("doc_id") % count("supplier")).withColumn("_pk", F.col("doc_id") % count("part"))
-    told = made.join(supplier, "_sk", "left").join(part, "_pk", "left").join(nation, "_nk", "left").join(region, "_rk", "left")
+    pages, n = _page_urls(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    ids = docs.select(i).distinct().withColumns({"page_id": i % n, "_sk": i % count("supplier"), "_pk": i % count("part")})
+    told = ids.join(pages, "page_id", "left").join(supplier, "_sk", "left").join(part, "_pk", "left").join(nation, "_nk", "left").join(region, "_rk", "left")
     line = F.concat(F.lit("(A "), "p_name", F.lit(", by "), "s_name", F.lit("; of "), "n_name", F.lit(", "), "r_name", F.lit(".)"))
-    return told.select("doc_id", "url", F.concat_ws("\n\n", "content", line).alias("content"), "format")
+    told = told.select("doc_id", "url", line.alias("_line"))
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.queryExecution().toRdd().getNumPartitions())
+    dealt = docs.select("doc_id", "source", "text").repartition(parts, "doc_id")
+    # Hashes of the ids, as sorting would move the texts again, to disk where they are many.
+    made = dealt.join(told.hint("shuffle_hash"), "doc_id", "left")
+    return made.select("doc_id", "url", F.concat_ws("\n\n", _content(), "_line").alias("content"), F.lit("markdown").alias("format"))
 
 
 # ---- sinks ----
